@@ -17,12 +17,15 @@ def grid_of(points: DataFrame, keys: list[str], cell: float, margin: float = 0.5
 
 def index(points: DataFrame, grid: DataFrame, keys: list[str], clip: bool = True, x: str = "x", y: str = "y") -> DataFrame:
     """Points with the cell they are in; outside ones are clipped to the rim or dropped."""
-    joined = points.join(F.broadcast(grid) if not keys else grid, keys) if keys else points.crossJoin(F.broadcast(grid))
-    ix, iy = F.floor((F.col(x) - F.col("x0")) / F.col("cell")).cast("long"), F.floor((F.col(y) - F.col("y0")) / F.col("cell")).cast("long")
+    named = grid.select(*keys, *[F.col(c).alias(f"_g_{c}") for c in ("x0", "y0", "cell", "nx", "ny")])  # points may have normals nx, ny
+    joined = points.join(named, keys) if keys else points.crossJoin(F.broadcast(named))
+    g = lambda c: F.col(f"_g_{c}")
+    ix, iy = F.floor((F.col(x) - g("x0")) / g("cell")).cast("long"), F.floor((F.col(y) - g("y0")) / g("cell")).cast("long")
     if clip:
-        ix, iy = F.greatest(F.lit(0), F.least(ix, F.col("nx") - 1)), F.greatest(F.lit(0), F.least(iy, F.col("ny") - 1))
-        return joined.withColumns({"ix": ix, "iy": iy}).drop("x0", "y0", "cell", "nx", "ny")
-    return joined.withColumns({"ix": ix, "iy": iy}).filter("ix >= 0 and ix < nx and iy >= 0 and iy < ny").drop("x0", "y0", "cell", "nx", "ny")
+        ix, iy = F.greatest(F.lit(0), F.least(ix, g("nx") - 1)), F.greatest(F.lit(0), F.least(iy, g("ny") - 1))
+        return joined.withColumns({"ix": ix, "iy": iy}).drop(*[f"_g_{c}" for c in ("x0", "y0", "cell", "nx", "ny")])
+    inside = (ix >= 0) & (ix < g("nx")) & (iy >= 0) & (iy < g("ny"))
+    return joined.filter(inside).withColumns({"ix": ix, "iy": iy}).drop(*[f"_g_{c}" for c in ("x0", "y0", "cell", "nx", "ny")])
 
 
 def centre(ix: Column, iy: Column) -> Column:

@@ -76,6 +76,37 @@ def surfaces(flat: Flat, density: float = 900.0) -> list[dict]:
         face((bx, by, bh), (bw, 0, 0), (0, bd, 0), (0, 0, 1), k)
         face((bx, by, 0), (bw, 0, 0), (0, 0, bh), (0, -1, 0), k)
         face((bx, by + bd, 0), (bw, 0, 0), (0, 0, bh), (0, 1, 0), k)
+    for g in flat.gaps:  # ground outside an outer door, seen only through it
+        own = sides_of(flat, g)
+        if g.kind == "door" and len(own) == 1:
+            x0, y0, x1, y1 = flat.rooms[own[0]]
+            low = abs((x0 if g.axis == "x" else y0) - g.at) < abs((x1 if g.axis == "x" else y1) - g.at)
+            a, mid = g.at + (-3.3 if low else 0.3), (g.t0 + g.t1) / 2 - 1.5
+            o, u, v = ((a, mid, 0), (3, 0, 0), (0, 3, 0)) if g.axis == "x" else ((mid, a, 0), (3, 0, 0), (0, 3, 0))
+            face(o, u, v, (0, 0, 1), -1, 0.4)
+    return out
+
+
+def sides_of(flat: Flat, g: Gap) -> list[int]:
+    """Rooms whose wall carries an opening: two for an inner door."""
+    out = []
+    for k, (x0, y0, x1, y1) in enumerate(flat.rooms):
+        ends, span = ((x0, x1), (y0, y1)) if g.axis == "x" else ((y0, y1), (x0, x1))
+        if min(abs(e - g.at) for e in ends) <= flat.outer + 1e-6 and span[0] - 1e-6 <= g.t0 and g.t1 <= span[1] + 1e-6:
+            out.append(k)
+    return out
+
+
+def looks(flat: Flat, cams: list, room: int) -> list[dict]:
+    """Cameras of other rooms (or of any, from outside) with the doors they look at ``room`` through."""
+    out = []
+    for g in flat.gaps:
+        own = sides_of(flat, g)
+        if g.kind != "door" or not (room in own and len(own) == 2 or room == -1 and len(own) == 1):
+            continue
+        for v, r, t in cams:
+            if r in own and r != room:
+                out.append({"view": v, "x": t[0][3], "y": t[1][3], "z": t[2][3], "ax": g.axis == "x", "at": float(g.at), "t0": float(g.t0), "t1": float(g.t1), "z0": float(g.z0), "z1": float(g.z1)})
     return out
 
 
@@ -92,10 +123,10 @@ def cameras(flat: Flat, per_room: int = 3, walked: tuple | None = None) -> list[
     return out
 
 
-def sample(spark: SparkSession, names: list[str], density: float = 900.0, noise: float = 0.008, per_room: int = 3, seed: int = 0, copies: int = 1) -> tuple[DataFrame, DataFrame]:
+def sample(spark: SparkSession, names: list[str], density: float = 900.0, noise: float = 0.008, per_room: int = 3, seed: int = 0, copies: int = 1, through_doors: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """``points`` and ``cameras`` of scenes, each repeated ``copies`` times under its own scene_id.
-    A point is seen by a camera of its room; half of those in line with a door also show rooms
-    through it, as a share of points is given to the cameras of another room."""
+    A point is seen by a camera of its room; of those that a camera elsewhere sees through a
+    doorway, the share ``through_doors`` is that camera's."""
     rows, views = [], []
     for name in names:
         flat = SCENES[name]
@@ -103,10 +134,10 @@ def sample(spark: SparkSession, names: list[str], density: float = 900.0, noise:
         for c in range(copies):
             scene = name if copies == 1 else f"{name}-{c}"
             for k, s in enumerate(surfaces(flat, density)):
-                ids = [v for v, r, _ in cams if r == s["room"]] or [v for v, _, _ in cams]
-                rows.append((scene, k, s["o"], s["u"], s["v"], s["n"], s["count"], s["room"], s["holes"], ids))
+                ids = [v for v, r, _ in cams if r == s["room"]] or ([v for v, _, _ in cams] if s["room"] >= 0 else [])
+                rows.append((scene, k, s["o"], s["u"], s["v"], s["n"], s["count"], s["room"], s["holes"], ids, looks(flat, cams, s["room"])))
             views += [(scene, v, t) for v, _, t in cams]
-    src = spark.createDataFrame(rows, "scene_id string, surface int, o array<double>, u array<double>, v array<double>, n array<double>, count int, room int, holes array<array<double>>, ids array<int>")
+    src = spark.createDataFrame(rows, "scene_id string, surface int, o array<double>, u array<double>, v array<double>, n array<double>, count int, room int, holes array<array<double>>, ids array<int>, looks array<struct<view:int,x:double,y:double,z:double,ax:boolean,at:double,t0:double,t1:double,z0:double,z1:double>>")
     pts = src.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("count"), F.lit(1)))))
 
     def uniform(tag: int):
@@ -118,10 +149,23 @@ def sample(spark: SparkSession, names: list[str], density: float = 900.0, noise:
 
     pts = pts.withColumns({"a": uniform(1), "b": uniform(2)}).filter(~F.exists("holes", lambda h: (F.col("a") >= h[0]) & (F.col("a") <= h[1]) & (F.col("b") >= h[2]) & (F.col("b") <= h[3])))
     at = [F.col("o")[i] + F.col("a") * F.col("u")[i] + F.col("b") * F.col("v")[i] + normal(10 + 2 * i) for i in range(3)]
-    view = F.get("ids", F.floor(uniform(3) * F.size("ids")).cast("int"))
+    pts = pts.withColumns({n: x for n, x in zip("xyz", at)})
+
+    def through(c):
+        across, eye = F.when(c["ax"], F.col("x")).otherwise(F.col("y")), F.when(c["ax"], c["x"]).otherwise(c["y"])
+        beside, eye_t = F.when(c["ax"], F.col("y")).otherwise(F.col("x")), F.when(c["ax"], c["y"]).otherwise(c["x"])
+        f = (c["at"] - eye) / F.when(F.abs(across - eye) > 1e-9, across - eye)
+        t, z = eye_t + f * (beside - eye_t), c["z"] + f * (F.col("z") - c["z"])
+        return F.coalesce((f > 0) & (f < 1) & t.between(c["t0"], c["t1"]) & z.between(c["z0"], c["z1"]), F.lit(False))
+
+    pts = pts.withColumn("seen", F.filter("looks", through))
+    other = F.get("seen", F.floor(uniform(4) * F.size("seen")).cast("int"))["view"]
+    own = F.get("ids", F.floor(uniform(3) * F.size("ids")).cast("int"))
+    view = F.when((F.size("seen") > 0) & ((uniform(5) < through_doors) | (F.size("ids") == 0)), other).otherwise(own)
+    pts = pts.withColumn("view_id", view).filter("view_id is not null")
     points = pts.select(
-        "scene_id", (F.col("surface").cast("long") * 10_000_000 + F.col("k")).alias("point_id"), *[x.alias(n) for x, n in zip(at, "xyz")], *[F.col("n")[i].alias(f"n{c}") for i, c in enumerate("xyz")],
-        F.lit(None).cast("short").alias("r"), F.lit(None).cast("short").alias("g"), F.lit(None).cast("short").alias("b"), view.alias("view_id"),
+        "scene_id", (F.col("surface").cast("long") * 10_000_000 + F.col("k")).alias("point_id"), "x", "y", "z", *[F.col("n")[i].alias(f"n{c}") for i, c in enumerate("xyz")],
+        F.lit(None).cast("short").alias("r"), F.lit(None).cast("short").alias("g"), F.lit(None).cast("short").alias("b"), "view_id",
     )
     return points, spark.createDataFrame(views, "scene_id string, view_id int, T array<array<double>>")
 
