@@ -76,7 +76,7 @@ WINDS = {"en": ["N", "NE", "E", "SE", "S", "SW", "W", "NW"], "es": ["N", "NE", "
 def compass(degrees: Column, lang: str = "en") -> Column:
     """Eight-wind letter of a bearing; empty where the bearing is unknown."""
     names = F.array(*[F.lit(x) for x in WINDS.get(lang, WINDS["en"])])
-    return F.coalesce(F.element_at(names, (F.pmod(F.bround(degrees / 45), F.lit(8)) + 1).cast("int")), F.lit(""))
+    return F.when(degrees.isNull(), "").otherwise(F.element_at(names, (F.pmod(F.bround(degrees / 45), F.lit(8)) + 1).cast("int")))
 
 
 def facing(dx: Column, dy: Column, side: Column, north: Column, lang: str = "en") -> Column:

@@ -28,7 +28,7 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 def poses(rows: DataFrame) -> DataFrame:
     """Rows ``tx ty tz qx qy qz qw`` as camera-to-world poses."""
     v = [F.get("rest", F.lit(i)).cast("double") for i in range(7)]
-    return rows.select("folder", "t", pose(quaternion_rotation(*v[3:]), vector(*v[:3])).alias("T"))
+    return rows.select("folder", "t", pose(quaternion_rotation(*v[3:]), vector(*v[:3])).alias("pose"))
 
 
 def intrinsics(folder: Column) -> Column:
@@ -44,12 +44,12 @@ def intrinsics(folder: Column) -> Column:
 
 def sequence(spark: SparkSession, folder: str, stride: int = 1, max_frames: int | None = None, max_time_diff: float = 0.02) -> DataFrame:
     """Depth pictures of a recording with the nearest colour picture and pose: folder, t, depth,
-    rgb, T, intrinsics. Frames without a pose in reach are dropped; every ``stride``-th depth
+    rgb, pose, intrinsics. Frames without a pose in reach are dropped; every ``stride``-th depth
     picture is considered, in order, until there are ``max_frames``."""
     depth = every_nth(read_list(spark, f"{folder}/depth.txt").select("folder", "t", F.get("rest", F.lit(0)).alias("depth")), ["folder"], "t", stride)
     rgb = read_list(spark, f"{folder}/rgb.txt").select("folder", F.col("t").alias("rgb_t"), F.get("rest", F.lit(0)).alias("rgb"))
-    track = poses(read_list(spark, f"{folder}/groundtruth.txt")).select("folder", F.col("t").alias("pose_t"), "T")
-    out = nearest(nearest(depth, rgb, ["folder"], "t", "rgb_t", max_time_diff, ["rgb"]), track, ["folder"], "t", "pose_t", max_time_diff, ["T"]).filter("T is not null and rgb is not null")
+    track = poses(read_list(spark, f"{folder}/groundtruth.txt")).select("folder", F.col("t").alias("pose_t"), "pose")
+    out = nearest(nearest(depth, rgb, ["folder"], "t", "rgb_t", max_time_diff, ["rgb"]), track, ["folder"], "t", "pose_t", max_time_diff, ["pose"]).filter("pose is not null and rgb is not null")
     if max_frames is not None:
         from pyspark.sql import Window
 
