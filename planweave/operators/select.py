@@ -31,11 +31,13 @@ def spread_top(rows: DataFrame, keys: list[str], index: str, score: str, k: int,
     stretch, then the best of what is left; groups of at most ``k`` rows stay whole."""
     n = total if isinstance(total, Column) else F.lit(total)
     stretch = F.least(F.lit(k - 1), F.floor(F.col(index) * k / F.greatest(n, F.lit(1)))).cast("long")
-    per = Window.partitionBy(*keys, "_s").orderBy(F.desc(score), index)
-    first = rows.withColumn("_s", stretch).withColumn("_first", F.row_number().over(per) == 1)
+    placed = rows.withColumn("_s", stretch)
+    # The best of each stretch is an aggregate; the rest only matter as each key's top k, which
+    # Spark cuts before the shuffle (a rank filter becomes a group limit).
+    best = placed.groupBy(*keys, "_s").agg(F.max_by(index, F.struct(F.col(score), -F.col(index))).alias("_i"))
+    marked = placed.join(best, [*keys, "_s"]).withColumn("_first", F.col(index) == F.col("_i"))
     order = Window.partitionBy(*keys).orderBy(F.desc("_first"), F.desc(score), index)
-    ranked = first.withColumns({"_r": F.row_number().over(order)})
-    return ranked.filter(F.col("_r") <= k).drop("_s", "_first", "_r")
+    return marked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_s", "_first", "_r", "_i")
 
 
 def sample_cap(rows: DataFrame, keys: list[str], most: int, id_: str, seed: int = 0) -> DataFrame:

@@ -122,3 +122,17 @@ def test_backend_registry():
     assert backends.names() == ["chunks", "rgbd"] and backends.get("rgbd", stride=2).stride == 2
     with pytest.raises(KeyError):
         backends.get("none")
+
+
+def test_site_models(spark, tmp_path):
+    from planweave.plans import site
+
+    (tmp_path / "a.json").write_text(json.dumps(ANSWER))
+    found = buildings.by_relevance(buildings.read_overpass(spark, str(tmp_path / "a.json")), 41.00005, 2.0001)
+    faces = site.prisms(found, 41.0, 2.0).groupBy("scene_id").count().collect()
+    assert {r.scene_id: r["count"] for r in faces} == {"way/1": 6, "way/2": 5}
+    out = site.export(found, 41.0, 2.0, str(tmp_path / "out")).collect()
+    assert len(out) == 14 and "V1" in (tmp_path / "out" / "way-1.svg").read_text()
+    rng = np.random.default_rng(0)
+    pts = spark.createDataFrame([("s", float(x), float(y)) for x, y in rng.uniform(0, 4, (3000, 2))], "scene_id string, x double, y double")
+    assert site.footprints(pts).first().footprint_m2 == pytest.approx(16, rel=0.03)
