@@ -136,12 +136,12 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for r, valid in _features(piece):
             here = np.flatnonzero(valid)
             rows.append(r[here].astype(np.int32))
-            at.append(np.searchsorted(starts, here, "right") - 1 + base)
+            at.append((np.searchsorted(starts, here, "right") - 1 + base).astype(np.int32))
         base += len(starts)
     if not rows:
-        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-    r, w = np.concatenate(rows), np.concatenate(at)
-    return r, w, np.maximum(np.bincount(w, minlength=base), FULL)
+        return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64)
+    w = np.concatenate(at)
+    return np.concatenate(rows), w, np.maximum(np.bincount(w, minlength=base), FULL)
 
 
 def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 20, batch: int = 128, rate: float = 0.05, fewest: int = 6, seed: int = 7) -> Model:
@@ -155,18 +155,17 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 20, b
     if not len(y) or y.min() == y.max():
         return Model(out, float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
-    bags = [_bag(t) for t in texts]
     seen = np.zeros(1 << BITS, np.int32)
-    for r, _, _ in bags:
-        seen[np.unique(r)] += 1
+    for t in texts:  # features are made twice: holding all of them would cost more than making them
+        seen[np.unique(_bag(t)[0])] += 1
     kept = np.flatnonzero(seen >= fewest)
     index = np.full(1 << BITS, -1, np.int32)
     index[kept] = np.arange(len(kept))
     docs = []
-    for r, w, n in bags:
+    for t in texts:
+        r, w, n = _bag(t)
         r = index[r]
         docs.append((r[r >= 0], w[r >= 0], n))
-    del bags
     table = rng.normal(0, 0.1, (len(kept), dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (2, dim)).astype(np.float32)
     bias = np.zeros(1)
@@ -216,16 +215,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
     """Train on a bounded sample of labelled rows outside the held-out third: of each class
     the ``per_class`` ids with the smallest hashes, texts of at most ``longest`` bytes
     (whole texts; longer ones are passed over when choosing, never cut). The bound holds
-    whatever the table's size, so ids and texts fit the driver and the id list may be
-    broadcast. Null ids and labels are left out; of repeated ids the first few count."""
+    whatever the table's size, so the id list may be broadcast and one task may hold the
+    texts. Training runs in that task, which Spark repeats if its executor is lost; the
+    driver gets the finished model. Null ids and labels are left out; of repeated ids the
+    first few rows count."""
+    import pandas as pd
+
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     by_hash = F.xxhash64("doc_id", F.lit(11))
     ids = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).groupBy("doc_id").agg(F.first("toxic").alias("toxic")).orderBy(by_hash, "doc_id").limit(per_class).collect()]
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([tuple(r) for r in ids], "sample_id long, toxic int")
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "sample_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= longest)
-    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text", "toxic").orderBy("doc_id", F.xxhash64("text")).limit(2 * per_class).collect()
-    return train([r.text for r in found], [r.toxic for r in found])
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text", "toxic").orderBy("doc_id", F.xxhash64("text")).limit(2 * per_class)
+
+    def learn(batches):
+        rows = pd.concat([b for b in batches] or [pd.DataFrame({"doc_id": [], "text": [], "toxic": []})]).sort_values("doc_id", kind="stable")
+        model = train(rows["text"].tolist(), rows["toxic"].tolist())
+        yield pd.DataFrame({"rows": [model.rows.tobytes()], "bias": [model.bias]})
+
+    got = found.coalesce(1).mapInPandas(learn, "rows binary, bias double").collect()
+    if not got:
+        return train([], [])
+    return Model(np.frombuffer(bytes(got[0].rows), np.float32), got[0].bias)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
