@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize
+from .store import materialize, trimmed
 
 TILE = 4096
 SAMPLE = 4096
@@ -148,7 +148,7 @@ def _links(distinct: DataFrame, width: int, threshold: float, tile: int, kind: s
             x = np.array(b["v"].tolist(), np.float64).reshape(-1, width)
             yield pd.DataFrame({"node": b["node"], "copies": b["copies"], "bucket": np.searchsorted(edges, _unit(x) @ first_axis, "right"), "raw": [r.tobytes() for r in x.astype(kind)]})
 
-    placed = materialize(distinct.select("node", "copies", "v").mapInPandas(locate, "node long, copies long, bucket long, raw binary"), "placed")
+    placed = materialize(distinct.select("node", "copies", "v").mapInPandas(trimmed(locate), "node long, copies long, bucket long, raw binary"), "placed")
     sizes = {r.bucket: r["count"] for r in placed.groupBy("bucket").count().collect()}  # at most SAMPLE / 4 rows
     # Tiles: a bucket of the first axis cut by hash into pieces of about `tile` vectors.
     pieces = {b: -(-n // tile) for b, n in sizes.items()}

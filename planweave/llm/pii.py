@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, materialize
+from .store import fresh, materialize, trimmed
 
 KEY = b"planweave-surrogates"  # replace by a secret in production
 LATIN_V, LATIN_C = "aeiou", "bcdfghjklmnpqrstvwxyz"
@@ -283,7 +283,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "text_hash", "kind", "value"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, kind string, value string")
+    return slim.mapInArrow(trimmed(run), "doc_id long, text_hash long, kind string, value string")
 
 
 def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
@@ -362,7 +362,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
             columns[text_at] = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(kinds, pa.string())], names=[*names, entity_c, kinds_c])
 
-    return source.mapInArrow(run, StructType([*docs.schema.fields, StructField(entity_c, IntegerType()), StructField(kinds_c, StringType())]))
+    return source.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(entity_c, IntegerType()), StructField(kinds_c, StringType())]))
 
 
 def pseudonymized_rows(docs: DataFrame) -> DataFrame:

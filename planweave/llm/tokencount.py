@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch
+from .store import file_system, make_dir, materialize, scratch, trimmed
 from .tokens import Encoder, default_vocabulary, slices, terminated
 
 DTYPE = "<u2"
@@ -60,7 +60,7 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, r
             out.close()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = materialize(slim.mapInArrow(run, "path string, ordinal long, doc_id long"), "order")
+    order = materialize(slim.mapInArrow(trimmed(run), "path string, ordinal long, doc_id long"), "order")
     return order.select("path").distinct(), order
 
 
@@ -84,7 +84,7 @@ def scan(paths: DataFrame, end: int = END, block: int = BLOCK, dtype: str = DTYP
                 n = files.get_file_info(name).size // width
                 yield pd.DataFrame({"path": path, "block": np.arange(-(-n // block), dtype=np.int64), "file_tokens": n})
 
-    blocks = materialize(paths.select("path").mapInPandas(cut, "path string, block long, file_tokens long"), "blocks")
+    blocks = materialize(paths.select("path").mapInPandas(trimmed(cut), "path string, block long, file_tokens long"), "blocks")
 
     def run(batches):
         import pandas as pd
@@ -105,7 +105,7 @@ def scan(paths: DataFrame, end: int = END, block: int = BLOCK, dtype: str = DTYP
                     yield pd.DataFrame({"path": path, "block": k, "place": np.arange(len(ends)), "stop": ends, "before": before, "complete": True})
 
     dealt = blocks.repartition(64, "path", "block")
-    found = materialize(dealt.mapInPandas(run, "path string, block long, place long, stop long, before long, complete boolean"), "separators")
+    found = materialize(dealt.mapInPandas(trimmed(run), "path string, block long, place long, stop long, before long, complete boolean"), "separators")
     each = found.filter("complete").groupBy("path", "block").agg(F.count("*").alias("n"), F.max("stop").alias("last"))
     prior = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = blocks.join(each, ["path", "block"], "left").select(

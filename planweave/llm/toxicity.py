@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh
+from .store import fresh, trimmed
 
 BITS = 20
 GRAMS = (3, 4, 5)
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
         model = train(rows["text"].tolist(), rows["toxic"].tolist())
         yield pd.DataFrame({"rows": [model.rows.tobytes()], "bias": [model.bias]})
 
-    got = found.coalesce(1).mapInPandas(learn, "rows binary, bias double").collect()
+    got = found.coalesce(1).mapInPandas(trimmed(learn), "rows binary, bias double").collect()
     if not got:
         return train([], [])
     return Model(np.frombuffer(bytes(got[0].rows), np.float32), got[0].bias)
@@ -254,7 +254,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             scores = pa.array([score(own, texts[i].as_py()) for i in range(batch.num_rows)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

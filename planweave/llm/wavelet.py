@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch
+from .store import file_system, make_dir, materialize, scratch, trimmed
 from .tokens import Encoder, default_vocabulary, slices, terminated
 
 MAGIC = b"PWWMTX01"
@@ -226,7 +226,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
         if names:
             yield close()
 
-    return materialize(dealt.mapInArrow(run, "part long, k long, path string, docs long, tokens long"), "manifest")
+    return materialize(dealt.mapInArrow(trimmed(run), "part long, k long, path string, docs long, tokens long"), "manifest")
 
 
 def with_offsets(manifest: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
                 yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids, dtype="Int64"), "start": starts + int(first), "n_tokens": shard.counts, "ids_crc32": np.array(crc, np.int64)})
 
-    return with_offsets(manifest).select("path", "first").repartition(64, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_offsets(manifest).select("path", "first").repartition(64, "path").mapInPandas(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, vocabulary: str | None = None, partitions: int | None = None) -> DataFrame:
