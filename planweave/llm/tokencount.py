@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import file_system, make_dir, materialize, scratch, trimmed
-from .tokens import Encoder, default_vocabulary, slices, terminated
+from .tokens import default_vocabulary, shared_encoder, slices, terminated
 
 DTYPE = "<u2"
 END = 50256
@@ -36,7 +36,7 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, r
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(vocabulary, special_is_text=True)
+        encoder = shared_encoder(vocabulary, special_is_text=True)
         files, base = file_system(folder)
         out = name = None
         written = ordinal = 0

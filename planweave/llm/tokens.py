@@ -12,12 +12,16 @@ from __future__ import annotations
 
 import itertools
 import os
+from functools import lru_cache
 
 import numpy as np
 
 # White space before a space, or a special token: encoded whole.
 UNSPLIT = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |<\|"
 
+# White space inside a piece, or nothing after its space: encoded on its own.
+INNER = r"^ ?$|[\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -25,34 +29,100 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(vocabulary: str, special_is_text: bool = False) -> Encoder:
+    """One encoder a worker: its pieces serve every task that the worker runs."""
+    return Encoder(vocabulary, special_is_text)
+
+
 class Encoder:
-    """Encodes Arrow string arrays; keeps ids of up to ``keep`` pieces between batches."""
+    """Encodes Arrow string arrays; remembers the ids of up to ``keep`` pieces, those that came
+    again within a batch first. Ids live in flat arrays, not in an object a piece."""
 
-    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 300_000):
+    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = special_is_text
         self.keep = keep
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        made = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            encoded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            ids = [e.ids for e in encoded]
+        self.known: dict[str, int] = {}
+        self.flat = np.empty(0, np.uint32)
+        self.sizes = np.empty(0, np.int32)
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each) by the library.
+
+        Pieces without inner white space go a thousand to a text, a line each: a line break
+        between a visible character and anything is a token of its own, so the places of its
+        id cut the ids again. That spares the library's bookkeeping for every piece."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(pieces)
+        alone = np.asarray(pc.match_substring_regex(pa.array(pieces, pa.large_string()), INNER)) if n else np.zeros(0, bool)
+        if self.line is None:
+            alone = np.ones(n, bool)
+        flats, sizes = [], np.zeros(n, np.int32)
+        order = []
+        joined = np.flatnonzero(~alone)
+        for at in range(0, len(joined), 50_000):
+            part = joined[at : at + 50_000].tolist()
+            lines = ["\n".join([*(pieces[i] for i in part[k : k + 1000]), ""]) for k in range(0, len(part), 1000)]
+            ids = [e.ids for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            made.update(zip(part, np.split(flat, ends[:-1])))
-        out = [known[p] if p in known else made[p] for p in pieces]
-        room = self.keep - len(known)
-        if room > 0:
-            known.update(itertools.islice(((p, made[p].copy()) for p in new if len(p) < 40), room))
-        return out
+            cut = flat == self.line
+            stops = np.flatnonzero(cut)
+            if len(stops) != len(part):
+                raise AssertionError("a line break was not a token of its own")
+            sizes[part] = np.diff(stops, prepend=-1) - 1
+            flats.append(flat[~cut])
+            order.append(np.array(part))
+        single = np.flatnonzero(alone)
+        for at in range(0, len(single), 10_000):
+            part = single[at : at + 10_000]
+            ids = [e.ids for e in self.library.encode_batch_fast([pieces[i] for i in part.tolist()], add_special_tokens=False)]
+            sizes[part] = np.fromiter(map(len, ids), np.int32, len(ids))
+            flats.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+            order.append(part)
+        if not n:
+            return self.flat[:0], sizes
+        # back into the order of the pieces
+        where = np.concatenate(order)
+        flat = np.concatenate(flats)
+        ends = np.cumsum(sizes[where])
+        begins = np.empty(n, np.int64)
+        begins[where] = ends - sizes[where]
+        stops = np.cumsum(sizes)
+        return flat[np.arange(len(flat)) + np.repeat(begins - (stops - sizes), sizes)], sizes
+
+    def _lookup(self, pieces: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, begin, size) of each piece; ``often`` marks those worth remembering."""
+        at = list(map(self.known.get, pieces))
+        missing = [i for i, k in enumerate(at) if k is None]
+        new_flat, new_sizes = self._encode([pieces[i] for i in missing])
+        held = len(self.sizes)
+        where = np.empty(len(pieces), np.int64)
+        miss = np.array(missing, np.int64)
+        hit = np.ones(len(pieces), bool)
+        hit[miss] = False
+        where[hit] = [k for k in at if k is not None]
+        where[miss] = np.arange(len(miss)) + held
+        flat = np.concatenate([self.flat, new_flat])
+        sizes = np.concatenate([self.sizes, new_sizes])
+        ends = np.cumsum(sizes)
+        room = self.keep - held
+        if room > 0 and len(miss):
+            good = np.flatnonzero(often[miss])[:room]
+            begins = (ends - sizes)[held + good]
+            lengths = sizes[held + good]
+            stops = np.cumsum(lengths)
+            kept = flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(begins - (stops - lengths), lengths)]
+            self.known.update(zip((pieces[missing[i]] for i in good.tolist()), range(held, held + len(good))))
+            self.flat, self.sizes = np.concatenate([self.flat, kept]), np.concatenate([self.sizes, lengths])
+        return flat, (ends - sizes)[where], sizes[where]
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); null is empty."""
@@ -68,23 +138,24 @@ class Encoder:
         split = pc.split_pattern(easy, " ")
         words = split.values.dictionary_encode()
         offsets = np.asarray(split.offsets)
-        codes = np.asarray(words.indices)[offsets[0] : offsets[-1]].astype(np.int64)
+        codes = np.asarray(words.indices)[offsets[0] : offsets[-1]].astype(np.int32)
         offsets = offsets - offsets[0]
         entries = words.dictionary.to_pylist()
+        del split
         # The first piece of a text has no space before it: codes from len(entries) on.
         firsts = offsets[:-1][np.diff(offsets) > 0]
         lead = np.unique(codes[firsts])
-        where = np.full(len(entries) + 1, 0, np.int64)
+        where = np.zeros(len(entries) + 1, np.int32)
         where[lead] = np.arange(len(lead)) + len(entries)
         codes[firsts] = where[codes[firsts]]
-        pieces = self._ids([" " + x for x in entries] + [entries[k] for k in lead.tolist()])
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.empty(0, np.uint32)
-        begins = np.cumsum(sizes) - sizes
+        often = np.bincount(codes, minlength=len(entries) + len(lead)) > 1
+        flat, begins, sizes = self._lookup([*(" " + x for x in entries), *(entries[k] for k in lead.tolist())], often)
         lengths = sizes[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(begins[codes] - (ends - lengths), lengths)]
+        place = np.repeat((begins[codes] - (ends - lengths)).astype(np.int32), lengths)
+        place += np.arange(total, dtype=np.int32)
+        ids = flat[place]
         bounds = np.concatenate([[0], ends])[offsets]
         counts = np.diff(bounds)
         if whole.any():

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import file_system, make_dir, materialize, scratch, trimmed
-from .tokens import Encoder, default_vocabulary, slices, terminated
+from .tokens import default_vocabulary, shared_encoder, slices, terminated
 
 MAGIC = b"PWWMTX01"
 BLOCK = 1 << 16  # bytes of a plane
@@ -36,10 +36,10 @@ def planes_of(ids: np.ndarray) -> tuple[list[np.ndarray], int]:
     row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes = []
     for k in range(bits - 1, -1, -1):
-        ones = (row >> row.dtype.type(k)) & row.dtype.type(1) != 0
+        ones = ((row >> row.dtype.type(k)).astype(np.uint8) & 1).view(bool)
         planes.append(np.packbits(ones, bitorder="little"))
         if k:
-            row = np.concatenate([row[~ones], row[ones]])
+            row = np.concatenate([row.compress(~ones), row.compress(ones)])
     return planes, bits
 
 
@@ -50,13 +50,14 @@ def ids_of(planes: list[np.ndarray], n: int) -> np.ndarray:
     row = None
     for k, plane in enumerate(reversed(planes)):
         ones = np.unpackbits(plane, count=n, bitorder="little").view(bool)
-        up = np.empty(n, kind)
         if row is None:
-            up[:] = ones
-        else:
-            zeros = n - int(ones.sum())
-            up[~ones] = row[:zeros]
-            up[ones] = row[zeros:] | kind(1 << k)
+            row = ones.astype(kind)
+            continue
+        at = np.flatnonzero(ones)
+        zeros = n - len(at)
+        up = np.empty(n, kind)
+        up[at] = row[zeros:] | kind(1 << k)
+        up[np.flatnonzero(~ones)] = row[:zeros]
         row = up
     return row.astype(np.uint32)
 
@@ -181,7 +182,7 @@ class WaveletMatrix:
         return ids_of(planes, self.n)
 
 
-def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END, roll: int = 4 << 20, partitions: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END, roll: int = 2 << 20, partitions: int | None = None) -> DataFrame:
     """Write token shards of ``docs(doc_id, text)`` in ascending doc_id order (nulls first, ties
     by the text's hash) and return the manifest ``(part, k, path, docs, tokens)``.
 
@@ -200,7 +201,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         files, base = file_system(folder)
         ids, counts, names, held, k = [], [], [], 0, 0
 
