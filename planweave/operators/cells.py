@@ -63,22 +63,32 @@ def iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count_if(F.col("s") == 3).alias("inter"), F.count("*").alias("total")).withColumn("iou", F.col("inter") / F.col("total"))
 
 
+def _runs(cells: DataFrame, keys: list[str], axis: str, gap: int) -> DataFrame:
+    """First and last cell of every run along an axis, gaps up to ``gap`` cells closed."""
+    other = "iy" if axis == "ix" else "ix"
+    w = Window.partitionBy(*keys, other).orderBy(axis)
+    new = F.coalesce((F.col(axis) - F.lag(axis).over(w) > gap).cast("int"), F.lit(0))
+    marked = cells.select(*keys, "ix", "iy").withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, other, "_run").agg(F.min(axis).alias("_a"), F.max(axis).alias("_b"))
+
+
 def dilate(cells: DataFrame, keys: list[str], r: int) -> DataFrame:
-    """Dilation by a square of radius ``r``: along x, then along y, a distinct each, so a cell
-    makes 2(2r + 1) rows and not (2r + 1) squared."""
-    out = cells.select(*keys, "ix", "iy")
-    for axis in ("ix", "iy"):
-        out = out.withColumn(axis, F.explode(F.sequence(F.col(axis) - r, F.col(axis) + r))).distinct()
-    return out
+    """Dilation by a square of radius ``r``, along x and then along y. Runs whose grown ends would
+    meet are joined first, so every cell of the result is made once whatever the radius."""
+    out = cells
+    for axis, other in (("ix", "iy"), ("iy", "ix")):
+        runs = _runs(out, keys, axis, 2 * r + 1)
+        out = runs.select(*keys, other, F.explode(F.sequence(F.col("_a") - r, F.col("_b") + r)).alias(axis))
+    return out.select(*keys, "ix", "iy")
 
 
 def erode(cells: DataFrame, keys: list[str], r: int) -> DataFrame:
-    """Cells whose whole square of radius ``r`` is set: full runs along x, then along y."""
-    out = cells.select(*keys, "ix", "iy").distinct()
+    """Cells whose whole square of radius ``r`` is set: runs shortened along x, then along y."""
+    out = cells
     for axis, other in (("ix", "iy"), ("iy", "ix")):
-        w = Window.partitionBy(*keys, other).orderBy(axis).rangeBetween(-r, r)
-        out = out.withColumn("_n", F.count("*").over(w)).filter(F.col("_n") == 2 * r + 1).drop("_n")
-    return out
+        runs = _runs(out, keys, axis, 1).filter(F.col("_b") - F.col("_a") >= 2 * r)
+        out = runs.select(*keys, other, F.explode(F.sequence(F.col("_a") + r, F.col("_b") - r)).alias(axis))
+    return out.select(*keys, "ix", "iy")
 
 
 def closing(cells: DataFrame, keys: list[str], r: int) -> DataFrame:
