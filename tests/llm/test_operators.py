@@ -67,7 +67,7 @@ def library():
 def test_encoder_equals_library(library):
     import pyarrow as pa
 
-    texts = [*sample_texts(), "a  b", "tabs\t\tand \n lines\n\n end ", " lead", "trail ", "don't we've I'll", "日本語 テキスト 12345", "\x1c \x85", "a" + " " * 7 + "b"]
+    texts = [*sample_texts(), "a  b", "tabs\t\tand \n lines\n\n end ", " lead", "trail ", "don't we've I'll", "日本語 テキスト 12345", "\x1c \x85", "a" + " " * 7 + "b", "one.\ntwo,\nthree, four.\n\nfive. \nsix", "a\nb\nc.", "x\x02y z", "don't. It's, ok ..., e.g., 3.5, 4. Ünï. é,", "end.\n", "\nstart", "a.\u00a0b. c", "\n\n\n", "q. \x02r"]
     e = tokens.Encoder(tokens.default_vocabulary(), keep=5)
     for _ in range(2):  # with and without known pieces
         ids, counts = e.encode(pa.array(texts))
