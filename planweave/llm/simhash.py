@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFrame:
     columns pass. Of repeated rows one stays."""
     groups = near_duplicates(docs, words, dense)
     least = F.lit(-(1 << 63)).cast("long")  # stands for a null id
-    key = F.struct(F.coalesce("doc_id", least).alias("k"), "text_hash")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", least).alias("k"), "text_hash")  # an id before none
     k, h, row = fresh(docs, "k", "h", "row")
     chosen = groups.groupBy("group").agg(F.min(key).alias("c")).select(F.col("c.k").alias(k), F.col("c.text_hash").alias(h))
     keyed = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), least), h: F.xxhash64("text")})

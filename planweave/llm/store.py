@@ -39,6 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    _until_exit(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -56,9 +57,17 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def make_dir(uri: str) -> None:
+def make_dir(spark: SparkSession, uri: str) -> None:
+    """A scratch folder for binary files."""
     files, path = file_system(uri)
     files.create_dir(path, recursive=True)
+    _until_exit(spark, uri)
+
+
+def _until_exit(spark: SparkSession, uri: str) -> None:
+    """Scratch of this application goes when its driver ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

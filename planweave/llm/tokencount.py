@@ -31,7 +31,7 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, r
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     folder = scratch(spark, "flat")
-    make_dir(folder)
+    make_dir(spark, folder)
 
     def run(batches):
         import pyarrow as pa

@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, least: int = 1000, roll: int = 64 << 20) ->
     response's own id are responses too); an empty table writes no file."""
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
-    make_dir(folder)
+    make_dir(spark, folder)
 
     def run(batches):
         import pandas as pd

@@ -191,7 +191,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     folder = scratch(spark, "shards")
-    make_dir(folder)
+    make_dir(spark, folder)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = slim.withColumn("tie", F.xxhash64("text"))
     dealt = (keyed.repartitionByRange(partitions, "doc_id", "tie") if partitions else keyed.repartitionByRange("doc_id", "tie")).sortWithinPartitions("doc_id", "tie").drop("tie")
