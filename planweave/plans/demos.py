@@ -422,15 +422,18 @@ def json_meta(spark, d):
     return table(spark, d, "events").select("event_id", get("k").alias("k"), F.coalesce(get("missing"), get("k"), F.lit(-1)).alias("first_of"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM orders a JOIN orders b ON a.o_custkey <> b.o_custkey AND CAST(a.o_orderdate AS DATE) = CAST(b.o_orderdate AS DATE) AND a.o_orderpriority = b.o_orderpriority AND a.o_totalprice > 280000 AND b.o_totalprice > 280000),
-n AS (SELECT DISTINCT a AS id FROM e), r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+@query("""WITH RECURSIVE h AS (SELECT p_partkey AS id, p_brand || '/' || p_size AS k FROM part UNION ALL SELECT p_partkey, p_type || '/' || CAST(floor(p_retailprice / 20) AS BIGINT) FROM part),
+e AS (SELECT DISTINCT a.id AS a, min(b.id) AS b FROM h a JOIN h b ON a.k = b.k GROUP BY a.id, a.k), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r(a, b) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
 SELECT a AS node, min(b) AS label FROM r GROUP BY a""")
 def components(spark, d):
-    """Customers linked by large orders of one day and priority, through star edges."""
-    o = table(spark, d, "orders").filter("o_totalprice > 280000").select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority")
-    first = o.groupBy("day", "o_orderpriority").agg(F.min("o_custkey").alias("b"))
-    e = o.join(first, ["day", "o_orderpriority"]).filter("o_custkey <> b").select(F.lit(0).alias("k"), F.col("o_custkey").alias("a"), "b")
-    return graph.components(e, ["k"]).select("node", "label")
+    """Parts linked by brand and size or by type and price level, through a star a group."""
+    p = table(spark, d, "part")
+    key = lambda *c: F.concat_ws("/", *c)
+    h = p.select(F.col("p_partkey").alias("a"), F.explode(F.array(key("p_brand", F.col("p_size").cast("string")), key("p_type", F.floor(F.col("p_retailprice") / 20).cast("string")))).alias("k"))
+    first = h.groupBy("k").agg(F.min("a").alias("b"))
+    e = h.join(first, "k").filter("a <> b").select(F.lit(0).alias("z"), "a", "b")
+    return graph.components(e, ["z"]).select("node", "label")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN CAST(CAST(floor(s_acctbal / 0.0254 / 12) AS BIGINT) + CASE WHEN round_even(s_acctbal / 0.0254 - floor(s_acctbal / 0.0254 / 12) * 12, 0) = 12 THEN 1 ELSE 0 END AS VARCHAR) || '''' || CAST(CAST(CASE WHEN round_even(s_acctbal / 0.0254 - floor(s_acctbal / 0.0254 / 12) * 12, 0) = 12 THEN 0 ELSE round_even(s_acctbal / 0.0254 - floor(s_acctbal / 0.0254 / 12) * 12, 0) END AS BIGINT) AS VARCHAR) || '"' END AS ft FROM supplier""")
@@ -518,6 +521,136 @@ def session_sizes(spark, d):
     return ev.groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
 
 
+# -- cameras, rings and pictures -----------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS w FROM embeddings),
+n AS (SELECT vec_id, x / l AS x, y / l AS y, z / l AS z, w / l AS w FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS l FROM q))
+SELECT vec_id, round(1 - 2 * (y * y + z * z), 6) AS r00, round(2 * (x * y - z * w), 6) AS r01, round(2 * (x * z - y * w), 6) AS r20 FROM n""")
+def quaternion_rotation(spark, d):
+    x, y, z, w = (F.get("embedding", F.lit(i)).cast("double") for i in range(4))
+    r = table(spark, d, "embeddings").select("vec_id", vec.quaternion_rotation(x, y, z, w).alias("r"))
+    return r.select("vec_id", *[F.round(vec.cell(F.col("r"), i, j), 6).alias(f"r{i}{j}") for i, j in ((0, 0), (0, 1), (2, 0))])
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 100 AS y, p_partkey % 7 AS z FROM part),
+r AS (SELECT *, x * cos(radians(-35)) - y * sin(radians(-35)) AS sx, x * sin(radians(-35)) + y * cos(radians(-35)) AS yr FROM p)
+SELECT p_partkey, round(sx, 6) AS sx, round(z * cos(radians(32)) + yr * sin(radians(32)), 6) AS sy, round(yr * cos(radians(32)) - z * sin(radians(32)), 6) AS depth FROM r""")
+def isometric_view(spark, d):
+    p = table(spark, d, "part").select("p_partkey", vec.isometric(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, (F.col("p_partkey") % 7).cast("double")).alias("v"))
+    return p.select("p_partkey", *[F.round(f"v.{c}", 6).alias(c) for c in ("sx", "sy", "depth")])
+
+
+@query("""SELECT p_partkey, round(1024 * (20 + p_size) / (0.8 * sqrt(36 * 36 + 24 * 24)), 6) AS focal_px, round(sqrt(36 * 36 + 24 * 24) / (2 * tan(radians(60 + p_size) / 2)), 6) AS f_eq_mm FROM part""")
+def focal_lengths(spark, d):
+    s = F.col("p_size").cast("double")
+    return table(spark, d, "part").select("p_partkey", F.round(vec.focal_pixels(s + 20, 1024), 6).alias("focal_px"), F.round(vec.focal_from_view(s + 60), 6).alias("f_eq_mm"))
+
+
+@query("""WITH p AS (SELECT p_partkey, greatest(518.0 / (600 + p_size), 392.0 / 480) AS s, p_size FROM part)
+SELECT p_partkey, round(500 * s, 6) AS fx, round(320 * s - ((600 + p_size) * s - 518) / 2, 6) AS cx, round(240 * s - (480 * s - 392) / 2, 6) AS cy FROM p""")
+def rescaled_intrinsics(spark, d):
+    k = vec.matrix([[500, 0, 320], [0, 510, 240], [0, 0, 1]])
+    p = table(spark, d, "part").select("p_partkey", vec.rescale_intrinsics(k, (F.col("p_size") + 600).cast("double"), 480, 518, 392).alias("k"))
+    return p.select("p_partkey", F.round(vec.cell(F.col("k"), 0, 0), 6).alias("fx"), F.round(vec.cell(F.col("k"), 0, 2), 6).alias("cx"), F.round(vec.cell(F.col("k"), 1, 2), 6).alias("cy"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 4 - 1.0 AS y0, p_size % 3 * 1.0 AS x1 FROM part)
+SELECT p_partkey, CASE WHEN greatest(CASE WHEN x1 = 0 THEN 0.0 ELSE least(0.5 / x1, 1.5 / x1) END, CASE WHEN y0 = 0 THEN NULL ELSE least((0.5 - y0) / -y0, (1.5 - y0) / -y0) END, 0.0) <= least(CASE WHEN x1 = 0 THEN NULL ELSE greatest(0.5 / x1, 1.5 / x1) END, CASE WHEN y0 = 0 THEN NULL ELSE greatest((0.5 - y0) / -y0, (1.5 - y0) / -y0) END, 1.0)
+  AND x1 <> 0 AND y0 <> 0 THEN true ELSE false END AS hit FROM p""")
+def sight_through_box(spark, d):
+    """Sight lines from (0, y0) to (x1, 0) through the box from (0.5, 0.5) to (1.5, 1.5)."""
+    y0, x1 = (F.col("p_size") % 4 - 1).cast("double"), (F.col("p_size") % 3).cast("double")
+    zero, lo, hi = F.lit(0.0), F.lit(0.5), F.lit(1.5)
+    return table(spark, d, "part").select("p_partkey", walls.segment_hits_box(zero, y0, x1, zero, lo, lo, hi, hi).alias("hit"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS w, p_retailprice / 100 AS h FROM part)
+SELECT p_partkey, round(w, 6) AS low_chord, round(w / 2, 6) AS high_chord FROM p""")
+def room_chords(spark, d):
+    """Width of each part's L below and above its step."""
+    w, h, zero = F.col("p_size").cast("double"), F.col("p_retailprice") / 100, F.lit(0.0)
+    pt = lambda x, y: rings.point(x, y)
+    ell = F.array(pt(zero, zero), pt(w, zero), pt(w, h / 2), pt(w / 2, h / 2), pt(w / 2, h), pt(zero, h))
+    p = table(spark, d, "part").select("p_partkey", ell.alias("r"), w.alias("w"), h.alias("h"))
+    return p.select("p_partkey", F.round(rings.chord_through(F.col("r"), F.col("w") / 4, F.col("h") / 4), 6).alias("low_chord"), F.round(rings.chord_through(F.col("r"), F.col("w") / 4, F.col("h") * 0.75), 6).alias("high_chord"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, unnest([0.0, 60.0, greatest(0, l_quantity - 5), least(60, l_quantity + 5)])::DOUBLE AS t FROM lineitem)
+SELECT l_orderkey, count(DISTINCT t) AS n, round(sum(DISTINCT t), 4) AS total FROM s GROUP BY 1""")
+def wall_stations(spark, d):
+    held = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_quantity") - 5).alias("t0"), (F.col("l_quantity") + 5).alias("t1"))).alias("o"))
+    st = ordered.stations(F.lit(60.0), F.col("o"))
+    return held.select("l_orderkey", F.size(st).cast("long").alias("n"), F.round(F.aggregate(st, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("""SELECT o_orderkey, round((8 * 556 + 2 * 333) * 9.5 / 1000, 6) AS width, 'A-' || lpad(CAST(o_orderkey % 99 + 1 AS VARCHAR), 2, '0') AS next,
+list_element(['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'], CAST(round_even(o_orderkey % 360 / 45.0, 0) AS INT) % 8 + 1) AS wind FROM orders""")
+def sheet_labels(spark, d):
+    o = table(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").cast("string")
+    sheet = F.concat(F.lit("A-"), F.lpad((F.col("o_orderkey") % 99).cast("string"), 2, "0"))
+    return o.select("o_orderkey", F.round(text.text_width(day, 9.5), 6).alias("width"), text.next_sheet(sheet).alias("next"), text.compass((F.col("o_orderkey") % 360).cast("double")).alias("wind"))
+
+
+@query("""WITH l AS (SELECT l_orderkey % 50 AS k, CAST(l_quantity AS INT) AS level, count(*) AS n FROM lineitem GROUP BY 1, 2),
+w AS (SELECT a.k, a.s, sum(l.n) AS n FROM (SELECT DISTINCT k, greatest(level - d, 0) AS s FROM l, (SELECT unnest(range(9)) AS d)) a JOIN l ON l.k = a.k AND l.level BETWEEN a.s AND a.s + 8 GROUP BY 1, 2),
+t AS (SELECT k, sum(n) AS n FROM l GROUP BY 1)
+SELECT w.k, round(max(w.n) / t.n, 6) AS flatness FROM w JOIN t ON w.k = t.k GROUP BY w.k, t.n""")
+def picture_flatness(spark, d):
+    """Largest share of nine neighbouring levels of each picture's histogram."""
+    px = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("k"), F.col("l_quantity").alias("grey"))
+    return aggregate.flatness(px, ["k"]).select("k", F.round("flatness", 6).alias("flatness"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id // 40 AS w, (event_id % 10) / 10.0 > 0.6 AS flat, value AS s FROM events),
+v AS (SELECT user_id, w, max(CASE WHEN flat THEN 0 ELSE s END) AS best, bool_and(flat) AS flat FROM p GROUP BY 1, 2),
+c AS (SELECT user_id, count(*) FILTER (best >= 20) AS usable_frames, count(*) FILTER (flat) AS flat_windows, count(*) AS n FROM v GROUP BY 1),
+m AS (SELECT user_id, coalesce(median(s) FILTER (NOT flat), 0) AS med, coalesce(quantile_cont(s, 0.1) FILTER (NOT flat), 0) AS p10 FROM p GROUP BY 1)
+SELECT user_id, usable_frames, flat_windows, n - usable_frames - flat_windows AS blurry_windows, round(med, 6) AS sharpness_median, round(p10, 6) AS sharpness_p10 FROM c JOIN m USING (user_id)""")
+def clip_profile(spark, d):
+    """Usable, blurry and flat windows of each user's probes."""
+    probes = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("sharpness"), ((F.col("event_id") % 10) / 10).alias("flatness"))
+    out = aggregate.video_profile(probes, ["user_id"], "event_id", 40)
+    return out.select("user_id", "usable_frames", "flat_windows", "blurry_windows", F.round("sharpness_median", 6).alias("sharpness_median"), F.round("sharpness_p10", 6).alias("sharpness_p10"))
+
+
+@query("""SELECT p_partkey, coalesce(min(s) FILTER (p_size * 1000 / s <= 273), max(s))::DOUBLE AS scale FROM part, (SELECT unnest([20, 25, 50, 75, 100, 125, 150, 200, 250, 500]) AS s) GROUP BY 1""")
+def print_scales(spark, d):
+    """First standard scale at which each part's side fits the paper."""
+    p = table(spark, d, "part").select("p_partkey", "p_size")
+    return select.first_fitting(p, [20, 25, 50, 75, 100, 125, 150, 200, 250, 500], F.col("p_size") * 1000 / F.col("scale") <= 273).select("p_partkey", "scale")
+
+
+@query("""WITH r AS (SELECT s_suppkey, 0.5 AS cx, (s_suppkey % 20) * 0.3 + 0.05 AS cy, 1 + (s_suppkey % 13) * 0.37 AS x, (s_suppkey % 17) * 0.31 + 0.07 AS y FROM supplier),
+l AS (SELECT *, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS len FROM r), k AS (SELECT *, CAST(ceil((len - 0.06) / 0.07) AS INT) + 1 AS n FROM l WHERE len > 0.16),
+p AS (SELECT *, unnest(range(n)) AS i FROM k)
+SELECT DISTINCT CAST(floor((cx + (x - cx) * (i / greatest(n - 1, 1) * ((len - 0.06) / len))) / 0.1) AS BIGINT) AS ix, CAST(floor((cy + (y - cy) * (i / greatest(n - 1, 1) * ((len - 0.06) / len))) / 0.1) AS BIGINT) AS iy FROM p""")
+def sight_lines(spark, d):
+    """Cells crossed by sight lines, each along its whole length."""
+    k = F.col("s_suppkey")
+    pts = table(spark, d, "supplier").select(F.lit("s").alias("scene_id"), k.alias("point_id"), F.lit(0.5).alias("cx"), ((k % 20) * 0.3 + 0.05).alias("cy"), ((k % 13) * 0.37 + 1).alias("x"), ((k % 17) * 0.31 + 0.07).alias("y"))
+    g = spark.createDataFrame([("s", 0.0, 0.0, 0.1, 1000, 1000)], "scene_id string, x0 double, y0 double, cell double, nx long, ny long")
+    return cells.rays(pts, g, ["scene_id"]).select("ix", "iy")
+
+
+@query("""WITH d AS (SELECT l_returnflag, l_linestatus, median(l_quantity) AS m FROM lineitem WHERE l_discount > 0.05 GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, round(30 / m, 6) AS factor FROM d""")
+def calibration_factors(spark, d):
+    """Factor that brings a group's median width to a known one."""
+    li = table(spark, d, "lineitem").filter("l_discount > 0.05")
+    return aggregate.median_factor(li, ["l_returnflag", "l_linestatus"], "l_quantity", 30.0).select("l_returnflag", "l_linestatus", F.round("factor", 6).alias("factor"))
+
+
+@query("""WITH c AS (SELECT l_suppkey % 30 AS ix, l_partkey % 30 AS iy, l_orderkey % 9 AS o FROM lineitem), z AS (SELECT o, count(*) AS n FROM c GROUP BY 1),
+r AS (SELECT DISTINCT ix, iy, o FROM c)
+SELECT ix, iy, o FROM (SELECT r.*, row_number() OVER (PARTITION BY ix, iy ORDER BY z.n, r.o) AS k FROM r JOIN z USING (o)) WHERE k = 1""")
+def shared_floor(spark, d):
+    """Cells claimed by several owners stay with the smallest of them."""
+    c = table(spark, d, "lineitem").select((F.col("l_suppkey") % 30).alias("ix"), (F.col("l_partkey") % 30).alias("iy"), (F.col("l_orderkey") % 9).alias("o"))
+    sized = c.distinct().join(c.groupBy("o").agg(F.count("*").alias("n")), "o")
+    return cells.give_to_smaller(sized, [], "o", "n").select("ix", "iy", "o")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in REGISTRY.items()}
 

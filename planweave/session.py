@@ -29,6 +29,8 @@ def session(name: str = "planweave", master: str | None = None, **more) -> Spark
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers that share this file system import the package. A cluster whose
     machines don't share one gets it by --py-files or an installed wheel."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # times without a zone are read as UTC throughout
     home = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
