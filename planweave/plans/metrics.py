@@ -75,3 +75,50 @@ def area_report(areas: DataFrame) -> DataFrame:
     error without a scale is refused."""
     raw = (F.col("plan_m2") / F.col("truth_m2") - 1) * 100
     return areas.withColumns({"error_pct": raw, "shape_pct": shape_error(raw, F.col("scale"))})
+
+
+def floor_rooms(floor: DataFrame, keys: list[str], erode_r: int, smallest_core: int = 20, largest_hole: int = 0) -> DataFrame:
+    """Rooms of a seen floor: holes up to ``largest_hole`` cells filled, the largest connected part
+    eroded until doorways break, and every cell given to the core that grows to it first (ties:
+    the smaller label): keys, ix, iy, room. Rounds are as many as the erosion is deep."""
+    from pyspark.sql import Window
+
+    from ..operators.graph import cell_components, checkpointed
+
+    cells_ = checkpointed(floor.select(*keys, "ix", "iy").distinct())
+    if largest_hole:
+        box = cells_.groupBy(*keys).agg(F.min("ix").alias("i0"), F.max("ix").alias("i1"), F.min("iy").alias("j0"), F.max("iy").alias("j1"))
+        grid = box.withColumn("ix", F.explode(F.sequence(F.col("i0") - 1, F.col("i1") + 1))).withColumn("iy", F.explode(F.sequence(F.col("j0") - 1, F.col("j1") + 1)))
+        rim = (F.col("ix") < F.col("i0")) | (F.col("ix") > F.col("i1")) | (F.col("iy") < F.col("j0")) | (F.col("iy") > F.col("j1"))
+        empty = checkpointed(cell_components(checkpointed(cells.minus(grid, cells_, keys)), keys))
+        marked = empty.join(grid.select(*keys, "ix", "iy", rim.alias("rim")), [*keys, "ix", "iy"])
+        hole = marked.groupBy(*keys, "label").agg(F.bool_or("rim").alias("rim"), F.count("*").alias("n")).filter((~F.col("rim")) & (F.col("n") <= largest_hole))
+        cells_ = checkpointed(cells.union(cells_, empty.join(hole.select(*keys, "label"), [*keys, "label"]), keys))
+
+    def parts(c: DataFrame) -> DataFrame:
+        comp = checkpointed(cell_components(c, keys))
+        return comp.join(comp.groupBy(*keys, "label").agg(F.count("*").alias("n")), [*keys, "label"])
+
+    whole = parts(cells_)
+    most = whole.groupBy(*keys).agg(F.max_by("label", "n").alias("label"))
+    body = checkpointed(whole.join(most, [*keys, "label"]).select(*keys, "ix", "iy"))
+    cores = parts(cells.erode(body, keys, erode_r)).filter(F.col("n") >= smallest_core)
+    number = cores.select(*keys, "label").distinct().withColumn("room", F.row_number().over(Window.partitionBy(*keys).orderBy("label")))
+    held = checkpointed(cores.join(number, [*keys, "label"]).select(*keys, "ix", "iy", "room"))
+    step = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    while True:
+        rest = body.join(held.select(*keys, "ix", "iy"), [*keys, "ix", "iy"], "left_anti")
+        reach = held.withColumn("s", F.explode(step)).select(*keys, (F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), "room")
+        new = checkpointed(rest.join(reach, [*keys, "ix", "iy"]).groupBy(*keys, "ix", "iy").agg(F.min("room").alias("room")))
+        if not new.head(1):
+            return held
+        held = checkpointed(held.unionByName(new))
+
+
+def doorways(rooms: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rooms whose cells touch, with how many edges they share: keys, a, b, edges."""
+    beside = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1))])
+    there = rooms.select(*keys, "ix", "iy", F.col("room").alias("other"))
+    near = rooms.withColumn("s", F.explode(beside)).select(*keys, (F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), "room")
+    pairs = near.join(there, [*keys, "ix", "iy"]).filter("room <> other")
+    return pairs.groupBy(*keys, F.least("room", "other").alias("a"), F.greatest("room", "other").alias("b")).agg(F.count("*").alias("edges"))

@@ -258,6 +258,21 @@ def html(svgs: DataFrame, areas: DataFrame, openings: DataFrame) -> DataFrame:
     return out.select("scene_id", F.concat(F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>"), text.escape_markup(F.col("scene_id")), F.lit("</title></head><body>\n"), "value", F.lit("\n<table>"), F.coalesce("a", F.lit("")), F.lit("</table>\n<table>"), F.coalesce("o", F.lit("")), F.lit("</table>\n</body></html>\n")).alias("value"))
 
 
+def debug_png(plan: dict[str, DataFrame], scale: float = 60.0, most: int = 20_000) -> DataFrame:
+    """Overlay of a plan's evidence: seen floor (thinned by hash to about ``most`` cells a scene), fitted
+    runs and walls. For the eye; nothing is computed from it."""
+    none = F.lit(None).cast("string")
+    grid = plan["grid"].select("scene_id", "x0", "y0", "cell")
+    size = plan["floor"].groupBy("scene_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("long").alias("k"))
+    cell = plan["floor"].join(size, "scene_id").filter(F.pmod(F.xxhash64("ix", "iy"), F.col("k")) == 0).join(grid, "scene_id")
+    at = lambda i, j: rings.point(F.col("x0") + (F.col("ix") + i) * F.col("cell"), F.col("y0") + (F.col("iy") + j) * F.col("cell"))
+    prim = lambda df, o, kind, pts, layer: df.select("scene_id", (F.lit(o) * 1_000_000_000 + F.monotonically_increasing_id() % 1_000_000_000).alias("seq"), F.lit(kind).alias("kind"), pts.alias("points"), none.alias("text"), F.lit(layer).alias("layer"))
+    out = prim(cell, 0, "polygon", F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)), "room")
+    end = lambda t: rings.point(F.col("s") * F.cos("alpha") - F.col(t) * F.sin("alpha"), F.col("s") * F.sin("alpha") + F.col(t) * F.cos("alpha"))
+    out = out.unionByName(prim(plan["walls"], 1, "polygon", W.body, "wall")).unionByName(prim(plan["faces"], 2, "polyline", F.array(end("t0"), end("t1")), "open"))
+    return png(out, scale)
+
+
 FORMATS = ("svg", "png", "pdf", "dxf", "dxf3d", "obj", "glb", "json", "html", "iso.svg", "elevations.svg")
 
 

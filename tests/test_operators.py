@@ -243,3 +243,16 @@ def test_flat_pictures_are_dropped(spark):
     d, kk, pose = room_view(np.array([1.0, 1.0, 1.2]), 0.4)
     rows = [("s", 0, 24, 32, [0.6] * 768, [True] * 768, k, np.eye(4).tolist()), ("s", 1, 24, 32, d.ravel().tolist(), [True] * 768, kk.tolist(), pose.tolist())]
     assert [r.view_id for r in align.drop_flat_views(spark.createDataFrame(rows, align.VIEW)).collect()] == [1]
+
+
+def test_floor_rooms_and_doorways(spark):
+    from planweave.plans import metrics
+
+    left, right, door = [(i, j) for i in range(12) for j in range(12)], [(i, j) for i in range(14, 26) for j in range(12)], [(i, j) for i in (12, 13) for j in (5, 6)]
+    hole = {(4, 4)}
+    stray = [(40, 40), (41, 40)]
+    rooms = metrics.floor_rooms(cell_rows(spark, [c for c in left + right + door + stray if c not in hole]), ["scene_id"], 2, largest_hole=3)
+    out = {(r.ix, r.iy): r.room for r in rooms.collect()}
+    assert len(out) == 12 * 12 * 2 + 4 and out[(0, 0)] != out[(25, 11)] and (4, 4) in out and (40, 40) not in out
+    pair = metrics.doorways(rooms, ["scene_id"]).collect()
+    assert len(pair) == 1 and pair[0].edges == 2

@@ -64,6 +64,7 @@ def test_exports_and_round_trip(spark, flat, tmp_path):
     assert {r.format for r in out} == set(sinks.FORMATS) and all(r.bytes > 200 for r in out)
     assert (tmp_path / "two_rooms.pdf").read_bytes().startswith(b"%PDF") and (tmp_path / "two_rooms.glb").read_bytes()[:4] == b"glTF" and (tmp_path / "two_rooms.png").read_bytes()[1:4] == b"PNG"
     assert "Room 1 12.00 m²" in (tmp_path / "two_rooms.svg").read_text() and "3DFACE" in (tmp_path / "two_rooms.dxf3d").read_text()
+    assert bytes(sinks.debug_png(flat).first().content)[1:4] == b"PNG"
     (tmp_path / "docs").mkdir()
     (tmp_path / "two_rooms.json").rename(tmp_path / "docs" / "two_rooms.json")
     back = plans.read(spark, str(tmp_path / "docs"))
