@@ -48,7 +48,7 @@ class Encoder:
     """Encodes Arrow string arrays; remembers the ids of up to ``keep`` pieces, those that came
     again within a batch first. Ids live in flat arrays, not in an object a piece."""
 
-    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 300_000):
+    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 240_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -186,7 +186,7 @@ def terminated(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarra
     return np.insert(ids, after, np.uint32(end)), counts + 1
 
 
-def slices(column, most: int = 8 << 20):
+def slices(column, most: int = 6 << 20):
     """Arrow slices of a string column of about ``most`` bytes of text each (one row at least)."""
     import pyarrow.compute as pc
 
