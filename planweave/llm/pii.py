@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, materialize, trimmed
+from .store import fresh, materialize, small_batches, trimmed
 
 KEY = b"planweave-surrogates"  # replace by a secret in production
 LATIN_V, LATIN_C = "aeiou", "bcdfghjklmnpqrstvwxyz"
@@ -328,6 +328,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
     entity_c, kinds_c, hash_c, over_c, id_c, of_c = fresh(docs, "entities", "kinds", "hash", "overrides", "mention_id", "mention_hash")
+    small_batches(docs.sparkSession)
     found = materialize(mentions(docs), "mentions")
     again = materialize(collisions(materialize(found.select("kind", "value").distinct(), "entities")), "overrides")
     source = docs

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import fresh, materialize, trimmed
+from .store import fresh, materialize, small_batches, trimmed
 
 LOW = 0x5555555555555555
 BLOCKS = (12, 12, 12, 14, 14)  # bits of each block of segments, 64 in all
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = pa.array([fingerprint(texts[i].as_py(), words) for i in range(batch.num_rows)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fps], names=["doc_id", "text_hash", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(trimmed(run), "doc_id long, text_hash long, fp long")
 

@@ -82,6 +82,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1500) -> None:
+    """Fewer rows an Arrow batch for the session: texts are long, and a batch is held in the
+    executor's and the worker's memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def trimmed(run):
     """A partition function that gives freed memory back to the system when its task ends:
     workers are reused, and what one task needed would else stay with its process."""

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch, trimmed
+from .store import file_system, make_dir, materialize, scratch, small_batches, trimmed
 from .tokens import default_vocabulary, shared_encoder, slices, terminated
 
 DTYPE = "<u2"
@@ -32,6 +32,7 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, r
     vocabulary = vocabulary or default_vocabulary()
     folder = scratch(spark, "flat")
     make_dir(spark, folder)
+    small_batches(spark)
 
     def run(batches):
         import pyarrow as pa

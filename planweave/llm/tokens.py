@@ -48,7 +48,7 @@ class Encoder:
     """Encodes Arrow string arrays; remembers the ids of up to ``keep`` pieces, those that came
     again within a batch first. Ids live in flat arrays, not in an object a piece."""
 
-    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 240_000):
+    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

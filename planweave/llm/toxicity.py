@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, trimmed
+from .store import fresh, small_batches, trimmed
 
 BITS = 20
 GRAMS = (3, 4, 5)
@@ -245,6 +245,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.bias))
 
     def run(batches):

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch, trimmed
+from .store import file_system, make_dir, materialize, scratch, small_batches, trimmed
 from .tokens import default_vocabulary, shared_encoder, slices, terminated
 
 MAGIC = b"PWWMTX01"
@@ -192,6 +192,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
     vocabulary = vocabulary or default_vocabulary()
     folder = scratch(spark, "shards")
     make_dir(spark, folder)
+    small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = slim.withColumn("tie", F.xxhash64("text"))
     dealt = (keyed.repartitionByRange(partitions, "doc_id", "tie") if partitions else keyed.repartitionByRange("doc_id", "tie")).sortWithinPartitions("doc_id", "tie").drop("tie")
