@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planweave.llm import decontaminate, mixing, simhash, toxicity, wavelet
+from planweave.llm import decontaminate, mixing, nearcopies, toxicity, wavelet
 from planweave.llm.store import materialize
 
 
@@ -16,8 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or
+    more) stays: that with the smallest doc_id. SimHash within 2 bits would lose most of them."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,25 +35,33 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
 
 
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """XXH64 hashes (seed 42) of the shingles of one text, repeats kept; none without words."""
+    import numpy as np
+    import xxhash
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return []
+    if len(found) <= words:
+        return [xxhash.xxh64_intdigest(b" ".join(found), 42)]
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(found) - words + 1].tolist()
+    return [digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())]
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64-bit SimHash of one text, signed. ASCII letters are lower-cased, words are runs
     of anything but ASCII white space, shingles are ``words`` of them joined by a space,
     repeats counted (a shorter text is one shingle). A bit is set where over half the
     XXH64 hashes (seed 42) have it. Null and wordless texts give 0."""
     import numpy as np
-    import xxhash
 
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
+    hashes = shingle_hashes(text, words)
+    if not hashes:
         return 0
-    if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), 42)]
-    else:
-        joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(found) - words + 1].tolist()
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())]
     n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):  # bounded memory for very long texts
@@ -143,10 +151,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFra
     return rows.join(of, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFrame:
-    """``docs`` with one row of each group, that with the smallest (doc_id, text hash); all
-    columns pass. Of repeated rows one stays."""
-    groups = near_duplicates(docs, words, dense)
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of ``groups(doc_id, text_hash, group)``, that with the
+    smallest (doc_id, text hash); all columns pass. Of repeated rows one stays."""
     least = F.lit(-(1 << 63)).cast("long")  # stands for a null id
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", least).alias("k"), "text_hash")  # an id before none
     k, h, row = fresh(docs, "k", "h", "row")
@@ -156,6 +163,11 @@ def keep_one(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFrame:
     return keyed.join(chosen, [k, h], "left_semi").withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFrame:
+    """``first_of_groups`` of the groups of ``near_duplicates``."""
+    return first_of_groups(docs, near_duplicates(docs, words, dense))
+
+
 def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     """Digest of ``near_duplicates``: doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
