@@ -8,7 +8,10 @@ every letter stays a letter of its script and case (vowels stay vowels in names)
 digit a digit, fixed parts stay. A permutation keeps distinct entities distinct and
 gives the same entity the same surrogate in every document, so coreference holds across
 the corpus without a lookup table. Check digits are made to fit again; the title stays
-and a given name ends as names of that gender do.
+and a given name ends as names of that gender do. A name's surrogate depends on the word
+alone, whatever its title, place or length of mention: the gender that picks the ending is
+settled once for the corpus (none where titles disagree). Names found after a title are
+replaced wherever the same document has them again, capitalised, without one.
 
 Collision check: a surrogate must not be the canonical form of another entity of the
 corpus, or two people would become one. The distinct entities are compared as a
@@ -146,17 +149,21 @@ def _letters(value: str) -> list[str | None]:
 
 
 def _name(value: str, tweak: bytes) -> str:
-    """``role:gender:token`` in lower case; a given name gets an ending of its gender."""
-    role, gender, token = value.split(":", 2)
-    out = reshape(token, _letters(token), tweak + role.encode() + gender.encode())
-    if role == "given" and gender != "n":
+    """``gender:token`` in lower case -> token; a given name gets an ending of its gender."""
+    gender, token = value.split(":", 1)
+    out = reshape(token, _letters(token), tweak)
+    if gender != "n":
         script = next((k for k, a in enumerate(ALPHABETS) if out[-1] in a), 0) // 2
         out += {"m": ("on", "ов", "ος"), "f": ("ia", "ия", "ια")}[gender][script]
-    return f"{role}:{gender}:{out}"
+    return out
 
 
 TITLES = "|".join(re.escape(t) for t in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+"
+PARTICLES = "al|af|av|bin|bint|da|das|de|degli|dei|del|della|den|der|di|do|dos|du|e|el|ibn|la|las|le|los|ten|ter|van|vom|von|y|zu|zum|zur|де|фон|ван"
+NAME_WORD = rf"(?!(?:{TITLES})(?!\w)){WORD}"  # a title begins the next name
+FULL_NAME = re.compile(rf"{NAME_WORD}(?: (?:(?:{PARTICLES}) ){{0,3}}{NAME_WORD})*")
+BARE = re.compile(rf"(?<!\w){WORD}(?!\w)")
 
 
 @dataclass(frozen=True)
@@ -205,6 +212,7 @@ def find(text: str | None) -> list[Entity]:
     text = text or ""
     taken: list[tuple[int, int]] = []
     out: list[Entity] = []
+    named: list[tuple[str, list[tuple[int, int]]]] = []  # gender and words of each name after a title
 
     def add(start, stop, kind, canonical):
         if all(stop <= a or b <= start for a, b in taken):
@@ -216,17 +224,21 @@ def find(text: str | None) -> list[Entity]:
             continue
         for m in kind.pattern.finditer(text):
             if kind.name == "name":
-                title = m[0].rstrip(" .")
-                gender = "m" if title in MALE else "f" if title in FEMALE else "n"
-                words = re.compile(rf"{WORD}(?: {WORD}){{0,2}}").match(text, m.end())
-                at = m.end()
-                tokens = words[0].split(" ")
-                for i, token in enumerate(tokens):
-                    role = "given" if i < len(tokens) - 1 else "family"
-                    add(at, at + len(token), "name", f"{role}:{gender if role == 'given' else 'n'}:{token.lower()}")
-                    at += len(token) + 1
+                words = FULL_NAME.match(text, m.end())
+                if words:
+                    title = m[0].rstrip(" .")
+                    named.append(("m" if title in MALE else "f" if title in FEMALE else "n", [(w.start(), w.end()) for w in re.compile(WORD).finditer(text, m.end(), words.end())]))
             elif kind.name != "iban" or _iban_ok(m[0]):
                 add(m.start(), m.end(), kind.name, kind.canonical(m[0]))
+    if named:
+        genders: dict[str, set[str]] = {}
+        for gender, words in named:
+            for i, (start, stop) in enumerate(words):
+                genders.setdefault(text[start:stop].lower(), set()).update(gender if i < len(words) - 1 and gender != "n" else ())
+        whole = {span for _, words in named for span in words} | {m.span() for m in BARE.finditer(text) if m[0].lower() in genders}
+        for start, stop in sorted(whole):
+            token = text[start:stop].lower()
+            add(start, stop, "name", f"{min(genders[token]) if len(genders[token]) == 1 else 'n'}:{token}")
     return sorted(out, key=lambda e: e.start)
 
 
@@ -250,8 +262,7 @@ def render(entity: Entity, original: str, new: str) -> str:
                 out.append(c)
         return "".join(out)
     if entity.kind == "name":
-        token = new.split(":", 2)[2]
-        return token.upper() if original.isupper() and len(original) > 1 else token[:1].upper() + token[1:]
+        return new.upper() if original.isupper() and len(original) > 1 else new[:1].upper() + new[1:]
     if entity.kind == "email":
         return new.upper() if original.isupper() else "".join(n.upper() if i < len(original) and original[i].isupper() else n for i, n in enumerate(new))
     return new
@@ -288,7 +299,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
     """Distinct ``entities(kind, value)`` -> ``(kind, value, surrogate)`` of those whose first
-    surrogate is the canonical form of a corpus entity (or their own) and so draw again."""
+    surrogate is the canonical form of a corpus entity (or their own) and so draw again, and of
+    names whose gender other documents know better."""
 
     def draw(attempt: int):
         def run(batches):
@@ -298,8 +310,12 @@ def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
         return run
 
     kinds = "kind string, value string, surrogate string"
-    settled = materialize(entities.mapInPandas(draw(0), kinds), "surrogates")
-    originals = entities.select(F.col("kind").alias("k"), F.col("value").alias("v"))
+    ident = F.when(F.col("kind") == "name", F.substring_index("value", ":", -1)).otherwise(F.col("value"))
+    told = [F.max((F.col("kind") == "name") & F.col("value").startswith(f"{g}:")).alias(g) for g in "mf"]
+    gender = F.when(F.col("m") & ~F.col("f"), "m:").when(F.col("f") & ~F.col("m"), "f:").otherwise("n:")
+    people = materialize(entities.groupBy("kind", ident.alias("v")).agg(*told).select("kind", "v", F.when(F.col("kind") == "name", F.concat(gender, "v")).otherwise(F.col("v")).alias("value")), "people")
+    settled = materialize(people.select("kind", "value").mapInPandas(draw(0), kinds), "surrogates")
+    originals = people.select(F.col("kind").alias("k"), "v")
     hit = (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("v"))
     open_ = materialize(settled.join(originals, hit, "left_semi").select("kind", "value"), "open")
     done = None
@@ -317,7 +333,10 @@ def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
         done = good if done is None else done.unionByName(good)
     if open_.head(1):
         raise RuntimeError("surrogates still collide; give more rounds")
-    return done if done is not None else settled.limit(0)
+    final = settled if done is None else settled.join(done.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(done)
+    final = final.join(settled.select("kind", "value", F.col("surrogate").alias("first")), ["kind", "value"]).withColumnRenamed("value", "of")
+    each = entities.withColumn("v", ident).join(people.withColumnRenamed("value", "of"), ["kind", "v"])
+    return each.join(final, ["kind", "of"]).filter((F.col("value") != F.col("of")) | (F.col("surrogate") != F.col("first"))).select("kind", "value", "surrogate")
 
 
 def pseudonymize(docs: DataFrame) -> DataFrame:
