@@ -14,7 +14,7 @@ settled once for the corpus (none where titles disagree). Names found after a ti
 replaced wherever the same document has them again, capitalised, without one.
 
 Collision check: a surrogate must not be the canonical form of another entity of the
-corpus, or two people would become one. The distinct entities are compared as a
+corpus, nor another's surrogate, or two people would become one. The distinct entities are compared as a
 distributed join; the few that collide draw again under the next key, and are checked
 again against all originals and all surrogates, until none is left.
 """
@@ -299,8 +299,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
     """Distinct ``entities(kind, value)`` -> ``(kind, value, surrogate)`` of those whose first
-    surrogate is the canonical form of a corpus entity (or their own) and so draw again, and of
-    names whose gender other documents know better."""
+    surrogate is the canonical form of a corpus entity (or their own), or the surrogate of
+    another entity with a smaller value, and so draw again, and of names whose gender other documents know better."""
 
     def draw(attempt: int):
         def run(batches):
@@ -317,7 +317,9 @@ def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
     settled = materialize(people.select("kind", "value").mapInPandas(draw(0), kinds), "surrogates")
     originals = people.select(F.col("kind").alias("k"), "v")
     hit = (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("v"))
-    open_ = materialize(settled.join(originals, hit, "left_semi").select("kind", "value"), "open")
+    twice = settled.groupBy("kind", "surrogate").agg(F.min("value").alias("keeps"), F.count("*").alias("n")).filter("n > 1")  # shapes overlap: a permutation is one-to-one within one
+    alike = settled.join(twice, ["kind", "surrogate"]).filter(F.col("value") != F.col("keeps")).select("kind", "value")
+    open_ = materialize(settled.join(originals, hit, "left_semi").select("kind", "value").unionByName(alike).distinct(), "open")
     done = None
     for attempt in range(1, rounds + 1):
         if not open_.head(1):
