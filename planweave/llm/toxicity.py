@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, small_batches, trimmed
+from .store import fresh, materialize, small_batches, trimmed
 
 BITS = 20
 GRAMS = (3, 4, 5)
@@ -213,23 +213,34 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 16384) -> Model:
     """Train on a bounded sample of labelled rows outside the held-out third: of each class
-    the ``per_class`` ids with the smallest hashes, texts of at most ``longest`` bytes
-    (whole texts; longer ones are passed over when choosing, never cut). The bound holds
-    whatever the table's size, so the id list may be broadcast and one task may hold the
-    texts. Training runs in that task, which Spark repeats if its executor is lost; the
-    driver gets the finished model. Null ids and labels are left out; of repeated ids the
-    first few rows count."""
+    the ``per_class`` ids with the smallest hashes among those that have a text of at most
+    ``longest`` bytes. Texts are whole, never cut: a class with too few of them is filled up
+    with its shortest longer texts while the class stays within ``per_class * longest``
+    bytes (one text at least). The bound holds whatever the table's size, so the id list may
+    be broadcast and one task may hold the texts. Training runs in that task, which Spark
+    repeats if its executor is lost; the driver gets the finished model. Null ids, labels and
+    texts are left out; of repeated ids one row of the shortest text counts."""
     import pandas as pd
 
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    by_hash = F.xxhash64("doc_id", F.lit(11))
-    ids = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).groupBy("doc_id").agg(F.first("toxic").alias("toxic")).orderBy(by_hash, "doc_id").limit(per_class).collect()]
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "sample_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= longest)
-    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text", "toxic").orderBy("doc_id", F.xxhash64("text")).limit(2 * per_class)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("bytes", F.octet_length("text"))
+    lengths = texts.select("doc_id", "bytes").filter("doc_id is not null and bytes is not null")
+    usable = materialize(known.distinct().join(lengths, "doc_id").groupBy("doc_id", "toxic").agg(F.min("bytes").alias("bytes")), "usable")
+    over = F.when(F.col("bytes") > longest, F.col("bytes")).otherwise(0)
+    ids = []
+    for y in (0, 1):
+        total = 0
+        for r in usable.filter(F.col("toxic") == y).orderBy(over, F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(per_class).collect():
+            total += r.bytes
+            if total > per_class * longest and total > r.bytes:
+                break
+            ids.append((r.doc_id, r.toxic, r.bytes))
+    chosen = docs.sparkSession.createDataFrame(ids, "sample_id long, toxic int, size int")
+    found = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("sample_id")) & (F.col("bytes") == F.col("size")))
+    found = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
 
     def learn(batches):
-        rows = pd.concat([b for b in batches] or [pd.DataFrame({"doc_id": [], "text": [], "toxic": []})]).sort_values("doc_id", kind="stable")
+        rows = pd.concat([b for b in batches] or [pd.DataFrame({"doc_id": [], "text": [], "toxic": []})]).sort_values(["doc_id", "toxic"], kind="stable")
         model = train(rows["text"].tolist(), rows["toxic"].tolist())
         yield pd.DataFrame({"rows": [model.rows.tobytes()], "bias": [model.bias]})
 
