@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; a local one is made only where none is configured."""
+    """URI of the shared folder. Where none is configured, a local one is made if the whole
+    application is one process; on a cluster that is an error, for machines don't share it."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="planweave-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -40,21 +43,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     _until_exit(spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that no later step reads, through Hadoop's file system."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop(spark: SparkSession, uri: str) -> None:
-    """Remove a scratch folder through Hadoop's file system (any store)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def spread(manifest: DataFrame, each: int = 8) -> DataFrame:
+    """A small table of work items (a file or block a row) dealt evenly: an item a task while
+    there are few, about ``each`` of them a task beyond that."""
+    items = manifest.count()
+    return manifest.repartition(max(1, min(items, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-items // each)))))
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path) of a URI; local paths, file://, hdfs:// and object stores."""
+    """(pyarrow file system, path) of a URI; local paths, file://, hdfs:// and object stores
+    (Hadoop's names for S3 stand for pyarrow's)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def make_dir(spark: SparkSession, uri: str) -> None:

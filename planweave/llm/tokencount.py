@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch, small_batches, trimmed
+from .store import file_system, make_dir, materialize, scratch, small_batches, spread, trimmed
 from .tokens import default_vocabulary, shared_encoder, slices, terminated
 
 DTYPE = "<u2"
@@ -105,7 +105,7 @@ def scan(paths: DataFrame, end: int = END, block: int = BLOCK, dtype: str = DTYP
                 elif len(ends):
                     yield pd.DataFrame({"path": path, "block": k, "place": np.arange(len(ends)), "stop": ends, "before": before, "complete": True})
 
-    dealt = blocks.repartition(64, "path", "block")
+    dealt = spread(blocks)
     found = materialize(dealt.mapInPandas(trimmed(run), "path string, block long, place long, stop long, before long, complete boolean"), "separators")
     each = found.filter("complete").groupBy("path", "block").agg(F.count("*").alias("n"), F.max("stop").alias("last"))
     prior = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch
+from .store import file_system, make_dir, materialize, scratch, spread
 
 CHUNK = 1 << 18
 CRLF = b"\r\n"
@@ -207,7 +207,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload binary" if payloads else "")
-    return manifest.select("path").repartition(64, "path").mapInPandas(run, kinds)
+    return spread(manifest.select("path")).mapInPandas(run, kinds)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
