@@ -80,7 +80,7 @@ def assign(docs: DataFrame, tree: Node | None = None, bucket_rows: int = 50_000)
 
     Slots: a shard's rows fall into hash buckets of about ``bucket_rows``; a slot is the
     number of rows in earlier buckets plus the rank in the own one, so no task ranks a
-    whole shard. A null id is a key like any other; repeated rows get a slot each; equal
+    whole shard; buckets that repeated rows overfill are cut further. A null id is a key like any other; repeated rows get a slot each; equal
     ids share a shard; an empty table gives no row; other columns are ignored.
     """
     tree = tree or even_tree(8)
@@ -91,14 +91,18 @@ def assign(docs: DataFrame, tree: Node | None = None, bucket_rows: int = 50_000)
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
     )
-    put = materialize(rows.select("*", place(F.col("doc_id"), tree).cast("int").alias("shard"), place(F.col("doc_id"), grown(tree)).cast("int").alias("grown_shard")), "shards")
+    row = F.monotonically_increasing_id().alias("row")
+    put = materialize(rows.select("*", place(F.col("doc_id"), tree).cast("int").alias("shard"), place(F.col("doc_id"), grown(tree)).cast("int").alias("grown_shard"), row), "shards")
     buckets = max(16, put.count() // bucket_rows)
     put = put.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(5)), F.lit(buckets)).cast("int"))
-    counts = put.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    # A bucket that repeated rows have filled is cut by row number.
+    counts = materialize(put.groupBy("shard", "bucket").agg(F.ceil(F.count("*") / (2 * bucket_rows)).alias("cuts")), "buckets")
+    put = put.join(counts, ["shard", "bucket"]).withColumn("cut", F.pmod("row", "cuts"))
+    counts = put.groupBy("shard", "bucket", "cut").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "bucket", "cut", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = Window.partitionBy("shard", "bucket", "cut").orderBy("doc_id", "text_crc32", "size")
     ranked = put.withColumn("rank", F.row_number().over(rank) - 1)
-    return ranked.join(offsets, ["shard", "bucket"]).select(
+    return ranked.join(offsets, ["shard", "bucket", "cut"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("rank")).cast("long").alias("slot"), "grown_shard"
     )
