@@ -1,7 +1,8 @@
 """Personal data: keyed surrogates that keep type, format, script, gender and identity.
 
-Entities are found by pattern in the whole text: e-mail and IP addresses, telephone,
-card, account and social security numbers, access keys, and names after a title. Each is
+Entities are found by pattern in the whole text: e-mail and IP addresses, telephone, card
+(with a fitting check digit), account and social security numbers, access keys, and names
+after a title. Each is
 reduced to a canonical form (letter case and punctuation of a number don't matter), and
 the canonical form goes through a keyed permutation of the strings of its own shape:
 every letter stays a letter of its script and case (vowels stay vowels in names), every
@@ -16,22 +17,32 @@ replaced wherever the same document has them again, capitalised, without one.
 Collision check: a surrogate must not be the canonical form of another entity of the
 corpus, nor another's surrogate, or two people would become one. The distinct entities are compared as a
 distributed join; the few that collide draw again under the next key, and are checked
-again against all originals and all surrogates, until none is left.
+again against all originals and all surrogates, until none is left. Where the corpus uses
+most strings of a shape, draws go to a wider one (names and addresses grow, IP addresses
+and telephone numbers leave their reserved range) and at last to a longer one, so the
+rounds always come to an end.
+
+Every function takes the secret ``key``; ``KEY`` is for tests and demonstrations only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import fresh, materialize, small_batches, trimmed
 
-KEY = b"planweave-surrogates"  # replace by a secret in production
+KEY = b"planweave-surrogates"  # public: give a secret in production
+WIDER, LONGER = 4, 12  # draws after which a surrogate may leave its shape, and its length
 LATIN_V, LATIN_C = "aeiou", "bcdfghjklmnpqrstvwxyz"
 CYRILLIC_V, CYRILLIC_C = "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"
 GREEK_V, GREEK_C = "αεηιουω", "βγδζθκλμνξπρστφχψ"
@@ -50,10 +61,11 @@ def permute(x: int, size: int, tweak: bytes) -> int:
         return x
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
+    own = hashlib.blake2b(tweak).digest()  # the tweak begins with what the secret key makes of kind and draw
     while True:
         a, b = x >> half, x & mask
         for r in range(8):
-            h = hashlib.blake2b(r.to_bytes(1, "big") + b.to_bytes(width, "big") + tweak, key=KEY[:64], digest_size=min(64, width + 8)).digest()
+            h = hashlib.blake2b(r.to_bytes(1, "big") + b.to_bytes(width, "big"), key=own, digest_size=min(64, width + 8)).digest()
             if width > 56:
                 h = hashlib.shake_256(h).digest(width + 8)
             a, b = b, a ^ (int.from_bytes(h, "big") & mask)
@@ -92,68 +104,105 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-def _email(value: str, tweak: bytes) -> str:
+def _drawn(letters: str, count: int, tweak: bytes) -> str:
+    """``count`` letters that depend on the tweak alone."""
+    return "".join(letters[k % len(letters)] for k in hashlib.shake_256(b"more" + tweak).digest(2 * count)[::2])
+
+
+def _email(value: str, tweak: bytes, draw: int) -> str:
     local, _, domain = value.partition("@")
     labels = domain.split(".")
     fixed = 2 if labels[-2:-1] == ["example"] else 1  # reserved domains, else the top level
     head, tail = ".".join(labels[:-fixed]), "." * (len(labels) > fixed) + ".".join(labels[-fixed:])
     text = f"{local}@{head}"
-    return reshape(text, _plain(text), tweak) + tail
+    new = reshape(text, _plain(text), tweak) + tail
+    return _drawn(LOWER, 4 * (draw - WIDER + 1), tweak + value.encode()) + new if draw >= WIDER else new
 
 
-def _ip(value: str, tweak: bytes) -> str:
+def _ip(value: str, tweak: bytes, draw: int) -> str:
     a, b, c, d = map(int, value.split("."))
-    if a in PUBLIC:
+    if draw >= LONGER:  # no address is free: one of the documentation range of IPv6
+        return "2001:db8:" + ":".join(_drawn(DIGITS, 4, tweak + bytes((k,)) + value.encode()) for k in range(6))
+    if a in PUBLIC or draw >= 2 * WIDER:
+        a = a if a in PUBLIC else PUBLIC[a % len(PUBLIC)]
         x = permute(((PUBLIC.index(a) * 256 + b) * 256 + c) * 256 + d, len(PUBLIC) << 24, tweak)
         return f"{PUBLIC[x >> 24]}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
+    if draw >= WIDER:  # the range is full: another private one
+        x = permute((b * 256 + c) * 256 + d, 1 << 24, tweak + bytes((a,)))
+        return f"10.{x >> 16}.{x >> 8 & 255}.{x & 255}"
     x = permute(c * 256 + d, 1 << 16, tweak + bytes((a, b)))  # reserved ranges stay what they are
     return f"{a}.{b}.{x >> 8}.{x & 255}"
 
 
-def _card(value: str, tweak: bytes) -> str:
+def _card(value: str, tweak: bytes, draw: int) -> str:
     off = (int(value[-1]) - luhn(value[:-1])) % 10
-    body = value[0] + reshape(value[1:-1], [DIGITS] * (len(value) - 2), tweak + value[:1].encode())
+    body = value[0] + reshape(value[1:-1], [DIGITS] * (len(value) - 2), tweak + value[:1].encode()) + _more_digits(value, tweak, draw)
     return body + str((luhn(body) + off) % 10)
 
 
-def _phone(value: str, tweak: bytes) -> str:
+def _more_digits(value: str, tweak: bytes, draw: int) -> str:
+    return _drawn(DIGITS, 4 * (draw - LONGER + 1), tweak + value.encode()) if draw >= LONGER else ""
+
+
+def _phone(value: str, tweak: bytes, draw: int) -> str:
     code, _, rest = value.partition(":")
     own: list[str | None] = [DIGITS] * len(rest)
     if len(rest) == 10:
         own[0] = "23456789" if rest[0] in "23456789" else None
-        if rest[3:6] == "555":  # numbers reserved for fiction stay so
+        if rest[3:6] == "555" and draw < WIDER:  # numbers reserved for fiction stay so
             own[3:6] = [None] * 3
-    return f"{code}:{reshape(rest, own, tweak)}"
+    return f"{code}:{reshape(rest, own, tweak)}{_more_digits(value, tweak, draw)}"
 
 
-def _iban(value: str, tweak: bytes) -> str:
-    body = reshape(value[4:], [ALNUM[:26] if c.isalpha() else DIGITS for c in value[4:]], tweak + value[:2].encode())
+def _iban(value: str, tweak: bytes, draw: int) -> str:
+    body = reshape(value[4:], [ALNUM[:26] if c.isalpha() else DIGITS for c in value[4:]], tweak + value[:2].encode()) + _more_digits(value, tweak, draw)
     number = lambda head: int("".join(str(int(c, 36)) for c in body + head))
     old = int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
     return f"{value[:2]}{(98 - number(value[:2] + '00') % 97 + old - 1) % 97:02d}{body}"
 
 
-def _digits(value: str, tweak: bytes) -> str:
-    return reshape(value, [DIGITS if c.isdigit() else None for c in value], tweak)
+def _digits(value: str, tweak: bytes, draw: int) -> str:
+    return reshape(value, [DIGITS if c.isdigit() else None for c in value], tweak) + _more_digits(value, tweak, draw)
 
 
-def _secret(value: str, tweak: bytes) -> str:
+def _secret(value: str, tweak: bytes, draw: int) -> str:
     head = re.match(r"AKIA|ASIA|ghp_|sk-", value)[0]
     letters = ALNUM if head.isupper() else LOWER + LOWER.upper() + DIGITS
     rest = value[len(head) :]
-    return head + reshape(rest, [letters if c in letters else None for c in rest], tweak)
+    return head + reshape(rest, [letters if c in letters else None for c in rest], tweak) + _more_digits(value, tweak, draw)
+
+
+@lru_cache(maxsize=4096)
+def _class_of(letter: str) -> str | None:
+    """The letters that may stand for ``letter``: vowels or consonants of its alphabet; accented
+    and other letters stay among those of their script and neighbourhood that have one form in
+    each case. A letter without two of these may become any plain consonant."""
+    for own in ALPHABETS:
+        if letter in own:
+            return own
+    if not letter.isalpha():
+        return None
+    script = lambda c: unicodedata.name(c, "").split(" ")[0]
+    base = lambda c: unicodedata.normalize("NFD", c)[0] in LATIN_V
+    first = ord(letter) & ~127
+    near = [c for c in map(chr, range(first, first + 128)) if c.isalpha() and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c and script(c) == script(letter) and base(c) == base(letter) and unicodedata.category(c) == unicodedata.category(letter)]
+    return "".join(near) if letter in near and len(near) > 1 else LATIN_C + letter
 
 
 def _letters(value: str) -> list[str | None]:
-    return [next((a for a in ALPHABETS if c in a), None) for c in value]
+    return [_class_of(c) for c in value]
 
 
-def _name(value: str, tweak: bytes) -> str:
+def _name(value: str, tweak: bytes, draw: int) -> str:
     """``gender:token`` in lower case -> token; a given name gets an ending of its gender."""
     gender, token = value.split(":", 1)
     out = reshape(token, _letters(token), tweak)
+    script = next((k for k, a in enumerate(ALPHABETS) if out[-1] in a), 0) // 2
+    if draw >= WIDER:  # names of this length are used up: a longer one
+        more = _drawn(DIGITS, 3 * (draw - WIDER + 2), tweak + value.encode())
+        vowels, consonants = ALPHABETS[2 * script], ALPHABETS[2 * script + 1]
+        out += "".join((consonants, vowels)[i % 2][int(more[i : i + 2]) % len((consonants, vowels)[i % 2])] for i in range(len(more) - 1))
     if gender != "n":
-        script = next((k for k, a in enumerate(ALPHABETS) if out[-1] in a), 0) // 2
         out += {"m": ("on", "ов", "ος"), "f": ("ia", "ия", "ια")}[gender][script]
     return out
 
@@ -172,17 +221,18 @@ class Kind:
     pattern: re.Pattern
     hint: Callable[[str], object]  # cheap test that the pattern can match
     canonical: Callable[[str], str]
-    surrogate: Callable[[str, bytes], str]
+    surrogate: Callable[[str, bytes, int], str]
+    accepts: Callable[[str], bool] = bool  # check digits
 
 
 HAS_DIGIT = re.compile(r"\d\d").search
 KINDS = [
     Kind("email", re.compile(r"[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+", re.ASCII), lambda t: "@" in t, str.lower, _email),
     Kind("secret", re.compile(r"\b(?:A[KS]IA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b", re.ASCII), lambda t: "AKIA" in t or "ASIA" in t or "ghp_" in t or "sk-" in t, str, _secret),
-    Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII), HAS_DIGIT, lambda v: v.replace(" ", ""), _iban),
+    Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII), HAS_DIGIT, lambda v: v.replace(" ", ""), _iban, lambda v: _iban_ok(v)),
     Kind("ip", re.compile(rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)", re.ASCII), HAS_DIGIT, str, _ip),
     Kind("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", re.ASCII), HAS_DIGIT, lambda v: _phone_number(v), _phone),
-    Kind("card", re.compile(r"(?<![\w-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\w-])", re.ASCII), HAS_DIGIT, lambda v: re.sub(r"\D", "", v), _card),
+    Kind("card", re.compile(r"(?<![\w-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\w-])", re.ASCII), HAS_DIGIT, lambda v: re.sub(r"\D", "", v), _card, lambda v: _card_ok(v)),
     Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII), HAS_DIGIT, str, _digits),
     Kind("name", re.compile(rf"\b(?:{TITLES})\.? (?={WORD})"), re.compile(rf"(?:{TITLES})\.? [^\W\d_]").search, str, _name),
 ]
@@ -199,6 +249,11 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _card_ok(value: str) -> bool:
+    digits = re.sub(r"\D", "", value)
+    return int(digits[-1]) == luhn(digits[:-1])
+
+
 @dataclass
 class Entity:
     start: int
@@ -210,41 +265,48 @@ class Entity:
 def find(text: str | None) -> list[Entity]:
     """Entities in order, not overlapping; earlier kinds win. Null has none."""
     text = text or ""
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, apart from each other
     out: list[Entity] = []
     named: list[tuple[str, list[tuple[int, int]]]] = []  # gender and words of each name after a title
 
-    def add(start, stop, kind, canonical):
-        if all(stop <= a or b <= start for a, b in taken):
-            taken.append((start, stop))
-            out.append(Entity(start, stop, kind, canonical))
+    def place(found):
+        """Those of ``found`` (sorted) that overlap nothing taken before: only neighbours can."""
+        nonlocal taken
+        good = []
+        for start, stop, kind, canonical in found:
+            at = bisect_left(taken, (start, stop))
+            if (at == len(taken) or taken[at][0] >= stop) and (at == 0 or taken[at - 1][1] <= start) and (not good or good[-1].stop <= start):
+                good.append(Entity(start, stop, kind, canonical))
+        out.extend(good)
+        taken = sorted(taken + [(e.start, e.stop) for e in good])
 
     for kind in KINDS:
         if not kind.hint(text):
             continue
+        found = []
         for m in kind.pattern.finditer(text):
             if kind.name == "name":
                 words = FULL_NAME.match(text, m.end())
                 if words:
                     title = m[0].rstrip(" .")
                     named.append(("m" if title in MALE else "f" if title in FEMALE else "n", [(w.start(), w.end()) for w in re.compile(WORD).finditer(text, m.end(), words.end())]))
-            elif kind.name != "iban" or _iban_ok(m[0]):
-                add(m.start(), m.end(), kind.name, kind.canonical(m[0]))
+            elif kind.accepts(m[0]):
+                found.append((m.start(), m.end(), kind.name, kind.canonical(m[0])))
+        place(found)
     if named:
         genders: dict[str, set[str]] = {}
         for gender, words in named:
             for i, (start, stop) in enumerate(words):
                 genders.setdefault(text[start:stop].lower(), set()).update(gender if i < len(words) - 1 and gender != "n" else ())
         whole = {span for _, words in named for span in words} | {m.span() for m in BARE.finditer(text) if m[0].lower() in genders}
-        for start, stop in sorted(whole):
-            token = text[start:stop].lower()
-            add(start, stop, "name", f"{min(genders[token]) if len(genders[token]) == 1 else 'n'}:{token}")
+        tokens = ((start, stop, text[start:stop].lower()) for start, stop in sorted(whole))
+        place((start, stop, "name", f"{min(genders[t]) if len(genders[t]) == 1 else 'n'}:{t}") for start, stop, t in tokens)
     return sorted(out, key=lambda e: e.start)
 
 
-def surrogate(kind: str, canonical: str, attempt: int = 0) -> str:
+def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) -> str:
     """Canonical form of the surrogate."""
-    return BY_NAME[kind].surrogate(canonical, f"{kind}/{attempt}/".encode())
+    return BY_NAME[kind].surrogate(canonical, hashlib.blake2b(f"{kind}/{attempt}/".encode(), key=hashlib.sha512(key).digest()).digest(), attempt)
 
 
 def render(entity: Entity, original: str, new: str) -> str:
@@ -252,7 +314,7 @@ def render(entity: Entity, original: str, new: str) -> str:
     if entity.kind in ("card", "phone", "iban"):
         fresh_chars = iter(new.partition(":")[2] if entity.kind == "phone" else new)
         digits = sum(c.isalnum() for c in original)
-        skip = digits - len(new.partition(":")[2]) if entity.kind == "phone" else 0
+        skip = digits - len(entity.canonical.partition(":")[2]) if entity.kind == "phone" else 0
         out = []
         for c in original:
             if c.isalnum():
@@ -260,7 +322,7 @@ def render(entity: Entity, original: str, new: str) -> str:
                 out.append(c if skip >= 0 else next(fresh_chars))
             else:
                 out.append(c)
-        return "".join(out)
+        return "".join([*out, *fresh_chars])
     if entity.kind == "name":
         return new.upper() if original.isupper() and len(original) > 1 else new[:1].upper() + new[1:]
     if entity.kind == "email":
@@ -268,7 +330,7 @@ def render(entity: Entity, original: str, new: str) -> str:
     return new
 
 
-def replace(text: str | None, overrides: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[Entity]]:
+def replace(text: str | None, overrides: dict[tuple[str, str], str] | None = None, key: bytes = KEY) -> tuple[str | None, list[Entity]]:
     """The text with surrogates, and the entities found in it; null stays null."""
     entities = find(text)
     if not entities:
@@ -276,7 +338,7 @@ def replace(text: str | None, overrides: dict[tuple[str, str], str] | None = Non
     out, at = [], 0
     for e in entities:
         original = text[e.start : e.stop]
-        new = (overrides or {}).get((e.kind, e.canonical)) or surrogate(e.kind, e.canonical)
+        new = (overrides or {}).get((e.kind, e.canonical)) or surrogate(e.kind, e.canonical, key=key)
         out += [text[at : e.start], render(e, original, new)]
         at = e.stop
     return "".join([*out, text[at:]]), entities
@@ -297,7 +359,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(trimmed(run), "doc_id long, text_hash long, kind string, value string")
 
 
-def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
+def collisions(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """Distinct ``entities(kind, value)`` -> ``(kind, value, surrogate)`` of those whose first
     surrogate is the canonical form of a corpus entity (or their own), or the surrogate of
     another entity with a smaller value, and so draw again, and of names whose gender other documents know better."""
@@ -305,7 +367,7 @@ def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
     def draw(attempt: int):
         def run(batches):
             for b in batches:
-                yield b.assign(surrogate=[surrogate(k, v, attempt) for k, v in zip(b["kind"], b["value"])])[["kind", "value", "surrogate"]]
+                yield b.assign(surrogate=[surrogate(k, v, attempt, key) for k, v in zip(b["kind"], b["value"])])[["kind", "value", "surrogate"]]
 
         return run
 
@@ -321,7 +383,7 @@ def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
     alike = settled.join(twice, ["kind", "surrogate"]).filter(F.col("value") != F.col("keeps")).select("kind", "value")
     open_ = materialize(settled.join(originals, hit, "left_semi").select("kind", "value").unionByName(alike).distinct(), "open")
     done = None
-    for attempt in range(1, rounds + 1):
+    for attempt in itertools.count(1):  # ends: draws leave full shapes for ever longer ones
         if not open_.head(1):
             break
         drawn = materialize(open_.mapInPandas(draw(attempt), kinds), "drawn")
@@ -333,15 +395,13 @@ def collisions(entities: DataFrame, rounds: int = 20) -> DataFrame:
         good = materialize(first.join(used, hit, "left_anti").select("kind", "value", "surrogate"), "good")
         open_ = materialize(open_.join(good.select(F.col("kind").alias("k"), F.col("value").alias("v")), (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")), "left_anti"), "open")
         done = good if done is None else done.unionByName(good)
-    if open_.head(1):
-        raise RuntimeError("surrogates still collide; give more rounds")
     final = settled if done is None else settled.join(done.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(done)
     final = final.join(settled.select("kind", "value", F.col("surrogate").alias("first")), ["kind", "value"]).withColumnRenamed("value", "of")
     each = entities.withColumn("v", ident).join(people.withColumnRenamed("value", "of"), ["kind", "v"])
     return each.join(final, ["kind", "of"]).filter((F.col("value") != F.col("of")) | (F.col("surrogate") != F.col("first"))).select("kind", "value", "surrogate")
 
 
-def pseudonymize(docs: DataFrame) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text`` and the fresh columns entities (number) and kinds
     (``card:1,email:2``). Null texts stay null, texts without entities are unchanged, repeated
     rows and equal ids are treated alike; an empty table gives no row; all columns pass."""
@@ -351,7 +411,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     entity_c, kinds_c, hash_c, over_c, id_c, of_c = fresh(docs, "entities", "kinds", "hash", "overrides", "mention_id", "mention_hash")
     small_batches(docs.sparkSession)
     found = materialize(mentions(docs), "mentions")
-    again = materialize(collisions(materialize(found.select("kind", "value").distinct(), "entities")), "overrides")
+    again = materialize(collisions(materialize(found.select("kind", "value").distinct(), "entities"), key), "overrides")
     source = docs
     if again.head(1):
         again = again.withColumnsRenamed({"kind": "k", "value": "v"})
@@ -374,7 +434,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
             texts = columns[text_at]
             new, counts, kinds = [], [], []
             for i in range(batch.num_rows):
-                text, entities = replace(texts[i].as_py(), {(k, v): s for k, v, s in over[i] or ()})
+                text, entities = replace(texts[i].as_py(), {(k, v): s for k, v, s in over[i] or ()}, key)
                 new.append(text)
                 counts.append(len(entities))
                 tally: dict[str, int] = {}
@@ -387,7 +447,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(entity_c, IntegerType()), StructField(kinds_c, StringType())]))
 
 
-def pseudonymized_rows(docs: DataFrame) -> DataFrame:
+def pseudonymized_rows(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, n_entities, kinds, text of ``pseudonymize``."""
-    out = pseudonymize(docs.select("doc_id", "text"))
+    out = pseudonymize(docs.select("doc_id", "text"), key)
     return out.select("doc_id", F.col(out.columns[2]).alias("n_entities"), F.col(out.columns[3]).alias("kinds"), "text")
