@@ -1,16 +1,18 @@
 """Near copies by the exact Jaccard similarity of word shingles, for corpus stages.
 
-Similar texts often differ in more SimHash bits than a block index can search, so
-candidates come from a prefix filter, which loses no pair: the shingles of all texts are
-put in one order, and two sets of similarity ``4/5`` or more share one of the first
+SimHash fingerprints of the shingles are searched first, as the operator does (segment
+counts, grid range-join, ``simhash.links``), and each link is verified on the exact sets.
+Similar texts often differ in more fingerprint bits than a grid can search, so the rest
+comes from a prefix filter, which loses no pair: the shingles of all texts are put in one
+order, and two sets of similarity ``4/5`` or more share one of the first
 ``n - ceil(4 n / 5) + 1`` of each. The order puts shingles common in a sample last (it
-changes speed, never results). Sizes and parity sketches of 256 and 2048 bits, for large sets 16384 bits, whose
-differing bits are at most the shingles in one set only, drop candidates before the sets
-are compared exactly.
+changes speed, never results). Sizes and parity sketches of 256 and 2048 bits, for large
+sets 16384 bits, whose differing bits are at most the shingles in one set only, drop
+candidates before the sets are compared exactly.
 
-Each shingle first gives a star, which joins most copies in a number of candidates linear
-in the rows; pairs that are still in different components are then compared in full, so
-the components are those of the whole relation.
+Each prefix shingle first gives a star, which joins most copies in a number of candidates
+linear in the rows; pairs that are still in different components are then compared in
+full, so the components are those of the whole relation.
 """
 
 from __future__ import annotations
@@ -20,18 +22,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash import first_of_groups, shingle_hashes
-from .store import materialize, small_batches, trimmed
+from .simhash import first_of_groups, folded, links, shingle_hashes
+from .store import materialize, release, small_batches, trimmed
 
 SKETCH = ("s0", "s1", "s2", "s3")
-SAMPLED, COMMON, FEWEST = 2048, 50_000, 4  # texts sampled, common shingles remembered, texts that make one common
+SAMPLED, COMMON, FEWEST = 8192, 100_000, 4  # texts sampled, common shingles remembered, texts that make one common
 LARGE = 1500  # shingles of a set with the largest sketch: smaller ones would be full
-NODE = "node long, n int, s0 long, s1 long, s2 long, s3 long, wide array<long>, huge array<long>"
+NODE = "node long, n int, fp long, s0 long, s1 long, s2 long, s3 long, wide array<long>, huge array<long>"
+
+
+def hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """Shingle hashes of a text, repeats kept; null and wordless texts have one of their own."""
+    return np.concatenate([*shingle_hashes(text, words)] or [np.zeros(1, np.uint64)])
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes; null and wordless texts have one of their own."""
-    return np.unique(np.array(shingle_hashes(text, words) or [0], "<u8").view("<i8"))
+    """Sorted distinct shingle hashes."""
+    return np.unique(hashes(text, words).view("<i8"))
 
 
 def _node(own: np.ndarray) -> int:
@@ -72,18 +79,19 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, node, n, sketches, prefix of each row."""
+    """doc_id, text_hash, node, n, fp, sketches, prefix of each row."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def row(text):
-        own = shingles(text, words)
+        every = hashes(text, words)
+        own = np.unique(every.view("<i8"))
         n = len(own)
         huge = np.packbits((np.bincount(own & 16383, minlength=16384) & 1).astype(np.uint8)).view("<i8")
         wide = np.bitwise_xor.reduce(huge.reshape(8, 32))  # parities add up
         sketch = np.bitwise_xor.reduce(wide.reshape(8, 4)).tolist()
         often = np.isin(own, common.value)
         prefix = np.concatenate([own[~often], own[often]])[: n - (4 * n + 4) // 5 + 1]
-        return (_node(own), n, *sketch, wide, huge if n > LARGE else None, prefix)
+        return (_node(own), n, folded([every]), *sketch, wide, huge if n > LARGE else None, prefix)
 
     return _mapped(docs, row, f"{NODE}, prefix array<long>")
 
@@ -97,11 +105,13 @@ def _close(a: str, b: str) -> Column:
 
 def _verified(docs: DataFrame, of: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
     """Those of ``candidates(a, b)`` whose sets have a similarity of 4/5 or more."""
-    pairs = candidates.distinct()
+    pairs = candidates.filter("a != b").distinct()
+    left, right = (of.select(F.col("node").alias(k), *[F.struct("n", *SKETCH).alias(f"of_{k}"), F.col("wide").alias(f"wide_{k}"), F.col("huge").alias(f"huge_{k}")]) for k in "ab")
+    pairs = pairs.join(left, "a").join(right, "b").filter(_close("of_a", "of_b"))
     for name in ("wide", "huge"):
-        left, right = (of.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col(name).alias(f"own_{k}")) for k in "ab")
-        apart = F.aggregate(F.zip_with("own_a", "own_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
-        pairs = materialize(pairs.join(left, "a").join(right, "b").filter(F.coalesce(apart, F.lit(0)) * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b"), "candidates")
+        apart = F.aggregate(F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+        pairs = pairs.filter(F.coalesce(apart, F.lit(0)) * 9 <= F.col("of_a.n") + F.col("of_b.n"))
+    pairs = materialize(pairs.select("a", "b"), "candidates")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(of.join(ends, "node", "left_semi").select(F.col("text_hash").alias("wanted")), "wanted")
     texts = docs.join(wanted, F.xxhash64("text") == F.col("wanted"), "left_semi")
@@ -113,32 +123,45 @@ def _verified(docs: DataFrame, of: DataFrame, candidates: DataFrame, words: int)
     sets = _mapped(texts, row, "node long, own array<long>").select("node", "own").dropDuplicates(["node"])
     left, right = (sets.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
     common = F.size(F.array_intersect("own_a", "own_b"))
-    return materialize(pairs.join(left, "a").join(right, "b").filter(common * 9 >= (F.size("own_a") + F.size("own_b")) * 4).select("a", "b"), "links")
+    out = materialize(pairs.join(left, "a").join(right, "b").filter(common * 9 >= (F.size("own_a") + F.size("own_b")) * 4).select("a", "b"), "links")
+    release(pairs, wanted)
+    return out
 
 
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` -> ``doc_id, text_hash, group`` of each row: the groups are the components of
     the relation "Jaccard similarity of the sets of ``words``-word shingles is 0.8 or more".
     A text of fewer words is one shingle; null and wordless texts are alike."""
-    rows = materialize(_signatures(docs, words), "signatures")
-    of = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "wide", "huge")])
+    signatures = materialize(_signatures(docs, words), "signatures")
+    rows = materialize(signatures.select("doc_id", "text_hash", "node"), "rows")
+    of = signatures.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "fp", *SKETCH, "wide", "huge", "prefix")])
     of = materialize(of, "nodes")
-    nodes = of.select("node", "n", *SKETCH)
-    same = Window.partitionBy("shingle")
-    begins = rows.select("node", F.explode("prefix").alias("shingle")).withColumns({"centre": F.min("node").over(same), "last": F.max("node").over(same)})
-    begins = materialize(begins.filter("centre < last").select("shingle", "node", "centre").distinct(), "prefixes")
-    shared = materialize(begins.join(nodes, "node"), "shared")
+    release(signatures)
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    # SimHash: texts of one fingerprint, and of fingerprints within reach of the grid.
+    first = materialize(of.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    alike = of.select("fp", "node").join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab"]
+    near = links(first.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
 
-    ordered = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    stars = shared.alias("x").join(nodes.alias("y"), F.col("x.centre") == F.col("y.node")).filter((F.col("x.node") != F.col("y.node")) & _close("x", "y"))
-    linked = _verified(docs, of, stars.select(*ordered), words)
+    same = Window.partitionBy("shingle")
+    begins = of.select("node", F.explode("prefix").alias("shingle")).withColumns({"centre": F.min("node").over(same), "last": F.max("node").over(same)})
+    begins = materialize(begins.filter("centre < last").select("shingle", "node", "centre"), "prefixes")
+    stars = begins.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    linked = _verified(docs, of, alike.unionByName(near).select(*ordered).unionByName(stars), words)
 
+    # What is still apart: shingles that meet in several components.
     labels = materialize(connected_components(linked), "labels")
-    placed = materialize(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    placed = begins.select("shingle", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = placed.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).filter("low < high").drop("low", "high")
+    placed = materialize(placed.join(of.select("node", "n", *SKETCH), "node"), "placed")
+    release(begins)
     apart = placed.alias("x").join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _close("x", "y"))
-    rest = _verified(docs, of, apart.select(*ordered), words)
+    rest = _verified(docs, of, apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), words)
+    release(placed, of, first)
     labels = connected_components(linked.unionByName(rest))
-    return rows.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
+    return rows.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:

@@ -1,26 +1,24 @@
 """SimHash near-duplicates: segment-popcount embedding and a grid range-join.
 
 A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. Two
-fingerprints at Hamming distance d have embeddings at Manhattan distance at most
-d, so the Manhattan distance is a lower bound that never loses a link. The counts
-are kept in thermometer code (0, 1, 2 -> 00, 01, 11) inside one long, which turns
-the Manhattan distance into ``bit_count(e1 ^ e2)`` and keeps the whole search in
-native integer expressions.
-
-Grid: the 32 coordinates are cut into 5 blocks. A Manhattan distance of 2 or less
-can touch at most 2 blocks, so two linked fingerprints share the cell of at least
-one choice of 3 unchanged blocks (10 choices). Cells of at most ``dense`` members
-are joined with themselves; the Manhattan bound and then the exact Hamming
-distance filter the pairs. Members of denser cells go to the finest grid instead,
-one-bit segments, where a link is a common lattice point at distance one or less
-(65 points each): every point gets a star of at most 65 fingerprints, so no group
-is ever expanded into all its pairs and nothing is dropped.
+fingerprints at Hamming distance d have embeddings at Manhattan distance at most d, so
+the Manhattan distance is a lower bound that never loses a link. The counts are kept in
+thermometer code (0, 1, 2 -> 00, 01, 11) inside one long, which turns a step of one on
+one coordinate into a bit flip and keeps the whole search in native integer expressions.
+
+Grid range-join: two embeddings at Manhattan distance 2 or less have a common grid point
+at distance 1 or less from both, so each fingerprint is put at its own grid point and at
+the neighbours, and fingerprints that meet at a point are compared exactly. Points where
+two meet give that pair. Fingerprints that meet in a crowd are embedded again with
+segments of one bit: there all that meet at a point differ in 2 bits or less and there are
+65 at most, so a point gives a star and no group is ever expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +26,40 @@ from .components import connected_components
 from .store import fresh, materialize, small_batches, trimmed
 
 LOW = 0x5555555555555555
-BLOCKS = (12, 12, 12, 14, 14)  # bits of each block of segments, 64 in all
+BLOCK = 1 << 20  # bytes of a text that are split into words at once
 
 
 def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
 
 
-def shingle_hashes(text: str | None, words: int) -> list[int]:
-    """XXH64 hashes (seed 42) of the shingles of one text, repeats kept; none without words."""
-    import numpy as np
+def shingle_hashes(text: str | None, words: int, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """XXH64 hashes (seed 42) of the shingles of one text in arrays, repeats kept; none without
+    words. A long text is split a block at a time, so memory holds one block's words."""
+    import re
+
     import xxhash
 
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return []
-    if len(found) <= words:
-        return [xxhash.xxh64_intdigest(b" ".join(found), 42)]
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(found) - words + 1].tolist()
-    return [digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())]
+    digest = xxhash.xxh64_intdigest
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    space, at, some, held = re.compile(rb"[ \t-\r]"), 0, False, []
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > block and (m := space.search(raw, at + block)):
+            stop = m.start()
+        held += raw[at:stop].split()
+        at = stop
+        if len(held) < words:
+            continue
+        joined = b" ".join(held)
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = (ends - sizes)[: len(held) - words + 1].tolist()
+        yield np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
+        some = True
+        held = held[len(held) - words + 1 :]
+    if not some and held:
+        yield np.array([digest(b" ".join(held), 42)], np.uint64)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -57,18 +67,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     of anything but ASCII white space, shingles are ``words`` of them joined by a space,
     repeats counted (a shorter text is one shingle). A bit is set where over half the
     XXH64 hashes (seed 42) have it. Null and wordless texts give 0."""
-    import numpy as np
+    return folded(shingle_hashes(text, words))
+
 
-    hashes = shingle_hashes(text, words)
-    if not hashes:
-        return 0
-    n = len(hashes)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory for very long texts
-        block = np.array(hashes[at : at + 65536], dtype="<u8")
-        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n, bitorder="little").view("<i8")
-    return int(bits[0])
+def folded(hashes) -> int:
+    """SimHash of arrays of hashes, signed."""
+    counts, n = np.zeros(64, np.int64), 0
+    for array in hashes:
+        n += len(array)
+        for at in range(0, len(array), 65536):
+            counts += np.unpackbits(array[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -95,45 +104,41 @@ def embed(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _cells(e: Column) -> Column:
-    masks, at = [], 0
-    for width in BLOCKS:
-        masks.append(((1 << width) - 1) << at)
-        at += width
-    kept = [sum(masks[i] for i in c) for c in combinations(range(len(BLOCKS)), len(BLOCKS) - 2)]
-    return F.array(*[F.struct(F.lit(k).cast("byte").alias("choice"), e.bitwiseAND(_long(m)).alias("cell")) for k, m in enumerate(kept)])
+def _near_points(e: Column) -> Column:
+    """The grid point of a thermometer code and those one step away: a count of 0 can only
+    grow, one of 2 only fall, one of 1 do both (else the array has a null)."""
+    points = [e]
+    for k in range(0, 64, 2):
+        low, high = _long(1 << k), _long(2 << k)
+        points.append(e.bitwiseXOR(F.when(e.bitwiseAND(high) != 0, high).otherwise(low)))  # 2 -> 1, else 0 <-> 1
+        points.append(F.when(e.bitwiseAND(_long(3 << k)) == low, e.bitwiseXOR(high)))  # 1 -> 2
+    return F.array(*points)
 
 
-def links(fps: DataFrame, dense: int = 16) -> DataFrame:
+def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints ``fps(fp long)`` -> ``edges(a, b)`` whose components are exactly
     those of the relation "2 or fewer differing bits"."""
-    cells = materialize(fps.select("fp", embed(F.col("fp")).alias("e")).select("fp", "e", F.explode(_cells(F.col("e"))).alias("c")).select("fp", "e", "c.choice", "c.cell"), "cells")
-    counts = cells.groupBy("choice", "cell").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(cells.join(counts, ["choice", "cell"]), "shared")
-
-    sparse = shared.filter(F.col("members") <= dense)
-    left = sparse.select("choice", "cell", F.col("fp").alias("a"), F.col("e").alias("ea"))
-    right = sparse.select("choice", "cell", F.col("fp").alias("b"), F.col("e").alias("eb"))
-    pairs = left.join(right, ["choice", "cell"]).filter(
-        (F.col("a") < F.col("b"))
-        & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= 2)  # Manhattan lower bound
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)  # exact
-    ).select("a", "b")
-
-    crowd = shared.filter(F.col("members") > dense).select("fp").distinct()
-    points = F.array(F.lit(0).cast("long"), *[_long(1 << k) for k in range(64)])
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2  # exact
+    embedded = fps.select("fp", embed(F.col("fp")).alias("e"))
+    placed = embedded.select("fp", F.explode(_near_points(F.col("e"))).alias("point")).filter("point is not null")
+    met = placed.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    met = materialize(met, "met")
+    pairs = met.filter("n = 2").select("a", "b").filter(close)
+
+    crowd = placed.join(met.filter("n > 2").select("point"), "point", "left_semi").select("fp").distinct()
+    finest = F.array(F.lit(0).cast("long"), *[_long(1 << k) for k in range(64)])
     stars = (
-        crowd.select("fp", F.explode(points).alias("step"))
+        crowd.select("fp", F.explode(finest).alias("step"))
         .groupBy(F.col("fp").bitwiseXOR(F.col("step")).alias("point"))
-        .agg(F.collect_set("fp").alias("near"))  # at most 65 by construction
+        .agg(F.collect_set("fp").alias("near"))  # 65 at most
         .filter(F.size("near") > 1)
         .select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
-        .filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+        .filter((F.col("a") != F.col("b")) & close)
     )
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` -> one row per document: ``doc_id, text_hash, fp, group, component_id``.
 
     ``group`` is the smallest fingerprint (signed) of the component, ``component_id`` its
@@ -144,7 +149,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFra
     """
     rows = materialize(fingerprints(docs, words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    labels = connected_components(links(distinct.select("fp"), dense))
+    labels = connected_components(links(distinct.select("fp")))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("group"), "first")
     smallest = named.groupBy("group").agg(F.min("first").alias("component_id"))
     of = named.join(smallest, "group").select("fp", "group", "component_id")
@@ -163,9 +168,9 @@ def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return keyed.join(chosen, [k, h], "left_semi").withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*docs.columns)
 
 
-def keep_one(docs: DataFrame, words: int = 3, dense: int = 16) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """``first_of_groups`` of the groups of ``near_duplicates``."""
-    return first_of_groups(docs, near_duplicates(docs, words, dense))
+    return first_of_groups(docs, near_duplicates(docs, words))
 
 
 def near_duplicate_rows(docs: DataFrame) -> DataFrame:
