@@ -27,7 +27,7 @@ FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND p.payload_bytes >=
 OP7 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source),
 w AS (SELECT source, source_size, CASE turn % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, 3.0 * source_size AS most FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS k, sum(weight) OVER (ORDER BY most / weight DESC, source DESC NULLS FIRST) AS after,
@@ -37,8 +37,7 @@ t AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM l) * w
 r AS (SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12), 3) AS whole FROM t),
 b AS (SELECT *, greatest(target - whole * source_size, 0) AS rest FROM r),
 c AS (SELECT d.*, b.source_size, b.target, b.whole, b.rest,
-        sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-        sum(size) OVER (PARTITION BY d.source, h) AS own
+        sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, size AS own
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN whole < 3 AND (upto < rest OR (upto - own < rest AND upto >= rest AND upto - rest < rest - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
