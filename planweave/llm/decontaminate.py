@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 
 from .store import fresh, materialize
 
-GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+# What stands between words, before and after lower-casing; single characters match faster than ranges.
+GAP_ANY = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+GAP = GAP_ANY[:-2] + "".join(f"\\x{c:02X}" for c in range(65, 91)) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_BYTES = 16 << 20  # of benchmark windows broadcast at once
 
 
 def split_words(text: Column) -> Column:
     """Words after lower-casing A to Z; the array may begin or end with one empty string."""
-    return F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), GAP)
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)  # where lower() does the same, faster
+    return F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), GAP)
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -45,19 +49,31 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(table: DataFrame, by: str, bytes_each: int) -> list[DataFrame]:
-    """``table`` in hash blocks by ``by`` whose estimated size is at most ``bytes_each``."""
-    total = table.agg(F.sum("bytes")).first()[0] or 0
-    n = int(total // bytes_each) + 1
-    return [table] if n == 1 else [table.filter(F.pmod(F.xxhash64(by), F.lit(n)) == k) for k in range(n)]
-
-
-def find_hits(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs(key, words)``, ``items(item_id, text)`` -> ``(key, item_id, start, n)``: every
+    """``table`` in hash blocks by ``by``, each measured to be of ``bytes_each`` at most (a row that
+    is larger by itself is a block of its own)."""
+    n = int((table.agg(F.sum("bytes")).first()[0] or 0) // bytes_each) + 1
+    while True:
+        if n == 1:
+            return [table]
+        block = F.pmod(F.xxhash64(by), F.lit(n))
+        sizes = table.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")).collect()  # a row a block
+        if all(r.bytes <= bytes_each or r.rows == 1 for r in sizes):
+            return [table.filter(block == r.block) for r in sorted(sizes)]
+        n *= 2
+
+
+def windows_of(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows ``(window_id, words)`` and who has them, ``(window_id, item_id)``."""
+    named = item_windows(items, width).withColumn("window_id", F.xxhash64(F.concat_ws(" ", "words")))
+    owners = materialize(named, "windows")
+    return owners.select("window_id", "words").distinct(), owners.select("window_id", "item_id").distinct()
+
+
+def find_hits(docs: DataFrame, windows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs(key, words)``, ``windows(window_id, words)`` -> ``(key, window_id, start, n)``: every
     occurrence of every window. ``key`` names a row or a text; its type is free."""
-    windows = materialize(
-        item_windows(items, width).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("window_id", F.xxhash64(F.concat_ws(" ", "words"))), "windows"
-    )
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct().withColumn("bytes", F.length("word") + 32)
+    windows = materialize(windows, "distinct-windows")
+    vocabulary = windows.select(F.explode("words").alias("word")).distinct().withColumn("bytes", F.octet_length("word") + 32)
     vocabulary = materialize(vocabulary, "vocabulary")
     counts = None
     for block in _blocks(vocabulary, "word", block_bytes):
@@ -65,25 +81,23 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: i
         counts = part if counts is None else counts.unionByName(part)
     rarity = materialize(counts, "rarity")
     # The rarest word of each window (ties: the smallest word) and its first place in it.
-    ranked = windows.select("words", "items", "window_id", F.explode("words").alias("word")).join(rarity, "word", "left").groupBy("window_id", "words").agg(
-        F.first("items").alias("items"), F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("word"))).alias("p")
-    )
+    ranked = windows.select("words", "window_id", F.explode("words").alias("word")).join(rarity, "word", "left").groupBy("window_id", "words").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("word"))).alias("p"))
     prefix = materialize(
         ranked.filter("p.seen > 0")
-        .select(F.col("p.word").alias("prefix"), F.array_position("words", F.col("p.word")).cast("int").alias("at"), "words", F.size("words").alias("n"), "items")
-        .withColumn("bytes", F.size("items") * 8 + F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w) + 16) + 64)
+        .select(F.col("p.word").alias("prefix"), F.array_position("words", F.col("p.word")).cast("int").alias("at"), "words", F.size("words").alias("n"), "window_id")
+        .withColumn("bytes", F.octet_length(F.concat_ws("", "words")) + F.size("words") * 16 + 96)
         .withColumnRenamed("words", "window"),
         "prefix",
     )
     found = None
-    for block in _blocks(prefix, "prefix", block_bytes):
+    for block in _blocks(prefix, "window_id", block_bytes):
         start = F.col("pos") + 2 - F.col("at")  # 1-based first word of the window in the document
         part = (
             _exploded(docs)
             .join(F.broadcast(block.drop("bytes")), F.col("word") == F.col("prefix"))
             .filter((start >= 1) & (start + F.col("n") - 1 <= F.size("words")))
             .filter(F.slice("words", start, F.col("n")) == F.col("window"))
-            .select("key", "items", start.alias("start"), "n")
+            .select("key", "window_id", start.alias("start"), "n")
         )
         found = part if found is None else found.unionByName(part)
     return found
@@ -93,26 +107,30 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, block_byte
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of a window is hit. Null and wordless texts have no words
-    and no hits; null items have no window; repeated rows get a row each; equal ids with
-    different texts are kept apart by the text's hash; empty tables give no row or no hit.
+    and no hits; items of null text have no window; items without an id count as one item
+    that adds no string to the digest; repeated rows get a row each; equal ids with different
+    texts are kept apart by the text's hash; empty tables give no row or no hit; other columns
+    are ignored.
     """
     slim = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     keyed = slim.select(F.struct("doc_id", "text_hash").alias("key"), split_words(F.col("text")).alias("words"))
-    bench = items.filter("item_id is not null").select(F.col("item_id"), "text")
-    hits = materialize(find_hits(keyed, bench, width, block_bytes), "hits")
+    windows, owners = windows_of(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), width)
+    hits = materialize(find_hits(keyed, windows, block_bytes), "hits")
     covered = (
         hits.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"))
         .distinct()
         .groupBy("key")
         .agg(F.count("*").alias("n_hit"))
     )
-    named = hits.select("key", F.explode("items").alias("item_id")).groupBy("key").agg(F.collect_set(F.col("item_id").cast("string")).alias("found"))
-    summary = covered.join(named, "key").select(
-        F.col("key.doc_id").alias("hit_id"), F.col("key.text_hash").alias("hit_hash"), "n_hit", F.size("found").cast("long").alias("n_items"), F.array_join(F.sort_array("found"), ",").alias("ids")
-    )
+    # Documents with the same set of windows (at most their own words) share the list of items.
+    sets = hits.groupBy("key").agg(F.sort_array(F.collect_set("window_id")).alias("windows")).withColumn("set_id", F.sha2(F.concat_ws(",", F.col("windows").cast("array<string>")), 256))
+    sets = materialize(sets, "window-sets")
+    lists = sets.groupBy("set_id").agg(F.first("windows").alias("windows")).select("set_id", F.explode("windows").alias("window_id")).join(owners, "window_id").select("set_id", F.struct("item_id").alias("item")).distinct()
+    named = lists.groupBy("set_id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item.item_id")), ",").alias("ids"))
+    summary = covered.join(sets.select("key", "set_id"), "key").join(named, "set_id").select(F.col("key.doc_id").alias("hit_id"), F.col("key.text_hash").alias("hit_hash"), "n_hit", "n_items", F.sha2("ids", 256).alias("digest"))
     summary = materialize(summary, "contaminated")
     ends = lambda k: F.when(F.element_at("words", k) == "", 1).otherwise(0)
-    sized = slim.select("doc_id", "text_hash", split_words(F.col("text")).alias("words"))
+    sized = slim.select("doc_id", "text_hash", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), GAP_ANY).alias("words"))
     counted = sized.select("doc_id", "text_hash", F.when((F.size("words") == 1) & (F.element_at("words", 1) == ""), 0).otherwise(F.size("words") - ends(1) - ends(-1)).cast("long").alias("n_words"))
     joined = counted.join(summary, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     return joined.select(
@@ -120,7 +138,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, block_byte
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
@@ -130,8 +148,8 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, width: int = 10, bloc
     hash_c, id_c, of = fresh(docs, "hash", "hit_id", "hit_hash")
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     keyed = slim.select(F.struct("doc_id", "text_hash").alias("key"), split_words(F.col("text")).alias("words"))
-    bench = items.filter("item_id is not null").select("item_id", "text")
-    hits = materialize(find_hits(keyed, bench, width, block_bytes).select("key").distinct(), "hits")
+    windows, _ = windows_of(items.select("item_id", "text"), width)
+    hits = materialize(find_hits(keyed, windows, block_bytes).select("key").distinct(), "hits")
     dirty = hits.select(F.col("key.doc_id").alias(id_c), F.col("key.text_hash").alias(of))
     marked = docs.withColumn(hash_c, F.xxhash64("text"))
     return marked.join(dirty, F.col("doc_id").eqNullSafe(F.col(id_c)) & (F.col(hash_c) == F.col(of)), "left_anti").select(*docs.columns)
