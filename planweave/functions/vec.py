@@ -118,25 +118,33 @@ def quaternion_rotation(x: Column, y: Column, z: Column, w: Column) -> Column:
     )
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it occurs."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def rotation_between(a: Column, b: Column) -> Column:
     """Rotation that turns ``a`` onto ``b`` (Rodrigues). Parallel vectors give the identity,
     opposite ones half a turn about an axis perpendicular to ``a``."""
-    a, b = normalize(a), normalize(b)
-    v, c = cross(a, b), dot(a, b)
-    k = 1 / (1 + c)
-    x, y, z = (at(v, i) for i in range(3))
-    general = matrix(
-        [
-            [1 - k * (y * y + z * z), k * x * y - z, k * x * z + y],
-            [k * x * y + z, 1 - k * (x * x + z * z), k * y * z - x],
-            [k * x * z - y, k * y * z + x, 1 - k * (x * x + y * y)],
-        ]
-    )
-    same = matrix([[float(i == j) for j in range(3)] for i in range(3)])
-    helper = F.when(F.abs(at(a, 0)) < 0.9, vector(1, 0, 0)).otherwise(vector(0, 1, 0))
-    u = normalize(cross(a, helper))
-    half = matrix([[2 * at(u, i) * at(u, j) - float(i == j) for j in range(3)] for i in range(3)])
-    return F.when(norm(v) >= 1e-9, general).when(c > 0, same).otherwise(half)
+    helper = lambda u: F.when(F.abs(at(u, 0)) < 0.9, vector(1, 0, 0)).otherwise(vector(0, 1, 0))
+    ends = F.struct(normalize(a).alias("a"), normalize(b).alias("b"))
+    parts = lambda e: F.struct(cross(e["a"], e["b"]).alias("v"), dot(e["a"], e["b"]).alias("c"), normalize(cross(e["a"], helper(e["a"]))).alias("u"))
+
+    def turn(p):
+        (x, y, z), c, u = (at(p["v"], i) for i in range(3)), p["c"], p["u"]
+        k = 1 / (1 + c)
+        general = matrix(
+            [
+                [1 - k * (y * y + z * z), k * x * y - z, k * x * z + y],
+                [k * x * y + z, 1 - k * (x * x + z * z), k * y * z - x],
+                [k * x * z - y, k * y * z + x, 1 - k * (x * x + y * y)],
+            ]
+        )
+        same = matrix([[float(i == j) for j in range(3)] for i in range(3)])
+        half = matrix([[2 * at(u, i) * at(u, j) - float(i == j) for j in range(3)] for i in range(3)])
+        return F.when(norm(p["v"]) >= 1e-9, general).when(c > 0, same).otherwise(half)
+
+    return bound(bound(ends, parts), turn)
 
 
 def pose(r: Column, t: Column) -> Column:

@@ -41,16 +41,6 @@ EV = "(SELECT *, epoch_us(ts) / 1e6 AS t FROM events)"
 # -- windows, islands, intervals -----------------------------------------------------------
 
 
-@query("""SELECT user_id, "window", event_id, round(value, 6) AS value FROM (
-  SELECT user_id, CAST(floor(t / 3600) AS BIGINT) AS "window", event_id, value,
-         row_number() OVER (PARTITION BY user_id, floor(t / 3600) ORDER BY value DESC, event_id) AS r FROM (SELECT *, floor(epoch_us(ts) / 1e6) AS t FROM events)) WHERE r = 1""")
-def window_best_frame(spark, d):
-    """Best event of every user and hour: the sharpest frame of every window."""
-    ev = events(spark, d).withColumn("s", F.floor("t").cast("long"))
-    best = ev.groupBy("user_id", F.floor(F.col("s") / 3600).cast("long").alias("window")).agg(F.max_by(F.struct("event_id", "value"), F.struct("value", -F.col("event_id"))).alias("b"))
-    return best.select("user_id", "window", "b.event_id", F.round("b.value", 6).alias("value"))
-
-
 @query("""WITH c AS (SELECT event_id, value, user_id, count(*) OVER () AS n FROM events),
 s AS (SELECT *, least(19, CAST(floor(event_id * 20 / n) AS BIGINT)) AS stretch FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY stretch ORDER BY value DESC, event_id) = 1 AS first FROM s)
@@ -110,14 +100,6 @@ def local_peaks(spark, d):
     return ordered.local_maxima(dense, ["all"], "bin", "n", 20.0).select("bin", "n")
 
 
-@query(None)
-def strongest_peaks(spark, d):
-    """Peaks with prominence and greedy suppression of weaker neighbours, per return flag."""
-    li = table(spark, d, "lineitem")
-    sm = aggregate.smoothed_histogram(li, ["l_returnflag"], "l_extendedprice", 2000.0)
-    return ordered.peaks(sm, ["l_returnflag"], "bin", "smooth", 5.0, 3, 2.0)
-
-
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, ln(1 - l_discount) AS x FROM lineitem),
 p AS (SELECT l_orderkey, exp(sum(x) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING)) AS p FROM (SELECT l_orderkey, l_linenumber, sum(x) AS x FROM r GROUP BY 1, 2))
 SELECT l_orderkey, round(greatest(max(p), 1) / least(min(p), 1), 6) AS spread, count(*) AS links FROM p GROUP BY 1""")
@@ -184,12 +166,6 @@ def range_pairs(spark, d):
     return join.range_join(s, r, ["s_nationkey"], F.col("x"), F.col("y"), 450.0, gap.between(40, 450)).select("a", "b", F.round(gap, 4).alias("apart"))
 
 
-@query(None)
-def greedy_pairing(spark, d):
-    """One-to-one pairs of suppliers, the closest first."""
-    return join.greedy_pairs(range_pairs(spark, d).withColumn("k", F.lit(0)), ["k"], "a", "b", [F.col("apart")]).select("a", "b")
-
-
 @query(f"""WITH o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) / 86400000000 AS x, o_totalprice AS q FROM orders)
 SELECT o_orderkey FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND abs(a.x - b.x) <= 3
   AND (b.q > a.q OR (b.q = a.q AND b.o_orderkey < a.o_orderkey)))""")
@@ -327,12 +303,6 @@ def circular_mean_hour(spark, d):
     return ev.groupBy("event_type").agg(F.round(vec.circular_mean(F.col("a"), 24.0), 4).alias("hour"))
 
 
-@query("""SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95, round(median(value), 6) AS mid FROM events GROUP BY 1""")
-def percentile_sill(spark, d):
-    ev = table(spark, d, "events")
-    return ev.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.05)), 6).alias("p5"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.median("value"), 6).alias("mid"))
-
-
 @query("""SELECT event_type, CASE WHEN count(*) FILTER (value >= 20) >= 5 THEN round(quantile_cont(value, 0.05) FILTER (value >= 20), 6) ELSE 2.05 END AS z1, count(*) FILTER (value >= 20) >= 5 AS measured FROM events GROUP BY 1""")
 def measured_or_default(spark, d):
     """A lintel height where enough samples are high enough, else the default."""
@@ -355,13 +325,6 @@ def pca_covariance(spark, d):
     return e.groupBy("label").agg(F.round(F.covar_pop("e0", "e1"), 8).alias("c01"), F.round(F.var_pop("e0"), 8).alias("c00"), F.round(F.var_pop("e1"), 8).alias("c11"))
 
 
-@query(None)
-def umeyama_fit(spark, d):
-    """Similarity between embedding triples of each label."""
-    e = table(spark, d, "embeddings").select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(["sx", "sy", "sz", "dx", "dy", "dz"])])
-    return align.umeyama(e, ["label"])
-
-
 @query("""SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS status, CASE WHEN grouping(o_orderpriority) = 1 THEN 'all' ELSE o_orderpriority END AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total
 FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 def schedule_cube(spark, d):
@@ -375,24 +338,6 @@ def schedule_cube(spark, d):
 # -- selection, rules, graphs ------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_returnflag || CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_extendedprice) AS VARCHAR) AS tag, l_partkey FROM lineitem""")
-def tag_counter(spark, d):
-    """Running tags by kind: doors P1, P2, windows V1 of each plan."""
-    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.row_number().over(w).cast("string")).alias("tag"), "l_partkey")
-
-
-@query("""SELECT 'discount_high' AS key, 'warn' AS level, count(*) AS n FROM lineitem WHERE l_discount >= 0.1 HAVING count(*) > 0
-UNION ALL SELECT 'late', 'info', count(*) FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-09-01' HAVING count(*) > 0
-UNION ALL SELECT 'no_price', 'warn', count(*) FROM lineitem WHERE l_extendedprice <= 0 HAVING count(*) > 0""")
-def qa_rules(spark, d):
-    """Keyed checks in one pass: each fires or stays silent."""
-    rules = [("discount_high", "warn", F.col("l_discount") >= 0.1), ("late", "info", F.col("l_shipdate") > F.lit("1998-09-01").cast("timestamp")), ("no_price", "warn", F.col("l_extendedprice") <= 0)]
-    fired = F.array(*[F.when(c, F.struct(F.lit(k).alias("key"), F.lit(lv).alias("level"))) for k, lv, c in rules])
-    li = table(spark, d, "lineitem").select(F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("r"))
-    return li.groupBy("r.key", "r.level").agg(F.count("*").alias("n")).select("key", "level", "n")
-
-
 @query("""SELECT page_id, CASE WHEN regexp_matches(url, '\\.org/') THEN 'org' WHEN regexp_matches(url, '/(de|fr|es)/') THEN 'foreign' WHEN regexp_matches(url, '#') THEN 'anchor' ELSE NULL END AS rule FROM pages""")
 def regex_rules(spark, d):
     """First matching rule, as a phone is identified by its model string."""
@@ -408,20 +353,6 @@ def overflow_rows(spark, d):
     return out.select("s_nationkey", F.col("position").cast("long").alias("position"), "label")
 
 
-@query("""WITH b AS (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY 1) SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders JOIN b USING (o_custkey) WHERE o_totalprice = m GROUP BY 1""")
-def largest_part(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    best = o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"))
-    return best
-
-
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract(props, '$.missing') AS BIGINT), CAST(json_extract(props, '$.k') AS BIGINT), -1) AS first_of FROM events""")
-def json_meta(spark, d):
-    """Keys of a metadata document, the first present one."""
-    get = lambda k: F.get_json_object("props", f"$.{k}").cast("long")
-    return table(spark, d, "events").select("event_id", get("k").alias("k"), F.coalesce(get("missing"), get("k"), F.lit(-1)).alias("first_of"))
-
-
 @query("""WITH RECURSIVE h AS (SELECT p_partkey AS id, p_brand || '/' || p_size AS k FROM part UNION ALL SELECT p_partkey, p_type || '/' || CAST(floor(p_retailprice / 20) AS BIGINT) FROM part),
 e AS (SELECT DISTINCT a.id AS a, min(b.id) AS b FROM h a JOIN h b ON a.k = b.k GROUP BY a.id, a.k), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r(a, b) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
@@ -513,14 +444,6 @@ def set_algebra(spark, d):
     return pick("n_chars >= 1000").intersect(pick("lang = 'en'")).subtract(pick("n_chars > 5000"))
 
 
-@query("""WITH h AS (SELECT user_id, session FROM (SELECT user_id, t, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM (
- SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 3600000000 THEN 1 ELSE 0 END AS b FROM events)))
-SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, session, count(*) AS n FROM h GROUP BY 1, 2) GROUP BY 1, 2""")
-def session_sizes(spark, d):
-    ev = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return ev.groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
-
-
 # -- cameras, rings and pictures -----------------------------------------------------------------
 
 
@@ -651,9 +574,15 @@ def shared_floor(spark, d):
     return cells.give_to_smaller(sized, [], "o", "n").select("ix", "iy", "o")
 
 
+def _registered() -> dict:
+    from . import demos_geometry, demos_plans  # noqa: F401  (their queries register themselves)
+
+    return REGISTRY
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in REGISTRY.items()}
+    return {k: f for k, (f, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in REGISTRY.items() if s}
+    return {k: s for k, (_, s) in _registered().items() if s}

@@ -120,7 +120,7 @@ def findings(plans: DataFrame, rooms: DataFrame, walls: DataFrame, openings: Dat
     out.append(_finding(_named(rooms.filter("not closed"), F.col("name"), F.col("id")), "open_room", "warn", items=F.col("items")))
     out.append(_finding(scenes.join(rooms.select("scene_id").distinct(), "scene_id", "left_anti"), "no_rooms", "warn"))
     box = enclosure(rooms, walls, openings)
-    out.append(_finding(box.filter("overlap > 1e-6"), "rooms_overlap", "warn", m2=F.format_string("%.2f", "overlap")))
+    out.append(_finding(box.filter("overlap > 1e-6"), "rooms_overlap", "warn", m2=F.format_string("%.2f", F.bround("overlap", 2))))
     orphan = openings.join(walls.select("scene_id", F.col("id").alias("wall_id")), ["scene_id", "wall_id"], "left_anti")
     tag = F.coalesce(F.nullif("tag", F.lit("")), "kind")
     out.append(_finding(_named(orphan, tag, F.col("id")), "opening_orphan", "warn", items=F.col("items")))
@@ -132,7 +132,7 @@ def findings(plans: DataFrame, rooms: DataFrame, walls: DataFrame, openings: Dat
     sparse = plans.filter((F.col("views") > 0) & (F.col("footprint_m2") > 1.0) & (rate < MIN_FRAMES_PER_M2))
     ours = (F.coalesce("video_fps", F.lit(0.0)) > 0) & (F.coalesce("sample_fps", F.lit(0.0)) > 0) & (F.col("video_fps") > 2 * F.col("sample_fps"))
     ours = F.coalesce(ours, F.lit(False))
-    shown = F.format_string("%.1f", rate)
+    shown = F.format_string("%.1f", F.bround(rate, 1))
     out.append(_finding(sparse.filter(ours), "sampled_too_sparsely", "warn", n=F.col("views"), total=F.coalesce("video_frames", F.lit(0)), rate=shown))
     want = F.ceil(F.lit(MIN_FRAMES_PER_M2) * F.col("footprint_m2"))
     out.append(_finding(sparse.filter(~ours), "too_few_frames", "warn", n=F.col("views"), m2=F.bround("footprint_m2").cast("int"), rate=shown, want=want))
@@ -144,7 +144,7 @@ def findings(plans: DataFrame, rooms: DataFrame, walls: DataFrame, openings: Dat
     out.append(_finding(sides.filter("n = 0"), "thickness", "ok", n=F.col("n"), m=F.col("m")))
     out.append(_finding(plans.filter("not ceiling_measured"), "ceiling", "warn"))
     out.append(_finding(reliability(plans), "unreliable", "warn", bad=F.col("bad"), n=F.col("n"), cover=F.bround(100 * F.col("cover")).cast("int")))
-    out.append(_finding(chain_break(plans), "scale_chain", "warn", links=F.col("links"), times=F.format_string("%.0f", "times")))
+    out.append(_finding(chain_break(plans), "scale_chain", "warn", links=F.col("links"), times=F.format_string("%.0f", F.bround("times"))))
     out.append(_finding(uncalibrated(plans), "scale", "warn"))
     out.append(_finding(_named(openings.filter("kind = 'door' and not height_measured"), tag, F.col("id")), "door_height", "info", items=F.col("items")))
     glazed = openings.filter("kind = 'window'").select("scene_id").distinct()
