@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder; a local one is made only where the session names none."""
+    """Checkpoint in the shared folder. Where the session names none, a local one is made if the
+    whole application is one process; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="planweave-"))
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, keys: list[str], a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node of each node's component, within the keys: keys, node, label. Labels are
     hooked and halved (each node also asks its label's label), so rounds grow with the
     logarithm of the longest path."""
     e = edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b"))
     both = checkpointed(e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     nodes = checkpointed(both.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("m")).select(*keys, "node", F.least("node", "m").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(nodes.select(*keys, F.col("node").alias("b"), "label"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = nodes.join(seen, [*keys, "node"], "left").select(*keys, "node", "label", F.least("label", "near").alias("new"))
         # everything that shared the old label may follow to the smallest new one
@@ -54,11 +57,11 @@ def cell_components(cells: DataFrame, keys: list[str]) -> DataFrame:
     return by_cell.join(labels, [*keys, "node"], "left").select(*keys, "ix", "iy", F.coalesce("label", "node").alias("label"))
 
 
-def bfs_levels(edges: DataFrame, start: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
+def bfs_levels(edges: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
     """Steps from the start nodes: keys, node, level. A round is one frontier join."""
     seen = checkpointed(start.select(*keys, "node").distinct().withColumn("level", F.lit(0)))
     level = 0
-    while level < max_rounds:
+    while True:
         front = seen.filter(F.col("level") == level).select(*keys, F.col("node").alias("a"))
         new = front.join(edges.select(*keys, "a", "b"), [*keys, "a"]).select(*keys, F.col("b").alias("node")).distinct().join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
         new = checkpointed(new.withColumn("level", F.lit(level + 1)))

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, tolerance: float, columns: list[str], ties: list[str] | None = None) -> DataFrame:
     """Each left row with the right row nearest in time, the earlier of two equally near; columns
-    are null beyond ``tolerance``. One shuffle on the keys: both sides are unioned and a
-    forward and a backward window carry the neighbours along."""
+    are null beyond ``tolerance``. One shuffle on the keys and stretches of time as long as the
+    tolerance, so one key's history never meets in one task: both sides are unioned, right rows in
+    the stretches next to theirs too, and a forward and a backward window carry neighbours along."""
+    reach = max(float(tolerance), 1e-9)
+    left = left.withColumn("_k_", F.floor(F.col(left_t).cast("double") / reach))
+    right = right.withColumn("_k_", F.explode(F.array(*[F.floor(F.col(right_t).cast("double") / reach) + d for d in (-1, 0, 1)])))
+    keys = [*keys, "_k_"]
     payload = F.struct(F.col(right_t).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_t).cast("double").alias("_t"), payload.alias("_r"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_l"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties or [])])
     lf = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_t).cast("double").alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_tie{i}") for i, c in enumerate(ties or [])])
@@ -23,7 +28,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, rig
     db, da = F.col("_t") - F.col("_b.t"), F.col("_a.t") - F.col("_t")
     pick = F.when(F.col("_a").isNull() | (db <= da), F.col("_b")).otherwise(F.col("_a"))
     chosen = seen.withColumn("_p", F.coalesce(pick, F.col("_a"), F.col("_b"))).withColumn("_p", F.when(F.abs(F.col("_p.t") - F.col("_t")) <= tolerance, F.col("_p")))
-    return chosen.select("_l.*", F.col("_p.t").alias(f"{right_t}_nearest"), *[F.col(f"_p.c{i}").alias(c) for i, c in enumerate(columns)])
+    return chosen.select("_l.*", F.col("_p.t").alias(f"{right_t}_nearest"), *[F.col(f"_p.c{i}").alias(c) for i, c in enumerate(columns)]).drop("_k_")
 
 
 def offset_search(left: DataFrame, right: DataFrame, keys: list[str], t: str, offsets: list[float], tolerance: float, columns: list[str]) -> DataFrame:
@@ -64,19 +69,45 @@ def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_box: Colum
     return out if condition is None else out.filter(condition)
 
 
-def k_nearest(points: DataFrame, keys: list[str], id_: str, axes: list[str], k: int, cell: float) -> DataFrame:
-    """The k nearest other points within the neighbouring grid cells: keys, id, other, distance,
-    rank. ``cell`` must be at least the distance of the k-th neighbour for exact results."""
-    own = points.select(*keys, F.col(id_).alias("id"), *axes, *[F.floor(F.col(a) / cell).cast("long").alias(f"_c{i}") for i, a in enumerate(axes)])
-    other = own.select(*keys, F.col("id").alias("other"), *[F.col(a).alias(f"_o{i}") for i, a in enumerate(axes)], *[F.col(f"_c{i}") for i in range(len(axes))])
-    for i in range(len(axes)):
+def _in_reach(own: DataFrame, points: DataFrame, keys: list[str], axes: list[str], k: int, cell: float) -> DataFrame:
+    """The k nearest of ``points`` to each of ``own`` within the neighbouring grid cells."""
+    n = range(len(axes))
+    own = own.withColumns({f"_c{i}": F.floor(F.col(a) / cell).cast("long") for i, a in enumerate(axes)})
+    other = points.select(*keys, F.col("id").alias("other"), *[F.col(a).alias(f"_o{i}") for i, a in enumerate(axes)], *[F.floor(F.col(a) / cell).cast("long").alias(f"_c{i}") for i, a in enumerate(axes)])
+    for i in n:
         other = other.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + d for d in (-1, 0, 1)])))
     d2 = sum((F.col(a) - F.col(f"_o{i}")) ** 2 for i, a in enumerate(axes))
-    pairs = own.join(other, [*keys, *[f"_c{i}" for i in range(len(axes))]]).filter("id <> other").withColumn("distance", F.sqrt(d2))
+    pairs = own.join(other, [*keys, *[f"_c{i}" for i in n]]).filter("id <> other").withColumn("distance", F.sqrt(d2))
     rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("distance", "other"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "id", "other", "distance", "rank")
 
 
+def k_nearest(points: DataFrame, keys: list[str], id_: str, axes: list[str], k: int, cell: float, within: bool = False) -> DataFrame:
+    """The k nearest other points: keys, id, other, distance, rank. Neighbours come from the grid
+    cells around a point; a point whose k-th neighbour is farther than a cell, or missing, looks
+    again with cells of twice the size, until all are settled. ``within`` stops after the first
+    cells: neighbours in reach only."""
+    from .graph import checkpointed
+
+    own = points.select(*keys, F.col(id_).alias("id"), *axes)
+    if within:
+        return _in_reach(own, own, keys, axes, k, cell)
+    own = checkpointed(own)
+    sizes = checkpointed(own.groupBy(*keys).agg((F.count("*") - 1).alias("_others")))
+    open_, out = own, None
+    while True:
+        found = checkpointed(_in_reach(open_, own, keys, axes, k, cell))
+        last = found.groupBy(*keys, "id").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
+        done = last.join(sizes, keys).filter((F.col("_n") == F.least(F.lit(k), "_others")) & ((F.col("_far") <= cell) | (F.col("_n") == F.col("_others")))).select(*keys, "id")
+        done = done.unionByName(open_.join(sizes.filter("_others = 0"), keys, "left_semi").select(*keys, "id"))
+        part = found.join(done, [*keys, "id"], "left_semi")
+        out = part if out is None else out.unionByName(part)
+        open_ = checkpointed(open_.join(done, [*keys, "id"], "left_anti"))
+        if not open_.head(1):
+            return out
+        cell *= 2
+
+
 def anti_near(df: DataFrame, keys: list[str], order: str, reach: float, better: str, id_: str) -> DataFrame:
     """Rows that have no better row of the same keys within ``reach``: a range join and an anti-join."""
     lf = df.select(*keys, F.col(id_).alias("_id"), F.col(order).cast("double").alias("_x"), F.col(better).alias("_q"))

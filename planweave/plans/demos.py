@@ -201,7 +201,7 @@ SELECT id, other, rank FROM r WHERE rank <= 5""")
 def knn(spark, d):
     """Five nearest in the plane of the first two dimensions, within a label."""
     v = table(spark, d, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return join.k_nearest(v, ["label"], "vec_id", ["x", "y"], 5, 1.0).select("id", "other", F.col("rank").cast("long").alias("rank"))
+    return join.k_nearest(v, ["label"], "vec_id", ["x", "y"], 5, 0.1).select("id", "other", F.col("rank").cast("long").alias("rank"))
 
 
 RINGS = [("square", [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]), ("wedge", [(0, 0), (0.3, 0.02), (0.05, 0.3)]), ("ell", [(-0.3, -0.3), (0.2, -0.3), (0.2, -0.1), (-0.1, -0.1), (-0.1, 0.2), (-0.3, 0.2)])]
@@ -253,11 +253,11 @@ def raster_iou(spark, d):
     return out.select("inter", "total", F.round("iou", 6).alias("iou"))
 
 
-_CELLS = "(SELECT DISTINCT CAST(floor(l_quantity) AS BIGINT) AS ix, CAST(floor(l_extendedprice / 2000) AS BIGINT) AS iy FROM lineitem WHERE l_discount >= 0.09 AND l_tax <= 0.01)"
+_CELLS = "(SELECT DISTINCT CAST(floor(l_quantity) AS BIGINT) AS ix, CAST(floor(l_extendedprice / 2000) AS BIGINT) AS iy FROM lineitem)"
 
 
 def _cells(spark, d):
-    li = table(spark, d, "lineitem").filter("l_discount >= 0.09 and l_tax <= 0.01")
+    li = table(spark, d, "lineitem")
     return li.select(F.floor("l_quantity").cast("long").alias("ix"), F.floor(F.col("l_extendedprice") / 2000).cast("long").alias("iy")).distinct()
 
 
@@ -284,14 +284,15 @@ def cell_outline(spark, d):
     return cells.boundary(_cells(spark, d), [])
 
 
-@query(f"""WITH RECURSIVE c AS {_CELLS}, n AS (SELECT ix, iy, ix * 100000 + iy AS id FROM c),
-e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
-r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey % 500 AS ix, l_partkey % 500 AS iy FROM lineitem), n AS (SELECT ix, iy, ix * 100000 + iy AS id FROM c),
+e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.iy = b.iy AND a.ix = b.ix + 1 UNION ALL SELECT a.id, b.id FROM n a JOIN n b ON a.ix = b.ix AND a.iy = b.iy + 1), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
 l AS (SELECT a, min(b) AS label, count(*) AS size FROM r GROUP BY a)
 SELECT size, count(*) / size AS parts FROM (SELECT a, size::BIGINT AS size FROM l) GROUP BY size""")
 def cell_component_sizes(spark, d):
     """How many 4-connected pieces of each size a raster has."""
-    comp = graph.cell_components(_cells(spark, d).withColumn("k", F.lit(0)), ["k"])
+    c = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("ix"), (F.col("l_partkey") % 500).alias("iy")).distinct()
+    comp = graph.cell_components(c.withColumn("k", F.lit(0)), ["k"])
     sizes = comp.groupBy("label").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").cast("double").alias("parts"))
 
@@ -372,12 +373,12 @@ def feet_inches(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") >= 0, text.length_text(F.col("s_acctbal"), "ft")).alias("ft"))
 
 
-@query("""WITH a AS (SELECT c_custkey, c_acctbal / 100 AS x FROM customer WHERE c_acctbal >= 0), b AS (SELECT c_custkey, CAST(trunc(x) AS INT) AS deg, (x - trunc(x)) * 60 AS mf FROM a),
+@query("""WITH a AS (SELECT c_custkey, abs(c_acctbal) / 100 AS x FROM customer), b AS (SELECT c_custkey, CAST(trunc(x) AS INT) AS deg, (x - trunc(x)) * 60 AS mf FROM a),
 c AS (SELECT c_custkey, deg, CAST(trunc(mf) AS INT) AS m, CAST(round_even((mf - trunc(mf)) * 60, 0) AS INT) AS s FROM b),
 e AS (SELECT c_custkey, deg, CASE WHEN s = 60 THEN m + 1 ELSE m END AS m, CASE WHEN s = 60 THEN 0 ELSE s END AS s FROM c)
 SELECT c_custkey, printf('%d°%02d''%02d"', CASE WHEN m = 60 THEN deg + 1 ELSE deg END, CASE WHEN m = 60 THEN 0 ELSE m END, s) AS dms FROM e""")
 def dms_format(spark, d):
-    return table(spark, d, "customer").filter("c_acctbal >= 0").select("c_custkey", text.dms(F.col("c_acctbal") / 100).alias("dms"))
+    return table(spark, d, "customer").select("c_custkey", text.dms(F.abs("c_acctbal") / 100).alias("dms"))
 
 
 @query("""SELECT p_partkey, round(TRY_CAST(regexp_replace(replace(lower(trim(v)), ',', '.'), '( meters| metres| m|m)$', '') AS DOUBLE), 6) AS metres FROM (
@@ -557,10 +558,10 @@ def sight_lines(spark, d):
     return cells.rays(pts, g, ["scene_id"]).select("ix", "iy")
 
 
-@query("""WITH d AS (SELECT l_returnflag, l_linestatus, median(l_quantity) AS m FROM lineitem WHERE l_discount > 0.05 GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, round(30 / m, 6) AS factor FROM d""")
+@query("""WITH d AS (SELECT l_returnflag, l_linestatus, median(l_quantity) AS m FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, round(30 / m, 6) AS factor FROM d""")
 def calibration_factors(spark, d):
     """Factor that brings a group's median width to a known one."""
-    li = table(spark, d, "lineitem").filter("l_discount > 0.05")
+    li = table(spark, d, "lineitem")
     return aggregate.median_factor(li, ["l_returnflag", "l_linestatus"], "l_quantity", 30.0).select("l_returnflag", "l_linestatus", F.round("factor", 6).alias("factor"))
 
 

@@ -667,7 +667,8 @@ def clip_rooms(rooms: DataFrame, runs: DataFrame, cams: DataFrame, o: Options, h
 
 def plan(points: DataFrame, cameras: DataFrame, o: Options | None = None) -> dict[str, DataFrame]:
     """Plan tables of every scene: scenes, faces, lines, openings (on lines), rooms, walls,
-    wall_openings, extra_walls and the rasters. Scenes with too few wall points raise."""
+    wall_openings, extra_walls and the rasters. Scenes with too few wall points are left out and
+    listed in ``thin`` (scene_id, wall_points); a job of nothing else raises."""
     from . import assemble
 
     o = o or Options()
@@ -681,9 +682,13 @@ def plan(points: DataFrame, cameras: DataFrame, o: Options | None = None) -> dic
     aligned, cams, scenes = align(pts, cameras, o)
     aligned = checkpointed(aligned)
     walls, scenes = wall_points(aligned, scenes, o)
-    few = aligned.select("scene_id").distinct().join(scenes.filter(F.col("wall_points") >= o.min_peak_points), S, "left_anti").head(1)
+    wall_count = aligned.select("scene_id").distinct().join(scenes.select("scene_id", "wall_points"), S, "left").fillna(0, ["wall_points"])
+    thin = checkpointed(wall_count.filter(F.col("wall_points") < o.min_peak_points))
+    few = [r.scene_id for r in thin.limit(2).collect()]
     if few:
-        raise ValueError(f"too few wall points in {few[0][0]}: is the cloud metric and roughly upright?")
+        if not scenes.filter(F.col("wall_points") >= o.min_peak_points).head(1):
+            raise ValueError(f"too few wall points in {few[0]}: is the cloud metric and roughly upright?")
+        aligned, cams, walls, scenes = (x.join(thin.select("scene_id"), S, "left_anti") for x in (aligned, cams, walls, scenes))
     walls = checkpointed(walls)
     runs = checkpointed(faces(walls, scenes, o))
     grid = checkpointed(cells.grid_of(aligned.select("scene_id", "x", "y"), S, o.cell))
@@ -720,7 +725,7 @@ def plan(points: DataFrame, cameras: DataFrame, o: Options | None = None) -> dic
     seen = seen_floor(rooms, floor, grid, o)
     rooms = checkpointed(rooms.drop("floor_seen").join(seen, ["scene_id", "id"], "left"))
     out = assemble.assemble(lines, openings, rooms, scenes, free, grid, o)
-    return {**out, "scenes": scenes, "faces": runs, "lines": lines, "line_openings": openings, "grid": grid, "floor": floor, "free": free, "inside": inside, "points": aligned, "cameras": cams}
+    return {**out, "thin": thin, "scenes": scenes, "faces": runs, "lines": lines, "line_openings": openings, "grid": grid, "floor": floor, "free": free, "inside": inside, "points": aligned, "cameras": cams}
 
 
 def seen_floor(rooms: DataFrame, floor: DataFrame, grid: DataFrame, o: Options, reach: float = 0.10) -> DataFrame:

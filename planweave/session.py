@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,13 +29,27 @@ def session(name: str = "planweave", master: str | None = None, **more) -> Spark
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers that share this file system import the package. A cluster whose
-    machines don't share one gets it by --py-files or an installed wheel."""
+    """Let Python workers import the package: by its path where they run on this machine, on a
+    cluster by an archive that Spark hands to every executor, once an application."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # times without a zone are read as UTC throughout
-    home = str(Path(__file__).resolve().parent.parent)
-    env = spark.sparkContext.environment
+    package = Path(__file__).resolve().parent
+    home = str(package.parent)
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        if sc.applicationId not in _SHIPPED:
+            _SHIPPED.add(sc.applicationId)
+            archive = Path(tempfile.mkdtemp(prefix="planweave-")) / "planweave.zip"
+            with zipfile.ZipFile(archive, "w") as z:
+                for f in sorted(package.rglob("*.py")):
+                    z.write(f, f.relative_to(package.parent))
+            sc.addPyFile(str(archive))
+        return spark
+    env = sc.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:
         env["PYTHONPATH"] = os.pathsep.join([home, *paths])
     return spark
+
+
+_SHIPPED: set[str] = set()
