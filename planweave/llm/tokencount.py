@@ -41,22 +41,19 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, r
         files, base = file_system(folder)
         out = name = None
         written = ordinal = 0
-        for batch in batches:
-            for at, texts in slices(batch.column("text")):
-                ids, counts = terminated(*encoder.encode(texts), end)
-                if out is not None and written >= roll:
-                    out.close()
-                    out = None
-                if out is None:
-                    name, written, ordinal = f"{uuid.uuid4().hex}.tok", 0, 0
-                    out = files.open_output_stream(f"{base}/{name}", compression=None)
-                out.write(ids.astype(DTYPE).tobytes())
-                written += 2 * len(ids)
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{folder}/{name}"] * n), pa.array(np.arange(ordinal, ordinal + n)), batch.column("doc_id").slice(at, n)], names=["path", "ordinal", "doc_id"]
-                )
-                ordinal += n
+        for batch in slices(batches):
+            ids, counts = terminated(*encoder.encode(batch.column("text")), end)
+            if out is not None and written >= roll:
+                out.close()
+                out = None
+            if out is None:
+                name, written, ordinal = f"{uuid.uuid4().hex}.tok", 0, 0
+                out = files.open_output_stream(f"{base}/{name}", compression=None)
+            out.write(ids.astype(DTYPE).tobytes())
+            written += 2 * len(ids)
+            n = len(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * n), pa.array(np.arange(ordinal, ordinal + n)), batch.column("doc_id")], names=["path", "ordinal", "doc_id"])
+            ordinal += n
         if out is not None:
             out.close()
 

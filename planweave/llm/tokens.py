@@ -2,15 +2,18 @@
 
 A byte-level BPE never lets a token run across the gap before a single space that
 follows a visible character, so a text is the sequence of its space-led pieces and the
-ids of a text are the ids of its pieces. Arrow splits and dictionary-encodes a batch of
-texts, the library encodes each distinct piece once, and the ids of all texts are one
-numpy gather. Texts in which white space meets a space, or that hold a special token's
-string, are encoded whole by the library: for these the rule above doesn't hold.
+ids of a text are the ids of its pieces. A token doesn't run across the end of a run of
+letters either, nor across a line break between visible characters, so a piece is cut
+into parts there. Arrow splits and dictionary-encodes a slice of texts, then the distinct
+pieces; the library encodes each distinct part once; the ids of pieces and texts are
+gathered as binary values. Texts in which white space meets a space, or that hold a
+special token's string, are encoded whole by the library: for these the rule doesn't hold.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 from functools import lru_cache
 
@@ -19,17 +22,23 @@ import numpy as np
 # White space (as the tokenizer's pattern counts it), inside a character class.
 SPACE = r"\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
-# White space next to a space, a special token, or the mark used below: encoded whole.
-UNSPLIT = rf"[{SPACE}] | [{SPACE}]|<\||\x02"
+# Pieces that make a text one to be encoded whole: white space at the start (unless the text
+# starts there), at the end (unless it ends there), a special token or the mark used below.
+STARTS, ENDS, SPECIAL = rf"^[{SPACE}]", rf"[{SPACE}]$", r"<\||\x02"
 
-# White space inside a piece, or nothing after its space: encoded on its own.
+# White space inside a part, or nothing after its space: encoded on its own.
 INNER = rf"^ ?$|^.[^ ]* |[{SPACE.replace(' ', '')}]"
 
-# A line break between visible characters, and a full stop or comma that ends a word, are tokens
-# of their own; cutting there leaves fewer distinct pieces. The mark says: no space before.
+# A run of letters after at most one space: one word of the tokenizer's own pattern.
+LETTERS = r"^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+
+# Where a piece is cut: around a line break between visible characters, after letters.
 MARK = "\x02"
-BREAK = rf"([^{SPACE}])\n([^{SPACE}])", rf"\1 {MARK}" + "\n" + rf" {MARK}\2"
-STOP = r"([A-Za-z])([.,])( |$)", rf"\1 {MARK}\2\3"
+CUTS = (
+    (rf"([^{SPACE}])\n([^{SPACE}])", rf"\1{MARK}" + "\n" + rf"{MARK}\2"),
+    (r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])", rf"\1{MARK}\2"),
+)
+IDS = np.uint32
 
 
 def default_vocabulary() -> str:
@@ -45,93 +54,87 @@ def shared_encoder(vocabulary: str, special_is_text: bool = False) -> Encoder:
 
 
 class Encoder:
-    """Encodes Arrow string arrays; remembers the ids of up to ``keep`` pieces, those that came
-    again within a batch first. Ids live in flat arrays, not in an object a piece."""
+    """Encodes Arrow string arrays; remembers the ids of the first ``keep`` parts as two flat
+    Arrow arrays, about 40 bytes a part."""
 
-    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 150_000):
+    def __init__(self, vocabulary: str, special_is_text: bool = False, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import pyarrow as pa
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = special_is_text
         self.keep = keep
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(0, np.uint32)
-        self.sizes = np.empty(0, np.int32)
+        self.known = pa.array([], pa.large_string())
+        self.known_ids = pa.array([], pa.large_binary())
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        # Lines that are one word each need no pattern to be cut into words.
+        self.usual = self.library.pre_tokenizer
+        state = json.loads(self.usual.__getstate__())
+        plain = state["type"] == "ByteLevel" and state["use_regex"] and not state["add_prefix_space"]
+        self.by_line = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)]) if plain else self.usual
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, number of ids of each) by the library.
+    def _by_library(self, parts):
+        """Binary ids of each of ``parts`` (Arrow strings).
 
-        Pieces without inner white space go a thousand to a text, a line each: a line break
+        Parts without inner white space go a thousand to a text, a line each: a line break
         between a visible character and anything is a token of its own, so the places of its
-        id cut the ids again. That spares the library's bookkeeping for every piece."""
+        id cut the ids again. That spares the library's bookkeeping for every part."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        n = len(pieces)
-        alone = np.asarray(pc.match_substring_regex(pa.array(pieces, pa.large_string()), INNER)) if n else np.zeros(0, bool)
+        n = len(parts)
+        alone = np.asarray(pc.match_substring_regex(parts, INNER)) if n else np.zeros(0, bool)
         if self.line is None:
             alone = np.ones(n, bool)
-        flats, sizes = [], np.zeros(n, np.int32)
-        order = []
-        joined = np.flatnonzero(~alone)
-        for at in range(0, len(joined), 50_000):
-            part = joined[at : at + 50_000].tolist()
-            lines = ["\n".join([*(pieces[i] for i in part[k : k + 1000]), ""]) for k in range(0, len(part), 1000)]
-            ids = [e.ids for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
-            cut = flat == self.line
-            stops = np.flatnonzero(cut)
-            if len(stops) != len(part):
-                raise AssertionError("a line break was not a token of its own")
-            sizes[part] = np.diff(stops, prepend=-1) - 1
-            flats.append(flat[~cut])
-            order.append(np.array(part))
+        flats, sizes, order = [np.empty(0, IDS)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        words = np.asarray(pc.match_substring_regex(parts, LETTERS)) if n else alone
+        for joined, cutter in ((np.flatnonzero(~alone & words), self.by_line), (np.flatnonzero(~alone & ~words), self.usual)):
+            self.library.pre_tokenizer = cutter
+            for at in range(0, len(joined), 50_000):
+                own = joined[at : at + 50_000]
+                stops = np.append(np.arange(0, len(own), 1000), len(own))
+                lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(stops, pa.int64()), parts.take(pa.array(own))), pa.scalar("\n", pa.large_string())).to_pylist()
+                ids = [e.ids for e in self.library.encode_batch_fast([x + "\n" for x in lines], add_special_tokens=False)]
+                flat = np.fromiter(itertools.chain.from_iterable(ids), IDS)
+                cut = flat == self.line
+                stops = np.flatnonzero(cut)
+                if len(stops) != len(own):
+                    raise AssertionError("a line break was not a token of its own")
+                flats.append(flat[~cut])
+                sizes.append(np.diff(stops, prepend=-1) - 1)
+                order.append(own)
+        self.library.pre_tokenizer = self.usual
         single = np.flatnonzero(alone)
         for at in range(0, len(single), 10_000):
-            part = single[at : at + 10_000]
-            ids = [e.ids for e in self.library.encode_batch_fast([pieces[i] for i in part.tolist()], add_special_tokens=False)]
-            sizes[part] = np.fromiter(map(len, ids), np.int32, len(ids))
-            flats.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
-            order.append(part)
-        if not n:
-            return self.flat[:0], sizes
-        # back into the order of the pieces
-        where = np.concatenate(order)
-        flat = np.concatenate(flats)
-        ends = np.cumsum(sizes[where])
-        begins = np.empty(n, np.int64)
-        begins[where] = ends - sizes[where]
-        stops = np.cumsum(sizes)
-        return flat[np.arange(len(flat)) + np.repeat(begins - (stops - sizes), sizes)], sizes
-
-    def _lookup(self, pieces: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, begin, size) of each piece; ``often`` marks those worth remembering."""
-        at = list(map(self.known.get, pieces))
-        missing = [i for i, k in enumerate(at) if k is None]
-        new_flat, new_sizes = self._encode([pieces[i] for i in missing])
-        held = len(self.sizes)
-        where = np.empty(len(pieces), np.int64)
-        miss = np.array(missing, np.int64)
-        hit = np.ones(len(pieces), bool)
-        hit[miss] = False
-        where[hit] = [k for k in at if k is not None]
-        where[miss] = np.arange(len(miss)) + held
-        flat = np.concatenate([self.flat, new_flat])
-        sizes = np.concatenate([self.sizes, new_sizes])
-        ends = np.cumsum(sizes)
-        room = self.keep - held
-        if room > 0 and len(miss):
-            good = np.flatnonzero(often[miss])[:room]
-            begins = (ends - sizes)[held + good]
-            lengths = sizes[held + good]
-            stops = np.cumsum(lengths)
-            kept = flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(begins - (stops - lengths), lengths)]
-            self.known.update(zip((pieces[missing[i]] for i in good.tolist()), range(held, held + len(good))))
-            self.flat, self.sizes = np.concatenate([self.flat, kept]), np.concatenate([self.sizes, lengths])
-        return flat, (ends - sizes)[where], sizes[where]
+            own = single[at : at + 10_000]
+            ids = [e.ids for e in self.library.encode_batch_fast(parts.take(pa.array(own)).to_pylist(), add_special_tokens=False)]
+            flats.append(np.fromiter(itertools.chain.from_iterable(ids), IDS))
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            order.append(own)
+        back = np.empty(n, np.int64)
+        back[np.concatenate(order)] = np.arange(n)
+        return _binary(np.concatenate(flats), np.concatenate(sizes)).take(pa.array(back))
+
+    def _ids_of(self, parts):
+        """Binary ids of each of the distinct ``parts``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(parts, value_set=self.known)
+        missing = np.flatnonzero(np.asarray(at.is_null()))
+        unknown = parts.take(pa.array(missing))
+        fresh = self._by_library(unknown)
+        where = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        where[missing] = np.arange(len(missing)) + len(self.known)
+        out = pa.concat_arrays([self.known_ids, fresh]).take(pa.array(where))
+        room = max(0, self.keep - len(self.known))
+        if room and len(unknown):
+            self.known = pa.concat_arrays([self.known, unknown.slice(0, room)])
+            self.known_ids = pa.concat_arrays([self.known_ids, fresh.slice(0, room)])
+        return out
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); null is empty."""
@@ -142,42 +145,68 @@ class Encoder:
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
-        whole = np.asarray(pc.match_substring_regex(texts, UNSPLIT)) if n else np.zeros(0, bool)
-        easy = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
-        for pattern, cut in (BREAK, STOP):
-            easy = pc.replace_substring_regex(easy, pattern, cut)
-        split = pc.split_pattern(easy, " ")
-        del easy
+        if not n:
+            return np.empty(0, IDS), np.empty(0, np.int64)
+        split = pc.split_pattern(texts, " ")
         words = split.values.dictionary_encode()
         offsets = np.asarray(split.offsets)
-        codes = np.asarray(words.indices)[offsets[0] : offsets[-1]].astype(np.int32)
-        offsets = offsets - offsets[0]
-        entries = words.dictionary.to_pylist()
         del split
-        # The first piece of a text has no space before it: codes from len(entries) on.
-        firsts = offsets[:-1][np.diff(offsets) > 0]
-        lead = np.unique(codes[firsts])
-        where = np.zeros(len(entries) + 1, np.int32)
-        where[lead] = np.arange(len(lead)) + len(entries)
-        codes[firsts] = where[codes[firsts]]
-        often = np.bincount(codes, minlength=len(entries) + len(lead)) > 1
-        flat, begins, sizes = self._lookup([*(x[1:] if x[:1] == MARK else " " + x for x in entries), *(entries[k] for k in lead.tolist())], often)
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat((begins[codes] - (ends - lengths)).astype(np.int32), lengths)
-        place += np.arange(total, dtype=np.int32)
-        ids = flat[place]
-        bounds = np.concatenate([[0], ends])[offsets]
-        counts = np.diff(bounds)
-        if whole.any():
-            hard = np.flatnonzero(whole)
-            parts = np.split(ids, bounds[1:-1]) if n else []
+        codes = np.asarray(words.indices)[offsets[0] : offsets[-1]]
+        entries = words.dictionary
+        first, last = offsets[:-1] - offsets[0], offsets[1:] - offsets[0] - 1  # a text has one piece at least
+        # Texts to encode whole.
+        blank = np.asarray(pc.equal(entries, ""))
+        flags = (np.asarray(pc.match_substring_regex(entries, STARTS)) | blank) * np.uint8(1)
+        flags |= (np.asarray(pc.match_substring_regex(entries, ENDS)) | blank) * np.uint8(2)
+        flags |= np.asarray(pc.match_substring_regex(entries, SPECIAL)) * np.uint8(4)
+        hard = np.empty(0, np.int64)
+        if flags.any():
+            marks = flags[codes]
+            marks[first] &= 6
+            marks[last] &= 5
+            odd = blank[codes[first]] & (last == first + 1) & blank[codes[last]]  # a single space
+            hard = np.flatnonzero((np.maximum.reduceat(marks, first) > 0) & ~odd)
+        # Distinct pieces: with their space, and without it where a text starts.
+        lead, turned = np.unique(codes[first], return_inverse=True)
+        codes = codes.copy()
+        codes[first] = turned + len(entries)
+        pieces = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), entries, pa.scalar("", pa.large_string())), entries.take(pa.array(lead))])
+        for pattern, cut in CUTS:
+            pieces = pc.replace_substring_regex(pieces, pattern, cut)
+        cuts = pc.split_pattern(pieces, MARK)
+        bounds = np.asarray(cuts.offsets)
+        parts = cuts.values.dictionary_encode()
+        ids = self._ids_of(parts.dictionary).take(parts.indices)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(_offsets(ids)[bounds].astype(np.int64)), ids.buffers()[2]])
+        del ids, cuts, parts, pieces
+        out = whole.take(pa.array(codes))
+        ends = _offsets(out) // IDS().itemsize
+        counts = ends[last + 1] - ends[first]
+        flat = _flat(out)
+        if len(hard):
+            pieces = np.split(flat, ends[first[1:]])
             for k, e in zip(hard.tolist(), self.library.encode_batch_fast(texts.take(pa.array(hard)).to_pylist(), add_special_tokens=False)):
-                parts[k] = np.array(e.ids, np.uint32)
-                counts[k] = len(parts[k])
-            ids = np.concatenate(parts)
-        return ids.astype(np.uint32, copy=False), counts
+                pieces[k] = np.array(e.ids, IDS)
+                counts[k] = len(pieces[k])
+            flat = np.concatenate(pieces)
+        return flat, counts
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray):
+    """Arrow binary values of ``sizes`` ids each."""
+    import pyarrow as pa
+
+    bounds = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)])
+
+
+def _offsets(values) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+
+
+def _flat(values) -> np.ndarray:
+    bounds = _offsets(values)
+    return np.frombuffer(values.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(IDS) if bounds[-1] > bounds[0] else np.empty(0, IDS)
 
 
 def terminated(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,15 +215,32 @@ def terminated(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarra
     return np.insert(ids, after, np.uint32(end)), counts + 1
 
 
-def slices(column, most: int = 6 << 20):
-    """Arrow slices of a string column of about ``most`` bytes of text each (one row at least)."""
+def slices(batches, text: str = "text", most: int = 8 << 20):
+    """Record batches of about ``most`` bytes of text each (one row at least): small ones are put
+    together, for what they have in common is encoded once, large ones are cut."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-    at, n = 0, len(sizes)
-    ends = np.cumsum(sizes)
-    while at < n:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
-        yield at, column.slice(at, to - at)
-        at = to
+    held, size = [], 0
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at, n = 0, len(sizes)
+        while at < n:
+            base = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, base + most - size, "right"))
+            if to == at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1] - base)
+            if to < n or size >= most:
+                yield joined()
+                held, size = [], 0
+            at = to
+    if held:
+        yield joined()

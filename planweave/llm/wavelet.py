@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch, small_batches, trimmed
+from .store import file_system, make_dir, materialize, scratch, small_batches, spread, trimmed
 from .tokens import default_vocabulary, shared_encoder, slices, terminated
 
 MAGIC = b"PWWMTX01"
@@ -184,7 +184,7 @@ class WaveletMatrix:
 
 def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END, roll: int = 2 << 20, partitions: int | None = None) -> DataFrame:
     """Write token shards of ``docs(doc_id, text)`` in ascending doc_id order (nulls first, ties
-    by the text's hash) and return the manifest ``(part, k, path, docs, tokens)``.
+    in the order of the input) and return the manifest ``(part, k, path, docs, tokens)``.
 
     Ranges of ids are dealt by sampled bounds; each task encodes its sorted rows and closes
     a shard at about ``roll`` ids, so memory holds one shard whatever the table's size."""
@@ -194,8 +194,9 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
     make_dir(spark, folder)
     small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = slim.withColumn("tie", F.xxhash64("text"))
-    dealt = (keyed.repartitionByRange(partitions, "doc_id", "tie") if partitions else keyed.repartitionByRange("doc_id", "tie")).sortWithinPartitions("doc_id", "tie").drop("tie")
+    # A counter lets rows of one id fall into several ranges; no text is read to find the ranges.
+    keyed = slim.withColumn("row", F.monotonically_increasing_id())
+    dealt = (keyed.repartitionByRange(partitions, "doc_id", "row") if partitions else keyed.repartitionByRange("doc_id", "row")).sortWithinPartitions("doc_id", "row").drop("row")
 
     def run(batches):
         import pyarrow as pa
@@ -216,15 +217,14 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
             ids, counts, names, held, k = [], [], [], 0, k + 1
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2]), pa.array(row[3], pa.int64()), pa.array(row[4], pa.int64())], names=["part", "k", "path", "docs", "tokens"])
 
-        for batch in batches:
-            for at, texts in slices(batch.column("text")):
-                i, c = terminated(*encoder.encode(texts), end)
-                ids.append(i)
-                counts.append(c)
-                names += batch.column("doc_id").slice(at, len(c)).to_pylist()
-                held += len(i)
-                if held >= roll:
-                    yield close()
+        for batch in slices(batches):
+            i, c = terminated(*encoder.encode(batch.column("text")), end)
+            ids.append(i)
+            counts.append(c)
+            names += batch.column("doc_id").to_pylist()
+            held += len(i)
+            if held >= roll:
+                yield close()
         if names:
             yield close()
 
@@ -257,7 +257,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
                 yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids, dtype="Int64"), "start": starts + int(first), "n_tokens": shard.counts, "ids_crc32": np.array(crc, np.int64)})
 
-    return with_offsets(manifest).select("path", "first").repartition(64, "path").mapInPandas(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(materialize(with_offsets(manifest).select("path", "first"), "offsets")).mapInPandas(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, vocabulary: str | None = None, partitions: int | None = None) -> DataFrame:
