@@ -6,7 +6,8 @@ Similar texts often differ in more fingerprint bits than a grid can search, so t
 comes from a prefix filter, which loses no pair: the shingles of all texts are put in one
 order, and two sets of similarity ``4/5`` or more share one of the first
 ``n - ceil(4 n / 5) + 1`` of each. The order puts shingles common in a sample last (it
-changes speed, never results). Sizes and parity sketches of 256 and 2048 bits, for large
+changes speed, never results). Only the first shingle two texts share has to find them, so
+a place in the order that leaves too few shingles after it doesn't count. Sizes and parity sketches of 256 and 2048 bits, for large
 sets 16384 bits, whose differing bits are at most the shingles in one set only, drop
 candidates before the sets are compared exactly.
 
@@ -89,13 +90,19 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
         huge = np.packbits((np.bincount(own & 16383, minlength=16384) & 1).astype(np.uint8)).view("<i8")
         wide = np.bitwise_xor.reduce(huge.reshape(8, 32))  # parities add up
         sketch = np.bitwise_xor.reduce(wide.reshape(8, 4)).tolist()
-        often = np.isin(own, common.value)
+        often = common.value[np.minimum(np.searchsorted(common.value, own), len(common.value) - 1)] == own if len(common.value) else np.zeros(n, bool)
         prefix = np.concatenate([own[~often], own[often]])[: n - (4 * n + 4) // 5 + 1]
         return (_node(own), n, folded([every]), *sketch, wide, huge if n > LARGE else None, prefix)
 
     return _mapped(docs, row, f"{NODE}, prefix array<long>")
 
 
+def _early(pa: Column, na: Column, pb: Column, nb: Column) -> Column:
+    """Whether a shingle at places ``pa`` and ``pb`` (from 0) can be the first that two sets of
+    similarity 4/5 share: what follows it must suffice for an overlap of 4 (na + nb) / 9."""
+    return (pa * 9 <= na * 5 - nb * 4) & (pb * 9 <= nb * 5 - na * 4)
+
+
 def _close(a: str, b: str) -> Column:
     """Whether sizes and sketches of two nodes allow a similarity of 4/5."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -146,18 +153,20 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     near = links(first.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
 
     same = Window.partitionBy("shingle")
-    begins = of.select("node", F.explode("prefix").alias("shingle")).withColumns({"centre": F.min("node").over(same), "last": F.max("node").over(same)})
-    begins = materialize(begins.filter("centre < last").select("shingle", "node", "centre"), "prefixes")
-    stars = begins.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    begins = of.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumns({"centre": F.min(F.struct("node", "n", "pos")).over(same), "last": F.max("node").over(same)})
+    begins = materialize(begins.filter("centre.node < last").select("shingle", "node", "n", "pos", "centre"), "prefixes")
+    near_first = _early(F.col("pos"), F.col("n"), F.col("centre.pos"), F.col("centre.n"))
+    stars = begins.filter(near_first).select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
     linked = _verified(docs, of, alike.unionByName(near).select(*ordered).unionByName(stars), words)
 
     # What is still apart: shingles that meet in several components.
     labels = materialize(connected_components(linked), "labels")
-    placed = begins.select("shingle", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = begins.select("shingle", "node", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = placed.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).filter("low < high").drop("low", "high")
     placed = materialize(placed.join(of.select("node", "n", *SKETCH), "node"), "placed")
     release(begins)
-    apart = placed.alias("x").join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _close("x", "y"))
+    early = _early(F.col("x.pos"), F.col("x.n"), F.col("y.pos"), F.col("y.n"))
+    apart = placed.alias("x").join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & early & _close("x", "y"))
     rest = _verified(docs, of, apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), words)
     release(placed, of, first)
     labels = connected_components(linked.unionByName(rest))
