@@ -7,6 +7,45 @@ import argparse
 from .session import session
 
 
+def edits(p: argparse.ArgumentParser) -> None:
+    """Options that change a plan after it is made, or how its sheets look."""
+    p.add_argument("--name", action="append", default=[], metavar="ROOM=NAME", help="new name of a room, by its number or old name")
+    p.add_argument("--scale", type=float, help="factor of every length")
+    p.add_argument("--door-width", type=float, help="true width of the median door, in metres")
+    p.add_argument("--project")
+    p.add_argument("--sheet")
+    p.add_argument("--north", type=float, help="degrees clockwise from the sheet's upward direction")
+    p.add_argument("--paper", default="A4")
+    p.add_argument("--units", choices=("m", "ft"), default="m")
+    p.add_argument("--lang", choices=("en", "es"), default="en")
+
+
+def with_edits(spark, tables: dict, a) -> dict:
+    """Plan tables after the options of ``edits``, with the title block's ``info``."""
+    from pyspark.sql import functions as F
+
+    from .plans import schedules
+
+    scenes = tables["walls"].select("scene_id").distinct()
+    names = None
+    if a.name:
+        pairs = [x.partition("=")[::2] for x in a.name]
+        rows = [(int(k), None, v) if k.isdigit() else (None, k, v) for k, v in pairs]
+        names = scenes.join(spark.createDataFrame(rows, "id int, old string, new string"))  # a few names for each scene
+    walls, openings, rooms = schedules.edited(tables["walls"], tables["openings"], tables["rooms"], names, a.scale, a.door_width)
+    extents = schedules.print_scale(schedules.bounds(walls, rooms), a.paper)
+    text = lambda v, kind: F.lit(v).cast(kind)
+    info = extents.select("scene_id", text(a.project, "string").alias("project"), text(a.sheet, "string").alias("sheet"), text(a.north, "double").alias("north_deg"), "scale")
+    return {**tables, "walls": walls, "openings": openings, "rooms": rooms, "info": info}
+
+
+def write(spark, tables: dict, a, ceiling: float | None = None) -> None:
+    from .sources import sinks
+
+    done = with_edits(spark, tables, a)
+    sinks.export(done, a.out, tuple(a.formats.split(",")), ceiling, a.units, a.lang, a.paper).show(100, False)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="planweave")
     sub = p.add_subparsers(dest="command", required=True)
@@ -21,7 +60,26 @@ def main(argv: list[str] | None = None) -> int:
     render = sub.add_parser("render", help="export stored plan documents")
     render.add_argument("plans")
     render.add_argument("out")
-    render.add_argument("--formats", default="svg,dxf,obj,glb,html")
+    model = sub.add_parser("model", help="solid models of stored plan documents")
+    model.add_argument("plans")
+    model.add_argument("out")
+    model.add_argument("--ceiling", type=float)
+    for command in (demo, plan, render, model):
+        command.add_argument("--formats", default="obj,glb,dxf3d,iso.svg" if command is model else "svg,dxf,obj,glb,html,sheet.svg,sheet.pdf")
+        edits(command)
+    tum = sub.add_parser("tum", help="frames of an RGB-D recording, matched by time")
+    tum.add_argument("folder")
+    tum.add_argument("out")
+    tum.add_argument("--stride", type=int, default=1)
+    frames = sub.add_parser("frames", help="the sharpest frame of every window (Parquet: clip_id, frame_idx, sharpness)")
+    frames.add_argument("probes")
+    frames.add_argument("out")
+    frames.add_argument("--window", type=int, default=30)
+    frames.add_argument("--least", type=float, default=20.0)
+    rebuild = sub.add_parser("reconstruct", help="points of depth views (Parquet in the views schema)")
+    rebuild.add_argument("views")
+    rebuild.add_argument("out")
+    rebuild.add_argument("--voxel", type=float, default=0.02)
     site = sub.add_parser("site", help="survey saved building footprints")
     site.add_argument("answers")
     site.add_argument("--lat", type=float, required=True)
@@ -48,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"spark {spark.version}; backends {', '.join(backends.names())}; scenes {', '.join(synthetic.scenes())}")
     elif a.command in ("demo", "plan"):
         from .plans import planner
-        from .sources import ply, sinks, synthetic
+        from .sources import ply, synthetic
 
         if a.command == "demo":
             points, cameras = synthetic.sample(spark, [a.scene])
@@ -61,11 +119,23 @@ def main(argv: list[str] | None = None) -> int:
         t = planner.plan(points, cameras, options)
         for name in ("walls", "openings", "rooms", "extra_walls"):
             t[name].write.mode("overwrite").parquet(f"{a.out}/{name}")
-        sinks.export({k: t[k] for k in ("walls", "openings", "rooms")}, a.out, ("svg", "dxf", "obj", "glb", "html")).show(100, False)
-    elif a.command == "render":
-        from .sources import plans, sinks
+        write(spark, {k: t[k] for k in ("walls", "openings", "rooms")}, a)
+    elif a.command in ("render", "model"):
+        from .sources import plans
+
+        write(spark, plans.read(spark, a.plans), a, getattr(a, "ceiling", None))
+    elif a.command == "tum":
+        from .sources import lists
+
+        lists.sequence(spark, a.folder, stride=a.stride).write.mode("overwrite").parquet(a.out)
+    elif a.command == "frames":
+        from .operators import select
+
+        select.window_best(spark.read.parquet(a.probes), ["clip_id"], "frame_idx", a.window, "sharpness", a.least).write.mode("overwrite").parquet(a.out)
+    elif a.command == "reconstruct":
+        from .operators import fusion
 
-        sinks.export(plans.read(spark, a.plans), a.out, tuple(a.formats.split(","))).show(100, False)
+        fusion.fuse(spark.read.parquet(a.views), voxel=a.voxel).write.mode("overwrite").parquet(a.out)
     elif a.command == "site":
         from .plans import survey
         from .sources import buildings

@@ -157,20 +157,22 @@ def findings(plans: DataFrame, rooms: DataFrame, walls: DataFrame, openings: Dat
     return every.unionByName(_finding(fine, "ok", "ok"))
 
 
-def with_messages(found: DataFrame) -> DataFrame:
-    """Findings with an English ``text`` made from key and params."""
-    table = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+def with_messages(found: DataFrame, lang: str = "en") -> DataFrame:
+    """Findings with a ``text`` made from key and params."""
+    from ..functions.words import MESSAGES_ES
+
+    table = F.create_map(*[F.lit(x) for kv in (MESSAGES_ES if lang == "es" else MESSAGES).items() for x in kv])
     text = F.element_at(table, F.col("key"))
     for name in ("items", "m2", "n", "total", "rate", "want", "pct", "m", "bad", "cover", "links", "times"):
         text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(F.try_element_at("params", F.lit(name)), F.lit("")))
     return found.withColumn("text", text)
 
 
-def notes(found: DataFrame, walls: DataFrame) -> DataFrame:
+def notes(found: DataFrame, walls: DataFrame, lang: str = "en") -> DataFrame:
     """General notes of a sheet in order: assumed thicknesses by value, then the findings that are
     not good news: scene_id, position, text."""
     by = walls.filter("sides_seen = 1").groupBy("scene_id", F.bround("thickness", 2).alias("th")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: F.concat(F.lit("M"), (i + 1).cast("string"))), ", ").alias("ids"))
-    first = by.select("scene_id", F.lit(0).alias("o"), F.col("th").alias("p"), F.concat("ids", F.format_string(": thickness %.2f m assumed", "th")).alias("text"))
-    rest = with_messages(found).filter("level <> 'ok' and key <> 'thickness'").select("scene_id", F.lit(1).alias("o"), F.lit(0.0).alias("p"), "text")
+    first = by.select("scene_id", F.lit(0).alias("o"), F.col("th").alias("p"), F.concat("ids", F.format_string(": espesor de %.2f m supuesto" if lang == "es" else ": thickness %.2f m assumed", "th")).alias("text"))
+    rest = with_messages(found, lang).filter("level <> 'ok' and key <> 'thickness'").select("scene_id", F.lit(1).alias("o"), F.lit(0.0).alias("p"), "text")
     w = Window.partitionBy("scene_id").orderBy("o", "p", "text")
     return first.unionByName(rest).withColumn("position", F.row_number().over(w)).select("scene_id", "position", "text")

@@ -285,6 +285,23 @@ def renamed(rooms: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("name", F.coalesce(F.nullif("n1", F.lit("")), F.nullif("n2", F.lit("")), "name")).select(*rooms.columns)
 
 
+def edited(walls: DataFrame, openings: DataFrame, rooms: DataFrame, names: DataFrame | None = None, scale: float | None = None, door_width: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A user's edits in order: room names, then one factor for every length, given or such that the
+    median door gets a known width (a given factor wins)."""
+    if names is not None:
+        rooms = renamed(rooms, names)
+    if scale is not None:
+        if not scale > 0:
+            raise ValueError("a scale must be positive")
+        factors = walls.select("scene_id").distinct().withColumn("factor", F.lit(float(scale)))
+    elif door_width is not None:
+        factors = door_factors(openings, door_width)
+        factors = walls.select("scene_id").distinct().join(factors, S, "left").fillna(1.0, ["factor"])
+    else:
+        return walls, openings, rooms
+    return scaled(walls, openings, rooms, factors)
+
+
 def summary(scenes: DataFrame, walls: DataFrame, openings: DataFrame, rooms: DataFrame) -> DataFrame:
     """A few lines of text a scene."""
     n = lambda df, k: df.groupBy("scene_id").agg(F.count("*").alias(k))

@@ -11,6 +11,7 @@ import math
 import struct
 import zlib
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +23,12 @@ from ..plans import schedules
 
 W = WallColumns()
 # Layer: stroke, fill (the look of this engine's own sheets).
-STYLE = {"room": ("#b8b8b8", "#f4f1ea"), "wall": ("#202020", "#404040"), "opening": ("#2a6f97", "#ffffff"), "label": ("#202020", None), "open": ("#c1121f", None)}
+STYLE = {
+    "room": ("#b8b8b8", "#f4f1ea"), "wall": ("#202020", "#404040"), "opening": ("#2a6f97", "#ffffff"), "label": ("#202020", None), "open": ("#c1121f", None), "swing": ("#2a6f97", None), "dims": ("#5a5a5a", None),
+    "axis": ("#8a6d3b", "#ffffff"), "table": ("#202020", None), "title": ("#202020", None), "stamp": ("#c1121f", None),
+}
+DASHED = ("open", "axis")
+TEXT_SIZE = 0.15  # metres, where a drawing gives no sizes
 
 
 def write_files(contents: DataFrame, folder: str) -> DataFrame:
@@ -45,7 +51,7 @@ def write_files(contents: DataFrame, folder: str) -> DataFrame:
     return contents.mapInPandas(run, "scene_id string, format string, path string, bytes long")
 
 
-def drawing(walls: DataFrame, openings: DataFrame, rooms: DataFrame) -> DataFrame:
+def drawing(walls: DataFrame, openings: DataFrame, rooms: DataFrame, labelled: bool = True) -> DataFrame:
     """Primitives of a plan: rooms, wall bodies, openings, labels, open sides, back to front."""
     none = F.lit(None).cast("string")
     prim = lambda df, order, layer, kind, pts, txt=none: df.select("scene_id", F.lit(order).alias("o"), F.col("k").cast("long").alias("k"), F.lit(kind).alias("kind"), pts.alias("points"), txt.alias("text"), F.lit(layer).alias("layer"))
@@ -56,7 +62,8 @@ def drawing(walls: DataFrame, openings: DataFrame, rooms: DataFrame) -> DataFram
     out = out.unionByName(prim(on, 2, "opening", "polygon", W.rectangle(F.col("t0"), F.col("t1"), F.col("thickness") / 2 + 0.002)))
     out = out.unionByName(prim(on, 3, "label", "text", F.array(W.at((F.col("t0") + F.col("t1")) / 2, 0.3)), F.col("tag")))
     label = F.concat_ws(" ", "name", text.area_text(rings.area(F.col("polygon"), F.col("holes"))))
-    out = out.unionByName(prim(r, 4, "label", "text", F.array(rings.label_point(F.col("polygon"))), label))
+    if labelled:
+        out = out.unionByName(prim(r, 4, "label", "text", F.array(rings.label_point(F.col("polygon"))), label))
     edge = schedules.open_edges(rooms, walls).withColumn("k", F.col("room"))
     out = out.unionByName(prim(edge, 5, "open", "polyline", F.array("a", "b")))
     from pyspark.sql import Window
@@ -65,6 +72,11 @@ def drawing(walls: DataFrame, openings: DataFrame, rooms: DataFrame) -> DataFram
     return out.withColumn("seq", F.row_number().over(w)).drop("o", "k")
 
 
+def _size(prims: DataFrame):
+    """Height of texts in metres."""
+    return F.coalesce("size", F.lit(TEXT_SIZE)) if "size" in prims.columns else F.lit(TEXT_SIZE)
+
+
 def svg(prims: DataFrame, scale: float = 80.0, margin: float = 60.0) -> DataFrame:
     """scene_id, value: SVG documents made of expressions; y points up in the plan, down on the sheet."""
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
@@ -77,23 +89,31 @@ def svg(prims: DataFrame, scale: float = 80.0, margin: float = 60.0) -> DataFram
     stroke = F.coalesce(*[F.when(F.col("layer") == k, v[0]) for k, v in STYLE.items()])
     fill = F.coalesce(*[F.when(F.col("layer") == k, v[1] or "none") for k, v in STYLE.items()])
     first = F.get("points", F.lit(0))
-    el = F.when(F.col("kind") == "text", F.format_string('<text class="%s" x="%s" y="%s" font-family="Helvetica" font-size="12" text-anchor="middle" fill="%s">%s</text>', "layer", sx(first), sy(first), stroke, text.escape_markup(F.coalesce("text", F.lit("")))))
-    el = el.when(F.col("kind") == "polyline", F.format_string('<polyline class="%s" points="%s" fill="none" stroke="%s" stroke-dasharray="6 4"/>', "layer", path, stroke)).otherwise(F.format_string('<polygon class="%s" points="%s" fill="%s" stroke="%s"/>', "layer", path, fill, stroke))
+    el = F.when(F.col("kind") == "text", F.format_string('<text class="%s" x="%s" y="%s" font-family="Helvetica" font-size="%s" text-anchor="middle" fill="%s">%s</text>', "layer", sx(first), sy(first), num(_size(prims) * scale), stroke, text.escape_markup(F.coalesce("text", F.lit("")))))
+    el = el.when(F.col("kind") == "polyline", F.format_string('<polyline class="%s" points="%s" fill="none" stroke="%s"%s/>', "layer", path, stroke, F.when(F.col("layer").isin(*DASHED), ' stroke-dasharray="6 4"').otherwise(""))).otherwise(F.format_string('<polygon class="%s" points="%s" fill="%s" stroke="%s"/>', "layer", path, fill, stroke))
     body = on.withColumn("el", el).groupBy("scene_id", "x0", "x1", "y0", "y1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "el"))), lambda e: e["el"]), "\n").alias("body"))
     size = lambda a, b: num((F.col(b) - F.col(a)) * scale + 2 * margin)
     return body.select("scene_id", F.concat(F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%s" height="%s">\n', size("x0", "x1"), size("y0", "y1")), "body", F.lit("\n</svg>\n")).alias("value"))
 
 
+def _dxf_document(body, layers, unit: float):
+    """Header with units, a layer table, the entities."""
+    insunits = {1.0: 6, 1000.0: 4, 100.0: 5}.get(float(unit), 0)  # metres, millimetres, centimetres (fixed values)
+    header = f"0\nSECTION\n2\nHEADER\n9\n$ACADVER\n1\nAC1015\n9\n$INSUNITS\n70\n{insunits}\n9\n$MEASUREMENT\n70\n1\n0\nENDSEC\n0\nSECTION\n2\nTABLES\n0\nTABLE\n2\nLAYER\n70\n"
+    table = F.concat(F.size(layers).cast("string"), F.lit("\n"), F.array_join(F.transform(layers, lambda x: F.concat(F.lit("0\nLAYER\n2\n"), x, F.lit("\n70\n0\n62\n7\n6\nCONTINUOUS\n"))), ""))
+    return F.concat(F.lit(header), table, F.lit("0\nENDTAB\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n"), body, F.lit("0\nENDSEC\n0\nEOF\n"))
+
+
 def dxf(prims: DataFrame, unit: float = 1.0) -> DataFrame:
-    """scene_id, value: minimal ASCII drawings, a layer each kind; ``unit`` units a metre."""
+    """scene_id, value: ASCII drawings with units and layers declared; ``unit`` units a metre."""
     num = lambda c: F.format_string("%.6f", c * unit)
     point = lambda p, a, b: F.concat(F.lit(f"{a}\n"), num(p["x"]), F.lit(f"\n{b}\n"), num(p["y"]), F.lit("\n"))
     layer = F.upper("layer")
     poly = F.concat(F.lit("0\nLWPOLYLINE\n8\n"), layer, F.lit("\n90\n"), F.size("points").cast("string"), F.lit("\n70\n"), F.when(F.col("kind") == "polygon", "1").otherwise("0"), F.lit("\n"), F.array_join(F.transform("points", lambda p: point(p, 10, 20)), ""))
-    label = F.concat(F.lit("0\nTEXT\n8\n"), layer, F.lit("\n"), point(F.get("points", F.lit(0)), 10, 20), F.lit(f"40\n{0.15 * unit:.3f}\n1\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    label = F.concat(F.lit("0\nTEXT\n8\n"), layer, F.lit("\n"), point(F.get("points", F.lit(0)), 10, 20), F.lit("40\n"), num(_size(prims)), F.lit("\n1\n"), F.coalesce("text", F.lit("")), F.lit("\n72\n1\n"), point(F.get("points", F.lit(0)), 11, 21))
     rows = prims.withColumn("el", F.when(F.col("kind") == "text", label).otherwise(poly))
-    body = rows.groupBy("scene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "el"))), lambda e: e["el"]), "").alias("body"))
-    return body.select("scene_id", F.concat(F.lit("0\nSECTION\n2\nENTITIES\n"), "body", F.lit("0\nENDSEC\n0\nEOF\n")).alias("value"))
+    body = rows.groupBy("scene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "el"))), lambda e: e["el"]), "").alias("body"), F.sort_array(F.collect_set(layer)).alias("layers"))
+    return body.select("scene_id", _dxf_document(F.col("body"), F.col("layers"), unit).alias("value"))
 
 
 def dxf_solid(faces: DataFrame, unit: float = 1.0) -> DataFrame:
@@ -101,8 +121,8 @@ def dxf_solid(faces: DataFrame, unit: float = 1.0) -> DataFrame:
     at = lambda p, k: F.concat(*[x for i, c in enumerate("xyz") for x in (F.lit(f"{10 * (i + 1) + k}\n"), F.format_string("%.6f", p[c] * unit), F.lit("\n"))])
     n = F.size("face")
     tri = F.transform(F.sequence(F.lit(1), n - 2), lambda k: F.concat(F.lit("0\n3DFACE\n8\n"), F.upper("kind"), F.lit("\n"), at(F.get("face", F.lit(0)), 0), at(F.get("face", k), 1), at(F.get("face", k + 1), 2), at(F.get("face", k + 1), 3)))
-    body = faces.select("scene_id", F.array_join(tri, "").alias("el")).groupBy("scene_id").agg(F.array_join(F.sort_array(F.collect_list("el")), "").alias("body"))
-    return body.select("scene_id", F.concat(F.lit("0\nSECTION\n2\nENTITIES\n"), "body", F.lit("0\nENDSEC\n0\nEOF\n")).alias("value"))
+    body = faces.select("scene_id", F.upper("kind").alias("layer"), F.array_join(tri, "").alias("el")).groupBy("scene_id").agg(F.array_join(F.sort_array(F.collect_list("el")), "").alias("body"), F.sort_array(F.collect_set("layer")).alias("layers"))
+    return body.select("scene_id", _dxf_document(F.col("body"), F.col("layers"), unit).alias("value"))
 
 
 def _scenes(df: DataFrame, columns: list[str], make: Callable, order: list[str]) -> DataFrame:
@@ -170,12 +190,12 @@ def pdf(prims: DataFrame, print_scale: int = 100, paper: str = "A4") -> DataFram
     def make(rows):
         to, w, h = _sheet(rows, per_metre, 36)
         ops = []
-        for kind, points, label, layer in rows[["kind", "points", "text", "layer"]].itertuples(index=False):
+        for kind, points, label, layer, size in rows[["kind", "points", "text", "layer", "size"]].itertuples(index=False):
             stroke, fill = _rgb(STYLE[layer][0]), _rgb(STYLE[layer][1])
             at = [to(p) for p in points]
             if kind == "text":
                 safe = (label or "").encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-                ops.append(b"BT /F1 8 Tf 0 0 0 rg %.2f %.2f Td (" % at[0] + safe + b") Tj ET")
+                ops.append(b"BT /F1 %.2f Tf 0 0 0 rg %.2f %.2f Td (" % (max(4.0, size * per_metre), *at[0]) + safe + b") Tj ET")
                 continue
             path = b" ".join([b"%.2f %.2f %s" % (*p, b"l" if i else b"m") for i, p in enumerate(at)])
             ink = b"%.3f %.3f %.3f RG " % stroke + (b"%.3f %.3f %.3f rg " % fill if fill else b"")
@@ -193,7 +213,7 @@ def pdf(prims: DataFrame, print_scale: int = 100, paper: str = "A4") -> DataFram
         table = b"".join(b"%010d 00000 n \n" % a for a in at)
         return out + b"xref\n0 %d\n0000000000 65535 f \n" % (len(at) + 1) + table + b"trailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(at) + 1, len(out))
 
-    return _scenes(prims, ["seq", "kind", "points", "text", "layer"], make, ["seq"])
+    return _scenes(prims.withColumn("size", _size(prims)), ["seq", "kind", "points", "text", "layer", "size"], make, ["seq"])
 
 
 def png(prims: DataFrame, scale: float = 80.0) -> DataFrame:
@@ -232,10 +252,14 @@ def png(prims: DataFrame, scale: float = 80.0) -> DataFrame:
     return _scenes(prims, ["seq", "kind", "points", "layer"], make, ["seq"])
 
 
-def isometric_svg(faces: DataFrame, scale: float = 60.0) -> DataFrame:
-    """Axonometric view in painter's order."""
+def isometric(faces: DataFrame) -> DataFrame:
+    """Primitives of the axonometric view in painter's order."""
     seen = schedules.painted(faces)
-    return svg(seen.select("scene_id", F.col("rank").alias("seq"), F.lit("polygon").alias("kind"), F.col("outline").alias("points"), F.lit(None).cast("string").alias("text"), F.when(F.col("kind") == "floor", "room").when(F.col("kind").isin("door", "window"), "opening").otherwise("wall").alias("layer")), scale)
+    return seen.select("scene_id", F.col("rank").alias("seq"), F.lit("polygon").alias("kind"), F.col("outline").alias("points"), F.lit(None).cast("string").alias("text"), F.when(F.col("kind") == "floor", "room").when(F.col("kind").isin("door", "window"), "opening").otherwise("wall").alias("layer"))
+
+
+def isometric_svg(faces: DataFrame, scale: float = 60.0) -> DataFrame:
+    return svg(isometric(faces), scale)
 
 
 def elevations(walls: DataFrame, openings: DataFrame, scale: float = 50.0) -> DataFrame:
@@ -273,19 +297,28 @@ def debug_png(plan: dict[str, DataFrame], scale: float = 60.0, most: int = 20_00
     return png(out, scale)
 
 
-FORMATS = ("svg", "png", "pdf", "dxf", "dxf3d", "obj", "glb", "json", "html", "iso.svg", "elevations.svg")
+FORMATS = ("svg", "png", "pdf", "dxf", "dxf3d", "obj", "glb", "json", "html", "iso.svg", "iso.png", "elevations.svg", "elevations.png", "elevations.pdf", "sheet.svg", "sheet.pdf", "sheet.png", "sheet.dxf")
 
 
-def export(plan: dict[str, DataFrame], folder: str, formats: tuple = FORMATS, ceiling: float | None = None) -> DataFrame:
+def export(plan: dict[str, DataFrame], folder: str, formats: tuple = FORMATS, ceiling: float | None = None, units: str = "m", lang: str = "en", paper: str = "A4") -> DataFrame:
     """Chosen formats of every scene's plan: scene_id, format, path, bytes. ``plan`` has walls,
-    openings, rooms and, for JSON, plans."""
+    openings, rooms and, for JSON, plans; ``info``, ``findings`` and ``stamps`` fill the sheets."""
     walls, openings, rooms = plan["walls"], plan["openings"], plan["rooms"]
     prims = drawing(walls, openings, rooms)
     faces = schedules.model_faces(walls, openings, rooms, ceiling)
+    upright = lambda: elevations(walls, openings)
+
+    @cache
+    def whole():
+        from . import sheets
+
+        return sheets.sheet(walls, openings, rooms, plan.get("info"), plan.get("findings"), plan.get("stamps"), units, lang)
+
     raw = lambda df: df.select("scene_id", F.encode("value", "utf-8").alias("content"))
     makers: dict[str, Callable[[], DataFrame]] = {
-        "svg": lambda: raw(svg(prims)), "png": lambda: png(prims), "pdf": lambda: pdf(prims), "dxf": lambda: raw(dxf(prims)), "dxf3d": lambda: raw(dxf_solid(faces)), "obj": lambda: obj(faces), "glb": lambda: glb(faces),
-        "html": lambda: raw(html(svg(prims), schedules.area_schedule(rooms, walls), schedules.opening_schedule(openings))), "iso.svg": lambda: raw(isometric_svg(faces)), "elevations.svg": lambda: raw(svg(elevations(walls, openings), 50.0)),
+        "svg": lambda: raw(svg(prims)), "png": lambda: png(prims), "pdf": lambda: pdf(prims, paper=paper), "dxf": lambda: raw(dxf(prims)), "dxf3d": lambda: raw(dxf_solid(faces)), "obj": lambda: obj(faces), "glb": lambda: glb(faces),
+        "html": lambda: raw(html(svg(prims), schedules.area_schedule(rooms, walls, units), schedules.opening_schedule(openings, units))), "iso.svg": lambda: raw(isometric_svg(faces)), "iso.png": lambda: png(isometric(faces), 60.0),
+        "elevations.svg": lambda: raw(svg(upright(), 50.0)), "elevations.png": lambda: png(upright(), 50.0), "elevations.pdf": lambda: pdf(upright(), 50, paper), "sheet.svg": lambda: raw(svg(whole())), "sheet.pdf": lambda: pdf(whole(), paper=paper), "sheet.png": lambda: png(whole()), "sheet.dxf": lambda: raw(dxf(whole())),
     }
     if "plans" in plan:
         from . import plans
