@@ -24,6 +24,7 @@ from .store import file_system, make_dir, materialize, scratch, spread
 
 CHUNK = 1 << 18
 CRLF = b"\r\n"
+DATE = "2020-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -31,16 +32,18 @@ def digest(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def encode_record(kind: str, url: str, payload: bytes, page_id: int | None, refers_to: int | None = None, of: tuple[str, int] | None = None) -> bytes:
-    """A whole gzip member. A revisit carries no payload but its response's digest and length (``of``)."""
-    url = " ".join((url or "about:blank").split()) or "about:blank"
+def encode_record(kind: str, url: str, payload: bytes, page_id: int | None, refers_to: int | None = None, of: tuple[str, int] | None = None, refers_url: str | None = None, place: str = "") -> bytes:
+    """A whole gzip member. A revisit carries no payload but its response's digest and length (``of``)
+    and URL; ``place`` (file and number of the record) keeps the ids of equal records apart."""
+    clean = lambda u: " ".join((u or "about:blank").split()) or "about:blank"
+    url = clean(url)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
     payload_digest, length = of or (digest(payload), len(payload))
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind}:{page_id}:{url}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind}:{page_id}:{url}:{place}")
     head = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:uuid:{name}>"),
-        ("WARC-Date", "2020-01-01T00:00:00Z"),
+        ("WARC-Date", DATE),
         ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", payload_digest),
         ("WARC-Block-Digest", digest(block)),
@@ -48,7 +51,7 @@ def encode_record(kind: str, url: str, payload: bytes, page_id: int | None, refe
         ("X-Payload-Length", str(length)),
     ]
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", clean(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", str(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     raw = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + CRLF + block + CRLF + CRLF
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -127,10 +130,10 @@ def plan_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"length": F.length("payload").cast("long"), "sha1": F.sha1("payload")})
     # Only digests that occur again: few rows, and no payload, meet in this aggregate.
-    again = rows.filter(F.col("length") >= least).groupBy("sha1", "length").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").drop("copies")
+    again = rows.filter(F.col("length") >= least).groupBy("sha1", "length").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").drop("copies")
     again = materialize(again, "digests").withColumnsRenamed({"sha1": "s", "length": "l"})
     joined = rows.join(again, (F.col("sha1") == F.col("s")) & (F.col("length") == F.col("l")), "left")
-    return joined.select("page_id", "url", "payload", "length", "sha1", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "length", "sha1", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"), "first_url")
 
 
 def write_archives(pages: DataFrame, least: int = 1000, roll: int = 64 << 20) -> DataFrame:
@@ -157,16 +160,16 @@ def write_archives(pages: DataFrame, least: int = 1000, roll: int = 64 << 20) ->
             return pd.DataFrame({"path": [f"{folder}/{name}"], "records": [count], "bytes": [size]})
 
         for batch in batches:
-            for page_id, url, payload, length, sha1, refers in zip(*(batch[c].array for c in ("page_id", "url", "payload", "length", "sha1", "refers_to"))):
+            for page_id, url, payload, length, sha1, refers, first_url in zip(*(batch[c].array for c in ("page_id", "url", "payload", "length", "sha1", "refers_to", "first_url"))):
                 if out is None:
                     name, count, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = files.open_output_stream(f"{base}/{name}", compression=None)
                 pid = None if pd.isna(page_id) else int(page_id)
                 if pd.isna(refers):
-                    raw = encode_record("response", url, payload, pid)
+                    raw = encode_record("response", url, payload, pid, place=f"{name}:{count}")
                 else:
                     of = ("sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode(), int(length))
-                    raw = encode_record("revisit", url, b"", pid, int(refers), of)
+                    raw = encode_record("revisit", url, b"", pid, int(refers), of, first_url, f"{name}:{count}")
                 out.write(raw)
                 count += 1
                 size += len(raw)

@@ -377,6 +377,15 @@ def test_warc_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", first if again else None)
         assert bytes(r.payload) == (b"" if again else raw)
     assert warc.archived_pages(df.limit(0)).count() == 0
+    ids, revisits = set(), []
+    for r in manifest.collect():
+        files, name = store.file_system(r.path)
+        with files.open_input_stream(name, compression=None) as stream:
+            heads = [x.headers for x in warc.read_records(stream)]
+        ids |= {h["WARC-Record-ID"] for h in heads}
+        revisits += [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(ids) == len(rows)  # repeated rows too
+    assert revisits and all(h["WARC-Refers-To-Target-URI"] == "http://a/5" and h["WARC-Refers-To-Date"] for h in revisits)
 
 
 class Slow(io.BytesIO):
