@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,19 +44,63 @@ def components(edges: DataFrame, keys: list[str], a: str = "a", b: str = "b") ->
     return nodes
 
 
+TILE = 256  # cells a side of the tiles that are labelled on their own
+
+
+def _labelled(iy: np.ndarray, ix: np.ndarray) -> np.ndarray:
+    """Index of the first cell (by row, then column) of each cell's 4-connected component; the cells
+    are sorted by row and column. Runs along rows are joined where they overlap the next row's."""
+    new = np.append(True, (np.diff(iy) != 0) | (np.diff(ix) != 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ix)) - 1
+    wide = int(ix.max() - ix.min()) + 2
+    at = lambda y, x: y * wide + (x - ix.min())
+    y = iy[first]
+    lo = np.searchsorted(at(y, ix[last]), at(y + 1, ix[first]), "left")
+    hi = np.searchsorted(at(y, ix[first]), at(y + 1, ix[last]), "right")
+    many = np.maximum(hi - lo, 0)
+    p = np.repeat(np.arange(len(first)), many)
+    q = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    parent = np.arange(len(first))
+    while len(p):  # hook roots under smaller roots until every pair is inside a tree
+        while ((up := parent[parent]) != parent).any():
+            parent = up
+        p, q = parent[p], parent[q]
+        apart = p != q
+        p, q = p[apart], q[apart]
+        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+    while ((up := parent[parent]) != parent).any():
+        parent = up
+    return first[parent][np.cumsum(new) - 1]
+
+
 def cell_components(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """4-connected components of a sparse raster: keys, ix, iy, label. Horizontal runs are found by
-    a window first, so the graph has one node a run and its edges are overlaps of runs."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys, "iy").orderBy("ix")
-    run = cells.select(*keys, "ix", "iy").distinct().withColumn("_b", F.coalesce((F.col("ix") - F.lag("ix").over(w) > 1).cast("int"), F.lit(0))).withColumn("_r", F.sum("_b").over(w))
-    spans = run.groupBy(*keys, "iy", "_r").agg(F.min("ix").alias("i0"), F.max("ix").alias("i1")).withColumn("node", F.struct("iy", "i0"))
-    by_cell = run.join(spans.select(*keys, "iy", "_r", "node"), [*keys, "iy", "_r"]).select(*keys, "ix", "iy", "node")
-    above = by_cell.select(*keys, "ix", (F.col("iy") + 1).alias("iy"), F.col("node").alias("b"))
-    edges = by_cell.join(above, [*keys, "ix", "iy"]).select(*keys, F.col("node").alias("a"), "b").distinct()
+    """4-connected components of a sparse raster: keys, ix, iy, label (row and column of the first
+    cell). Tiles of a bounded size are labelled each in a task; the graph has only edges between
+    tile components that touch across a border."""
+    base = cells.select(*keys, F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).distinct()
+    schema = StructType([*base.schema.fields, StructField("ly", LongType()), StructField("lx", LongType())])
+    names = [f.name for f in schema]
+
+    def label(rows):
+        rows = rows.sort_values(["iy", "ix"], ignore_index=True)
+        iy, ix = rows["iy"].to_numpy(), rows["ix"].to_numpy()
+        first = _labelled(iy, ix)
+        return rows.assign(ly=iy[first], lx=ix[first])[names]
+
+    tiled = base.groupBy(*keys, F.floor(F.col("ix") / TILE), F.floor(F.col("iy") / TILE)).applyInPandas(label, schema)
+    own = checkpointed(tiled.select(*keys, "ix", "iy", F.struct(F.col("ly").alias("iy"), F.col("lx").alias("i0")).alias("node")))
+    edge = lambda c: F.pmod(F.col(c), F.lit(TILE))
+    parts = []
+    for c, other in (("ix", "iy"), ("iy", "ix")):
+        here = own.filter(edge(c) == TILE - 1).select(*keys, (F.col(c) + 1).alias(c), other, F.col("node").alias("a"))
+        there = own.filter(edge(c) == 0).select(*keys, c, other, F.col("node").alias("b"))
+        parts.append(here.join(there, [*keys, c, other]).select(*keys, "a", "b"))
+    edges = checkpointed(parts[0].unionByName(parts[1]).distinct())
+    if not edges.head(1):
+        return own.withColumnRenamed("node", "label")
     labels = components(edges, keys)
-    return by_cell.join(labels, [*keys, "node"], "left").select(*keys, "ix", "iy", F.coalesce("label", "node").alias("label"))
+    return own.join(labels, [*keys, "node"], "left").select(*keys, "ix", "iy", F.coalesce("label", "node").alias("label"))
 
 
 def bfs_levels(edges: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
