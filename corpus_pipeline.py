@@ -17,7 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or
-    more) stays: that with the smallest doc_id. SimHash within 2 bits would lose most of them."""
+    more) stays: that with the smallest doc_id. SimHash links are searched and verified first; a
+    prefix filter then finds what lies beyond 2 bits."""
     return nearcopies.keep_one(docs)
 
 
@@ -49,6 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the corpus, a row for each reading of a document.
+
+    Null and wordless texts are alike for the near-duplicate stage and have nothing to mix, so
+    they go; a null id is an id like any other, sorted first; of repeated rows one stays; further
+    columns pass up to the last stage, whatever their names; empty tables give no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
