@@ -61,4 +61,26 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-SQL = {"op5_embedding_dedup": OP5, "op6_warc": OP6, "op7_mixing": OP7, "op10_decontamination": OP10}
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+place AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+span AS (SELECT lang, unnest([list_slice(words, i, i + k - 1) FOR k IN range(1, 5) IF i + k - 1 <= len(words)]) AS ws FROM place),
+f AS (SELECT lang, ws, count(*) AS a FROM span GROUP BY lang, ws HAVING count(*) >= 30),
+cand AS (SELECT * FROM f WHERE len(ws) >= 2),
+cut AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.ws, c.a, c.k, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a) AS BIGINT) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.ws = list_slice(c.ws, 1, c.k) JOIN f y ON y.lang = c.lang AND y.ws = list_slice(c.ws, c.k + 1, len(c.ws))),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+part AS (
+  SELECT lang, c.a, list_slice(ws, i, i + m - 1) AS ws FROM cand c JOIN (VALUES (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) inner_part(i, m) ON m < len(ws) AND i + m - 1 <= len(ws)),
+longer AS (SELECT lang, ws, max(a) AS a FROM part GROUP BY lang, ws),
+kept AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, l, r, score FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.ws = b.ws WHERE g.a IS NULL OR 100::HUGEINT * g.a < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op5_embedding_dedup": OP5, "op6_warc": OP6, "op7_mixing": OP7, "op10_decontamination": OP10, "op12_collocations": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding, mixing, pii, sharding, simhash, tokencount, toxicity, warc, wavelet
+from . import collocations, decontaminate, embedding, lmscore, mixing, pii, sharding, simhash, tokencount, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,18 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_lm_scoring(spark, sf_dir):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; null and empty texts are an end mark alone, a null id is learned from, repeated rows get a row each."""
+    return lmscore.scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_collocations(spark, sf_dir):
+    """lang, rank, phrase, a, l, r, n, score of each language's first 2000; null texts are empty, a null language is ``und``, repeated rows count as often as they are there."""
+    return collocations.phrases(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_token_counts, op2_sharding, op3_simhash, op4_toxicity, op5_embedding_dedup, op6_warc, op7_mixing, op8_pii, op9_token_output, op10_decontamination]
+    every = [op1_token_counts, op2_sharding, op3_simhash, op4_toxicity, op5_embedding_dedup, op6_warc, op7_mixing, op8_pii, op9_token_output, op10_decontamination, op11_lm_scoring, op12_collocations]
     return {f.__name__: f for f in every}
 
 
