@@ -92,10 +92,15 @@ OTHER = 556
 
 
 def text_width(s: Column, size: Column | float, bold: bool = False) -> Column:
-    """Width of a text in points: one table lookup a character, summed in the row."""
-    table = F.array(*[F.lit(w) for w in (BOLD if bold else REGULAR)])
-    width = lambda c: F.when(F.ascii(c).between(32, 126), F.get(table, F.ascii(c) - 32)).otherwise(OTHER)
-    total = F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0), lambda a, c: a + width(c))
+    """Width of a text in points: the characters of each width are counted by taking them out, so a
+    text of any length stays one value."""
+    by_width: dict[int, str] = {}
+    for code, width in enumerate(BOLD if bold else REGULAR, 32):
+        by_width[width] = by_width.get(width, "") + chr(code)
+    total = F.length(s) * OTHER
+    for width, characters in by_width.items():
+        if width != OTHER:
+            total = total + (F.length(s) - F.length(F.translate(s, characters, ""))) * (width - OTHER)
     return total * (size if isinstance(size, Column) else F.lit(float(size))) / 1000
 
 

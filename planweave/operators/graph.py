@@ -4,24 +4,37 @@ aggregate, its result checkpointed to the shared folder, so lineage and plans st
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder. Where the session names none, a local one is made if the
-    whole application is one process; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+def _shared(spark: SparkSession) -> str:
+    """URI of the shared folder. Where the session names none, a local one is made if the whole
+    application is one process; on a cluster that is an error."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="planweave-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """URI of a new folder below the shared one; nothing else ever uses its name."""
+    return f"{_shared(spark).rstrip('/')}/planweave/{name}-{uuid.uuid4().hex}"
+
+
 def components(edges: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node of each node's component, within the keys: keys, node, label. Labels are
     hooked and halved (each node also asks its label's label), so rounds grow with the

@@ -117,6 +117,19 @@ def running_product(df: DataFrame, keys: list[str], order: str, value: str, name
     return df.withColumn(name, F.exp(F.sum(F.ln(value)).over(w)))
 
 
+def running_total(df: DataFrame, keys: list[str], block: str, order: list, value: str, name: str = "total") -> DataFrame:
+    """Cumulative sum of ``value`` by ``order`` within the keys, which may be null. ``block`` cuts the
+    order into stretches: no task sees more of a key than a block of it. Nulls count nothing; rows
+    that ``order`` doesn't tell apart come in any order."""
+    sums = df.groupBy(*keys, block).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, block]], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_ahead"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, block]]
+    within = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.join(ahead, same).withColumn(name, F.col("_ahead") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return joined.drop("_ahead", *[f"_of_{k}" for k in [*keys, block]])
+
+
 def chain_spread(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """How far apart the sizes along a chain of factors came, starting from 1: keys, spread, links."""
     run = running_product(df.filter(F.col(value) > 0), keys, order, value)

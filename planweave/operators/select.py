@@ -63,9 +63,9 @@ def first_rule(text: Column, rules: list[tuple[str, Column]]) -> Column:
 def with_overflow(rows: DataFrame, keys: list[str], order: list, most: int, label: str, text: str) -> DataFrame:
     """The first rows of each key and one that says how many more there are: keys, label."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(w))
+    ranked = rows.withColumn("_r", F.row_number().over(w))  # the rank filter cuts each key before its shuffle
     kept = ranked.filter(F.col("_r") <= most).select(*keys, "_r", F.col(label).cast("string").alias("label"))
-    more = ranked.groupBy(*keys).agg(F.max("_r").alias("_n")).filter(F.col("_n") > most).select(*keys, F.lit(most + 1).alias("_r"), F.format_string(text, F.col("_n") - most).alias("label"))
+    more = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys, F.lit(most + 1).alias("_r"), F.format_string(text, F.col("_n") - most).alias("label"))
     return kept.unionByName(more).withColumnRenamed("_r", "position")
 
 
