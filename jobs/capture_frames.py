@@ -13,8 +13,8 @@ read nor written.
     python -m jobs.capture_frames INPUT OUTPUT [--config FILE]
 
 INPUT: event_id, ts, user_id, event_type, value (Parquet; a file, or a folder that grows by files).
-OUTPUT: landed/ (by batch and day), frames/ and clips/ (by day), refused/ (by batch: rows without a
-time, a device or a score), checkpoint/.
+OUTPUT: landed/ (by batch and day; rows without a time, a device or a score have no day and go no
+further), frames/ and clips/ (by day), checkpoint/.
 
 Rows that are alike in all five columns are one report; frames of equal score go to the smaller
 event_id, windows of equal score to the earlier one; an empty table gives empty output; further
@@ -66,18 +66,18 @@ def profiles(rows: DataFrame, config: dict) -> DataFrame:
     return warned.select("user_id", "first", "last", "usable_frames", "blurry_windows", "flat_windows", "sharpness_median", "sharpness_p10", F.concat_ws(" ", "warnings").alias("warnings"), "day")
 
 
-def take(batch: DataFrame, number: int, output: str, config: dict) -> None:
-    """Land one batch and renew the days it touches."""
+def take(batch: DataFrame, number: int, output: str, config: dict) -> int:
+    """Land one batch and renew the days it touches; how many rows came."""
     spark = batch.sparkSession
-    rows = reports(batch).withColumn("batch", F.lit(number).cast("long"))
-    usable = F.col("day").isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull()
-    write_counted(rows.filter(usable), f"{output}/landed", ["batch", "day"], log)
-    write_counted(rows.filter(~usable), f"{output}/refused", ["batch"], log)
+    usable = F.col("user_id").isNotNull() & F.col("value").isNotNull()
+    rows = reports(batch).withColumns({"day": F.when(usable, F.col("day")), "batch": F.lit(number).cast("long")})
+    count = write_counted(rows, f"{output}/landed", ["batch", "day"], log)
     landed = spark.read.schema(f"{COLUMNS}, batch long, day date").parquet(f"{output}/landed")
-    touched = landed.filter(F.col("batch") == number).select("day").distinct()  # days of a batch: few
+    touched = landed.filter((F.col("batch") == number) & F.col("day").isNotNull()).select("day").distinct()  # days of a batch: few
     renewed = landed.join(F.broadcast(touched), "day").select("event_id", "ts", "user_id", "event_type", "value", "day").distinct()
     write_counted(chosen(renewed, config), f"{output}/frames", ["day"], log)
     write_counted(profiles(renewed, config), f"{output}/clips", ["day"], log)
+    return count
 
 
 def run(spark: SparkSession, source: str, output: str, config: dict) -> None:
@@ -85,15 +85,15 @@ def run(spark: SparkSession, source: str, output: str, config: dict) -> None:
     schema = spark.read.parquet(source).schema if _any(spark, source) else COLUMNS
     pattern = f"{source.rstrip('/')[:-1]}[{source.rstrip('/')[-1]}]"  # a pattern may be one file, a plain path must be a folder
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_a_batch"]).parquet(pattern)
+    counts: dict[int, int] = {}
     query = (
-        stream.writeStream.foreachBatch(lambda batch, number: take(batch, number, output, config))
+        stream.writeStream.foreachBatch(lambda batch, number: counts.update({number: take(batch, number, output, config)}))
         .option("checkpointLocation", f"{output}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    read = sum(p["numInputRows"] for p in query.recentProgress)
-    log.info("read %d new rows of %s in %d batches", read, source, sum(p["numInputRows"] > 0 for p in query.recentProgress))
+    log.info("read %d new rows of %s in %d batches", sum(counts.values()), source, len(counts))
 
 
 def _any(spark: SparkSession, source: str) -> bool:

@@ -29,11 +29,12 @@ def settings(spark: SparkSession, name: str, path: str | None) -> dict:
     return {**known, **given}
 
 
-def write_counted(df: DataFrame, path: str, by: list[str], log: logging.Logger) -> None:
-    """Write ``df`` over the partitions it has rows for, leaving others, and log how many rows went."""
+def write_counted(df: DataFrame, path: str, by: list[str], log: logging.Logger) -> int:
+    """Write ``df`` over the partitions it has rows for, leaving others; log and return how many rows went."""
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     log.info("wrote %d rows to %s", seen.get["rows"], path)
+    return seen.get["rows"]
 
 
 def main(name: str, what: str, run: Callable[[SparkSession, str, str, dict], None], args: list[str] | None = None) -> None:
