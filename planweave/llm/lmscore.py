@@ -31,7 +31,7 @@ from .wordstream import U, blocks, mix, pair
 WORD, PAIR = 1, 2
 END = mix(np.array([0x0A], U))[0]  # no word's bytes
 HOT = 1 << 18  # words that are broadcast, at most
-TEXT = 16 << 20  # bytes of text whose n-grams are counted or looked up at once
+TEXT = 4 << 20  # bytes of text whose n-grams are counted or looked up at once
 PER_BUCKET = 8 << 20  # bytes of text a bucket
 GRID = np.concatenate([[0.001, 0.003, 0.01, 0.03], np.arange(0.06, 1.0, 0.06), [0.98, 0.99, 0.997, 1.0]])
 TOP = len(logbloom.LEAST)
