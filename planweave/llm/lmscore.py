@@ -11,6 +11,10 @@ P(w). The share e depends on the level of c(v). It maximises the likelihood of a
 when each is left out of the counts, over a grid; a context that has been seen c times meets its
 next token as one of c + 1 in training does, so small levels take the share of the level above.
 
+A text is probed once: what the reading says of a token is one of few states, the levels of the
+context, of the word and of the pair. A document keeps how often it has each; summed over all
+training documents they give the shares, and with these its score.
+
 The base score needs exact counts: the ``HOT`` most frequent words at most are broadcast, the words
 of a document beyond them are summed a document and joined with the table of counts. No word of
 that join is frequent, so no key of it is hot.
@@ -104,18 +108,18 @@ def count_ngrams(docs: DataFrame, bits: int) -> DataFrame:
 
 
 class Model:
-    """What the workers need: filters, the mean count of each level, shares, exact hot words."""
+    """What the workers need: filters, the mean count of each level, exact hot words."""
 
     def __init__(self, filters: Filters, means: dict[int, np.ndarray], tokens: int, distinct: int, hot: tuple[np.ndarray, np.ndarray]):
         self.filters, self.means, self.tokens, self.distinct, self.hot = filters, means, tokens, distinct, hot
-        self.shares = np.ones(TOP)
 
     def probe(self, tokens: np.ndarray, contexts: np.ndarray):
         """Levels of the tokens, of their contexts and of the pairs; a pair is asked for only where
         both of its parts are there, for no other can be."""
-        words, of = np.unique(np.concatenate([tokens, contexts]), return_inverse=True)
-        seen = self.filters.levels({WORD: words})[WORD]
-        word, context = seen[of[: len(tokens)]], seen[of[len(tokens) :]]
+        words, of = np.unique(np.append(tokens, contexts[:1]), return_inverse=True)
+        seen = self.filters.levels({WORD: words})[WORD][of]
+        word = seen[:-1]
+        context = np.concatenate([seen[-1:], word[:-1]])[: len(word)]  # a token's context is the token before it
         asked = np.flatnonzero((word > 0) & (context > 0))
         pairs, of = np.unique(pair(contexts[asked], tokens[asked]), return_inverse=True)
         both = np.zeros(len(tokens), np.int8)
@@ -126,11 +130,30 @@ class Model:
         """P(w) of words of these levels."""
         return (self.means[WORD][word] + 1) / (self.tokens + self.distinct + 1)
 
-    def log10(self, tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    def states(self, tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """State of each token: levels of its context, of itself and of the pair in one number."""
         word, context, both = self.probe(tokens, contexts)
-        share = self.shares[context]
+        return (context.astype(np.int64) * TOP + word) * TOP + both
+
+    def learn(self, states: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Share of each level of a context: over a grid, the one under which the training tokens, each
+        left out of the counts, are likeliest."""
+        context, word, both = states // TOP // TOP, states // TOP % TOP, states % TOP
+        over = np.maximum(self.means[WORD][context] - 1, 1e-9)
+        ratio = np.clip((self.means[PAIR][both] - 1) / over, 0, 1)
+        lower = np.maximum(self.lower(word) - 1 / (self.tokens + self.distinct + 1), 1e-300)
+        mixed = np.maximum((1 - GRID) * ratio[:, None] + GRID * lower[:, None], 1e-300)
+        sums = np.zeros((TOP, len(GRID)))
+        np.add.at(sums, context, np.log(mixed) * seen[:, None])
+        best = {level: GRID[sums[level].argmax()] for level in np.unique(context).tolist()}
+        above = [level + 1 if level + 1 < TOP and logbloom.LEAST[level + 1] == level + 1 else level for level in range(TOP)]
+        return np.array([best.get(above[level], best.get(level, 1.0)) if level else 1.0 for level in range(TOP)])
+
+    def log10(self, states: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """log10 P(w | v) of states."""
+        context, word, both = states // TOP // TOP, states // TOP % TOP, states % TOP
         ratio = np.minimum(1, self.means[PAIR][both] / np.maximum(self.means[WORD][context], 1))
-        return np.log10((1 - share) * ratio + share * self.lower(word))
+        return np.log10((1 - shares[context]) * ratio + shares[context] * self.lower(word))
 
     def exact(self, tokens: np.ndarray) -> np.ndarray:
         """Exact counts of hot words, -1 for others."""
@@ -141,36 +164,6 @@ class Model:
         return np.where(words[at] == tokens, counts[at], -1)
 
 
-def _learn_shares(docs: DataFrame, model: Model) -> None:
-    """Sets the shares: likelihood of all training tokens, each left out of the counts, summed by
-    the level of the context for every share of the grid."""
-    import pyarrow as pa
-
-    def likelihood(batches):
-        sums, seen = np.zeros((TOP, len(GRID))), np.zeros(TOP, np.int64)
-        for batch in slices(batches, most=TEXT):
-            for tokens, contexts, _ in token_arrays(batch.column("text")):
-                word, context, both = model.probe(tokens, contexts)
-                state, n = np.unique((context.astype(np.int64) * TOP + word) * TOP + both, return_counts=True)  # of few
-                context, word, both = state // TOP // TOP, state // TOP % TOP, state % TOP
-                over = np.maximum(model.means[WORD][context] - 1, 1e-9)
-                ratio = np.clip((model.means[PAIR][both] - 1) / over, 0, 1)
-                lower = np.maximum(model.lower(word) - 1 / (model.tokens + model.distinct + 1), 1e-300)
-                mixed = np.maximum((1 - GRID) * ratio[:, None] + GRID * lower[:, None], 1e-300)
-                np.add.at(sums, context, np.log(mixed) * n[:, None])
-                np.add.at(seen, context, n)
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([s.tolist() for s in sums[used]], pa.list_(pa.float64()))], names=["level", "sums"])
-
-    parts = docs.select("text").mapInArrow(trimmed(likelihood), "level int, sums array<double>")
-    total = parts.select("level", F.posexplode("sums").alias("g", "x")).groupBy("level", "g").agg(F.sum("x").alias("x"))
-    best = total.groupBy("level").agg(F.max_by("g", F.struct("x", "g")).alias("g")).collect()  # a row a level
-    learned = {r.level: GRID[r.g] for r in best}
-    for level in range(1, TOP):
-        above = level + 1 if logbloom.LEAST[level + 1 if level + 1 < TOP else level] == level + 1 else level
-        model.shares[level] = learned.get(above, learned.get(level, 1.0))
-
-
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """Model of ``docs(text)`` and the table its exact counts are in."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -189,9 +182,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     words, counts = np.asarray(hot.column("word")).astype(np.int64).view(U), np.asarray(hot.column("count")).astype(np.int64)
     order = np.argsort(words)
     filters = Filters.broadcast(table.select("kind", "bucket", "bits"), 64 - bits, TOP - 1)
-    model = Model(filters, means, tokens, distinct, (words[order], counts[order]))
-    _learn_shares(docs, model)
-    return model, table
+    return Model(filters, means, tokens, distinct, (words[order], counts[order])), table
 
 
 def counts_table(table: DataFrame) -> DataFrame:
@@ -214,42 +205,57 @@ def scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     model, table = train(rows.filter(~F.col("held_out")).select("text"))
 
-    def run(batches):
+    def read(batches):
         for batch in slices(batches, most=TEXT):
             n = batch.num_rows
-            tokens_of, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            cold = []
+            tokens_of, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+            cold, states = [], []
             for tokens, contexts, text in token_arrays(batch.column("text")):
                 count = model.exact(tokens)
                 hot = count >= 0
                 tokens_of += np.bincount(text, minlength=n)
                 known += np.bincount(text[hot], minlength=n)
                 base += np.bincount(text[hot], np.log10(count[hot] + 1.0), minlength=n)
-                score += np.bincount(text, model.log10(tokens, contexts), minlength=n)
-                words, back = np.unique(tokens[~hot], return_inverse=True)
-                cell, times = np.unique(text[~hot] * max(1, len(words)) + back, return_counts=True)
-                cold.append((cell // max(1, len(words)), words[cell % max(1, len(words))] if len(words) else words, times))
-            text = np.concatenate([c[0] for c in cold])
-            order = np.argsort(text, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(text.astype(np.int64), minlength=n))]).astype(np.int32)
-            words, times = (np.concatenate([c[k] for c in cold])[order] for k in (1, 2))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("at"), batch.column("doc_id"), batch.column("held_out"), pa.array(tokens_of), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(ends, pa.array(words.astype(U).view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64)))],
-                names=["at", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"],
-            )
+                cold.append(_tallied(text[~hot], tokens[~hot]))
+                states.append(_tallied(text, model.states(tokens, contexts)))
+            columns = [batch.column("at"), batch.column("doc_id"), batch.column("held_out"), pa.array(tokens_of), pa.array(known), pa.array(base)]
+            for parts, kind in ((cold, np.int64), (states, np.int32)):
+                text, keys, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                order = np.argsort(text, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).astype(np.int32)
+                keys = keys[order].view(np.int64) if kind is np.int64 else keys[order].astype(kind)
+                columns += [pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(times[order].astype(kind)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "doc_id", "held_out", "n_tokens", "known", "base", "words", "times", "states", "seen"])
 
     id_type = dict(rows.dtypes)["doc_id"]
-    schema = f"at long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<long>"
-    scored = materialize(rows.select(F.monotonically_increasing_id().alias("at"), "doc_id", "held_out", "text").mapInArrow(trimmed(run), schema), "scored")
+    schema = f"at long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, words array<long>, times array<long>, states array<int>, seen array<int>"
+    told = materialize(rows.select(F.monotonically_increasing_id().alias("at"), "doc_id", "held_out", "text").mapInArrow(trimmed(read), schema), "states")
     model.filters.destroy()
-    cold = scored.select("at", F.explode(F.arrays_zip("words", "times")).alias("x")).select("at", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    of_training = told.filter(~F.col("held_out")).select(F.explode(F.arrays_zip("states", "seen")).alias("x")).groupBy("x.states").agg(F.sum("x.seen").alias("n")).toArrow()  # a row a state
+    shares = model.learn(*(np.asarray(of_training.column(k)).astype(np.int64) for k in range(2)))
+    light = Model(None, model.means, model.tokens, model.distinct, (model.hot[0][:0], model.hot[1][:0]))
+
+    def score(batches):
+        for batch in batches:
+            states = batch.column("states")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(states.offsets)))
+            value = light.log10(np.asarray(states.flatten()).astype(np.int64), shares) * np.asarray(batch.column("seen").flatten())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("at", "doc_id", "held_out", "n_tokens", "known", "base")), pa.array(np.bincount(owner, value, minlength=batch.num_rows))], names=["at", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+
+    scored = told.drop("words", "times").mapInArrow(trimmed(score), f"at long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double")
+    cold = told.select("at", F.explode(F.arrays_zip("words", "times")).alias("x")).select("at", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     found = cold.join(counts_table(table), "word").groupBy("at").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("count") + 1.0)).alias("gain"))
-    out = scored.join(found, "at", "left").select(
+    return scored.join(found, "at", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.distinct + 1)))).alias("base_score"),
         "score",
     )
-    return out
 
+
+def _tallied(text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each text and how often they come."""
+    found, back = np.unique(keys, return_inverse=True)
+    cell, times = np.unique(text * max(1, len(found)) + back, return_counts=True)
+    return cell // max(1, len(found)), found[cell % max(1, len(found))] if len(found) else found, times

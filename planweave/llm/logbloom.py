@@ -33,10 +33,10 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(_LEAST, counts, "right") - 1
 
 
-def _places(hashes: np.ndarray, level: int, bits: np.ndarray | int, probe: int) -> np.ndarray:
-    seeded = mix(hashes + U(level * 0xE7037ED1A0B428DB & (1 << 64) - 1))
-    step = mix(seeded) | U(1)
-    return ((seeded + U(probe) * step) >> U(8)) % (U(bits) if np.isscalar(bits) else bits)
+def _walk(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of a hash's probes at a level, before they are cut to a segment."""
+    first = mix(hashes + U(level * 0xE7037ED1A0B428DB & (1 << 64) - 1))
+    return first, mix(first) | U(1)
 
 
 def segment(hashes: np.ndarray, levels: np.ndarray, size: int | None = None) -> bytes:
@@ -45,8 +45,10 @@ def segment(hashes: np.ndarray, levels: np.ndarray, size: int | None = None) ->
     held = np.zeros(size * 8, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         chosen = hashes[levels >= level]
-        for probe in range(PROBES):
-            held[_places(chosen, level, size * 8, probe).astype(np.int64)] = True
+        at, step = _walk(chosen, level)
+        for _ in range(PROBES):
+            held[((at >> U(8)) % U(size * 8)).astype(np.int64)] = True
+            at = at + step
     return np.packbits(held, bitorder="little").tobytes()
 
 
@@ -58,8 +60,8 @@ def bucket_bits(size: int, most: int, least: int = 10) -> int:
 class Filters:
     """Segments of one or more kinds of hashes, cut into slices that are broadcast."""
 
-    def __init__(self, slices, kinds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], shift: int, most: int):
-        self.slices, self.kinds, self.shift, self.most = slices, kinds, shift, most
+    def __init__(self, slices, kinds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], shift: int, most: int, size: int):
+        self.slices, self.kinds, self.shift, self.most, self.size = slices, kinds, shift, most, size
 
     @classmethod
     def broadcast(cls, segments: DataFrame, shift: int, most: int, slice_bytes: int = SLICE) -> Filters:
@@ -88,7 +90,7 @@ class Filters:
             for column, values in zip(table, (of, place, size)):
                 column[bucket[mine]] = values[mine]
             kinds[one] = tuple(table)
-        return cls(slices, kinds, shift, most)
+        return cls(slices, kinds, shift, most, int(size.sum()))
 
     def destroy(self) -> None:
         for one in self.slices:
@@ -111,11 +113,14 @@ class Filters:
                     held = np.frombuffer(one.value, np.uint8) if held is None else held
                     at = where[kind][active]
                     base, bits = place[at], (size[at] * 8).astype(U)
-                    for probe in range(PROBES):
-                        spot = _places(hashes[active], level, bits, probe).astype(np.int64)
+                    next_, step = _walk(hashes[active], level)
+                    for _ in range(PROBES):
+                        spot = ((next_ >> U(8)) % bits).astype(np.int64)
                         kept = (held[base + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 == 1
-                        active, base, bits = active[kept], base[kept], bits[kept]
+                        if not kept.all():
+                            active, base, bits, next_, step = active[kept], base[kept], bits[kept], next_[kept], step[kept]
+                        next_ = next_ + step
                     out[kind][active] = level
-            if len(self.slices) * SLICE > HELD:
+            if self.size > HELD:
                 vars(one).pop("_value", None)  # the worker reads the slice again from its broadcast file
         return out
