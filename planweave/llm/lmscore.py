@@ -35,7 +35,8 @@ from .wordstream import U, blocks, mix, pair
 WORD, PAIR = 1, 2
 END = mix(np.array([0x0A], U))[0]  # no word's bytes
 HOT = 1 << 18  # words that are broadcast, at most
-TEXT = 4 << 20  # bytes of text whose n-grams are counted or looked up at once
+TEXT = 4 << 20  # bytes of text whose n-grams are counted at once
+ASKED = 32 << 20  # bytes of text that are looked up at once at most: a larger filter is read for more text at a time
 PER_BUCKET = 8 << 20  # bytes of text a bucket
 GRID = np.concatenate([[0.001, 0.003, 0.01, 0.03], np.arange(0.06, 1.0, 0.06), [0.98, 0.99, 0.997, 1.0]])
 TOP = len(logbloom.LEAST)
@@ -46,11 +47,11 @@ def training(doc_id: Column, folds: int = 7, out: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds != out
 
 
-def token_arrays(texts):
+def token_arrays(texts, most: int = TEXT):
     """``(tokens, contexts, text)`` arrays of a column of texts, block by block: hashes of the words
     and of an end mark after each text, of what stands before each, and the text of each."""
     before = END
-    for b in blocks(texts, most=TEXT):
+    for b in blocks(texts, most=most):
         closed = np.arange(b.first, b.last if b.ends else b.last - 1)
         words = np.bincount(b.text - b.first, minlength=b.last - b.first)
         tokens = np.empty(len(b.hashes) + len(closed), U)
@@ -205,12 +206,14 @@ def scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     model, table = train(rows.filter(~F.col("held_out")).select("text"))
 
+    most = min(ASKED, max(TEXT, model.filters.size // 32))
+
     def read(batches):
-        for batch in slices(batches, most=TEXT):
+        for batch in slices(batches, most=most):
             n = batch.num_rows
             tokens_of, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
             cold, states = [], []
-            for tokens, contexts, text in token_arrays(batch.column("text")):
+            for tokens, contexts, text in token_arrays(batch.column("text"), most):
                 count = model.exact(tokens)
                 hot = count >= 0
                 tokens_of += np.bincount(text, minlength=n)

@@ -18,8 +18,8 @@ from .wordstream import U, mix
 BASE = 1.5
 BITS = 12  # an entry
 PROBES = 6
-SLICE = 32 << 20  # bytes of filter a broadcast
-HELD = 96 << 20  # bytes of broadcasts a worker keeps from one use to the next
+SLICE = 16 << 20  # bytes of filter a broadcast
+HELD = 48 << 20  # bytes of broadcasts a worker keeps from one use to the next
 
 #: The smallest count of each level, 0 being that of no entry; strictly growing up to 2 ** 63.
 LEAST = [0, 1]
