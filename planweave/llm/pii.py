@@ -215,10 +215,44 @@ FULL_NAME = re.compile(rf"{NAME_WORD}(?: (?:(?:{PARTICLES}) ){{0,3}}{NAME_WORD})
 BARE = re.compile(rf"(?<!\w){WORD}(?!\w)")
 
 
+EMAIL = re.compile(r"[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+", re.ASCII)
+LOCAL, LABEL = re.compile(r"[\w.+-]*", re.ASCII), re.compile(r"[A-Za-z0-9-]+")
+
+
+class Emails:
+    """Finds what ``EMAIL`` finds, each @ once: what may stand before it is looked for from it to the
+    left, never beyond the @ before; what may follow goes on label by label, never beyond the next."""
+
+    @staticmethod
+    def finditer(text: str):
+        done, at = 0, text.find("@")
+        while at >= 0:
+            local = LOCAL.match(text[done:at][::-1])[0].rstrip("_.+-")
+            stop = Emails._domain(text, at + 1) if local and local[0] not in ".+-" else 0
+            if stop:
+                yield EMAIL.fullmatch(text, at - len(local), stop)
+            done = max(stop, at + 1)
+            at = text.find("@", done)
+
+    @staticmethod
+    def _domain(text: str, at: int) -> int:
+        """End of the longest domain of two labels or more that begins there, 0 if there is none."""
+        end = labels = 0
+        while (run := LABEL.match(text, at)) and run[0][0] != "-":
+            label = run[0].rstrip("-")
+            labels += 1
+            if labels > 1:
+                end = at + len(label)
+            if len(label) < len(run[0]) or not text.startswith(".", run.end()):
+                break
+            at = run.end() + 1
+        return end
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
-    pattern: re.Pattern
+    pattern: re.Pattern | Emails
     hint: Callable[[str], object]  # cheap test that the pattern can match
     canonical: Callable[[str], str]
     surrogate: Callable[[str, bytes, int], str]
@@ -227,7 +261,7 @@ class Kind:
 
 HAS_DIGIT = re.compile(r"\d\d").search
 KINDS = [
-    Kind("email", re.compile(r"[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+", re.ASCII), lambda t: "@" in t, str.lower, _email),
+    Kind("email", Emails(), lambda t: "@" in t, str.lower, _email),
     Kind("secret", re.compile(r"\b(?:A[KS]IA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b", re.ASCII), lambda t: "AKIA" in t or "ASIA" in t or "ghp_" in t or "sk-" in t, str, _secret),
     Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII), HAS_DIGIT, lambda v: v.replace(" ", ""), _iban, lambda v: _iban_ok(v)),
     Kind("ip", re.compile(rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)", re.ASCII), HAS_DIGIT, str, _ip),
