@@ -31,7 +31,7 @@ from .wordstream import U, blocks, mix, pair
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = b" \t" + PIECE_ENDS
 LONGEST = 4  # words of a phrase
-TEXT = 8 << 20  # bytes of text sorted at once
+TEXT = 3 << 20  # bytes of text sorted at once
 PER_BUCKET = 4 << 20  # bytes of text a bucket
 FILTER_BITS = 8  # log2 of the segments of the filter of words
 SEGMENT = 1 << 16  # bytes each: 16 MiB in all
@@ -122,12 +122,12 @@ def _word_filter(words: DataFrame) -> logbloom.Filters:
 
     dealt = words.select(F.shiftrightunsigned("key", shift).alias("bucket"), "key").groupBy("bucket", (F.xxhash64("key") % 64).alias("part")).agg(F.collect_list("key").alias("keys"))
     segments = dealt.groupBy("bucket").applyInPandas(gather, "kind int, bucket long, bits binary")
-    return logbloom.Filters.broadcast(materialize(segments, "word-filter"), shift, 1)
+    return logbloom.Filters.broadcast(materialize(segments.coalesce(8), "word-filter"), shift, 1)
 
 
 def count_phrases(docs: DataFrame, known: logbloom.Filters, hot: np.ndarray, least: int, bits: int, seed: int, longest: int = LONGEST) -> DataFrame:
-    """``docs(lang, text)`` -> ``(w1 .. w4, size, f, part)``: prefixes of two words or more. Those that
-    are whole have f of ``least`` or more; ``part`` ones are to be summed."""
+    """``docs(lang, text)`` -> ``(w1 .. w4, size, f)``: prefixes of two words or more that occur
+    ``least`` times or more. A bucket gives what it counts in part whatever its number."""
     import pandas as pd
     import pyarrow as pa
 
@@ -198,14 +198,12 @@ def count_phrases(docs: DataFrame, known: logbloom.Filters, hot: np.ndarray, lea
             good = (rows[size - 1, new] != 0) & (split_up | (f >= least))
             found = rows[:, new[good]].copy()
             found[size:] = 0
-            out.append(pd.DataFrame({**{c: found[k].view(np.int64) for k, c in enumerate(columns)}, "size": size, "f": f[good], "part": split_up[good]}))
+            out.append(pd.DataFrame({**{c: found[k].view(np.int64) for k, c in enumerate(columns)}, "size": size, "f": f[good]}))
         return pd.concat(out, ignore_index=True)
 
     parts = docs.select("lang", "text").mapInArrow(trimmed(split), f"bucket long, {', '.join(f'{c} binary' for c in columns)}, counts binary")
-    counted = parts.groupBy("bucket").applyInPandas(gather, f"{', '.join(f'{c} long' for c in columns)}, size int, f long, part boolean")
-    counted = materialize(counted, "prefixes")
-    summed = counted.filter("part").groupBy(*columns, "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return counted.filter("not part").drop("part").unionByName(summed)
+    counted = parts.groupBy("bucket").applyInPandas(gather, f"{', '.join(f'{c} long' for c in columns)}, size int, f long")
+    return counted.groupBy(*columns, "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
 def _pieces(texts, lang_of, salts, seed: int, longest: int):
