@@ -93,16 +93,11 @@ def count_words(docs: DataFrame, least: int, bits: int, seed: int) -> DataFrame:
         keys = np.frombuffer(b"".join(rows["keys"]), "<u8")
         counts = np.frombuffer(b"".join(rows["counts"]), "<i8")
         words = np.array([w for blob in rows["words"] for w in blob.split(b"\n")], object)
-        order = np.argsort(keys, kind="stable")
-        keys, counts, words = keys[order], counts[order], words[order]
-        same = keys[1:] == keys[:-1]
-        clash = bool((words[1:][same] != words[:-1][same]).any())
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        total = np.add.reduceat(counts, first)
+        keys, total, words, clash = _summed(keys, counts, words)
         kept = total >= least
         return pd.DataFrame([{
             "lang": key[0], "bucket": key[1], "n": int(total.sum()), "clash": clash,
-            "keys": keys[first][kept].view(np.int64), "counts": total[kept], "words": [w.decode("utf-8", "surrogatepass") for w in words[first][kept]],
+            "keys": keys[kept].view(np.int64), "counts": total[kept], "words": [w.decode("utf-8", "surrogatepass") for w in words[kept]],
         }])
 
     parts = docs.select("lang", "text").mapInArrow(trimmed(count), "lang string, bucket long, keys binary, counts binary, words binary")
@@ -110,6 +105,15 @@ def count_words(docs: DataFrame, least: int, bits: int, seed: int) -> DataFrame:
     return materialize(parts.groupBy("lang", "bucket").applyInPandas(gather, out), "words")
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Distinct keys, their counts and words, and whether some key has two words."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts, words = keys[order], counts[order], words[order]
+    same = keys[1:] == keys[:-1]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    return keys[first], np.add.reduceat(counts, first), words[first], bool((words[1:][same] != words[:-1][same]).any())
+
+
 def _word_filter(words: DataFrame) -> logbloom.Filters:
     """Filter of the keys of ``words(key)``; its size is fixed, a fuller one tells less."""
     import pandas as pd
