@@ -1,5 +1,5 @@
 """Joins that Spark does not have as such: nearest as-of with tolerance, bucketed range join,
-spatial joins over a grid. Each turns into an equi-join on (keys, bucket), which hash
+spatial joins over grids of several sizes. Each turns into an equi-join on (keys, bucket), which hash
 or sort-merge join and AQE's skew handling can carry; no theta join is left to a nested loop."""
 
 from __future__ import annotations
@@ -46,68 +46,60 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], a: Column, b:
     return joined if condition is None else joined.filter(condition)
 
 
+def _levels(*sizes: DataFrame) -> list[int]:
+    """Distinct levels of objects' sizes: a power of two of the smallest tile each, so there are few."""
+    every = sizes[0]
+    for more in sizes[1:]:
+        every = every.unionByName(more)
+    return sorted(r[0] for r in every.select("_level").distinct().collect() if r[0] is not None)
+
+
+def _level(size: Column, tile: float) -> Column:
+    """Level of the first tile, of twice the size each, that is no smaller than ``size``."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(tile)) / tile))).cast("int")
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], t: Column, lo: Column, hi: Column, bucket: float) -> DataFrame:
-    """Left points inside right intervals: an interval goes to every bucket it covers."""
-    lf = left.withColumn("_t", t).withColumn("_bucket", F.floor(t / bucket).cast("long"))
-    rt = right.withColumns({"_lo": lo, "_hi": hi}).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / bucket).cast("long"), F.floor(F.col("_hi") / bucket).cast("long"))))
-    return lf.join(rt, [*keys, "_bucket"]).filter((F.col("_t") >= F.col("_lo")) & (F.col("_t") <= F.col("_hi"))).drop("_t", "_lo", "_hi", "_bucket")
+    """Left points inside right intervals. An interval goes to the one or two buckets it covers of
+    those that are as long as it is, a power of two of ``bucket``; a point asks once for every length
+    there is. Empty and unbounded intervals (``hi`` below ``lo``, infinite ends) are judged as written."""
+    ends = right.withColumns({"_lo": lo.cast("double"), "_hi": hi.cast("double")}).filter("_lo <= _hi")
+    whole = (F.col("_lo") > float("-inf")) & (F.col("_hi") < float("inf"))
+    sized = ends.withColumn("_level", F.when(whole, _level(F.col("_hi") - F.col("_lo"), bucket)).otherwise(-1))
+    levels = _levels(sized)
+    wide = F.when(F.col("_level") < 0, F.lit(float("inf"))).otherwise(bucket * F.pow(F.lit(2.0), F.col("_level")))
+    lf = left.withColumn("_t", t.cast("double")).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    lf = lf.withColumn("_bucket", F.when(F.col("_level") < 0, F.lit(0)).otherwise(F.floor(F.col("_t") / wide)).cast("long"))
+    rt = sized.withColumn("_bucket", F.explode(F.when(F.col("_level") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col("_lo") / wide).cast("long"), F.floor(F.col("_hi") / wide).cast("long")))))
+    return lf.join(rt, [*keys, "_level", "_bucket"]).filter((F.col("_t") >= F.col("_lo")) & (F.col("_t") <= F.col("_hi"))).drop("_t", "_lo", "_hi", "_level", "_bucket")
 
 
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_box: Column, right_box: Column, tile: float, condition: Column | None = None) -> DataFrame:
-    """Pairs whose boxes (``struct<x0,y0,x1,y1>``) touch. Both sides go to the grid tiles they
-    cover; a pair is kept only in the tile of the corner where their common part begins, so
-    it comes out once without a distinct."""
-    def tiles(df, box, name):
-        span = lambda lo, hi: F.sequence(F.floor(lo / tile).cast("long"), F.floor(hi / tile).cast("long"))
-        return df.withColumn(name, box).withColumn("_tx", F.explode(span(F.col(f"{name}.x0"), F.col(f"{name}.x1")))).withColumn("_ty", F.explode(span(F.col(f"{name}.y0"), F.col(f"{name}.y1"))))
-
-    joined = tiles(left, left_box, "_lb").join(tiles(right, right_box, "_rb"), [*keys, "_tx", "_ty"])
+    """Pairs whose boxes (``struct<x0,y0,x1,y1>``) touch. A box lives on a grid whose tiles are as large
+    as it is, a power of two of ``tile``, where it covers four at most, and also shows itself on every
+    coarser grid that is in use; a pair meets on the coarser of its two grids, in the tile of the
+    corner where their common part begins, so it comes out once without a distinct."""
+    def sized(df, box, name):
+        side = F.greatest(F.col(f"{name}.x1") - F.col(f"{name}.x0"), F.col(f"{name}.y1") - F.col(f"{name}.y0"))
+        return df.withColumn(name, box).withColumn("_level", _level(side, tile)).filter(F.col("_level").isNotNull())
+
+    lf, rt = sized(left, left_box, "_lb"), sized(right, right_box, "_rb")
+    levels = F.array(*[F.lit(v) for v in _levels(lf.select("_level"), rt.select("_level"))]).cast("array<int>")
+    wide = tile * F.pow(F.lit(2.0), F.col("_grid"))
+
+    def tiles(df, name):
+        span = lambda lo, hi: F.sequence(F.floor(lo / wide).cast("long"), F.floor(hi / wide).cast("long"))
+        shown = df.withColumn("_grid", F.explode(F.filter(levels, lambda g: g >= F.col("_level")))).withColumn(f"{name}own", F.col("_grid") == F.col("_level")).drop("_level")
+        return shown.withColumn("_tx", F.explode(span(F.col(f"{name}.x0"), F.col(f"{name}.x1")))).withColumn("_ty", F.explode(span(F.col(f"{name}.y0"), F.col(f"{name}.y1"))))
+
+    joined = tiles(lf, "_lb").join(tiles(rt, "_rb"), [*keys, "_grid", "_tx", "_ty"]).filter(F.col("_lbown") | F.col("_rbown"))
     x, y = F.greatest("_lb.x0", "_rb.x0"), F.greatest("_lb.y0", "_rb.y0")
     meets = (x <= F.least("_lb.x1", "_rb.x1")) & (y <= F.least("_lb.y1", "_rb.y1"))
-    owner = (F.floor(x / tile) == F.col("_tx")) & (F.floor(y / tile) == F.col("_ty"))
-    out = joined.filter(meets & owner).drop("_tx", "_ty", "_lb", "_rb")
+    owner = (F.floor(x / wide) == F.col("_tx")) & (F.floor(y / wide) == F.col("_ty"))
+    out = joined.filter(meets & owner).drop("_grid", "_tx", "_ty", "_lb", "_rb", "_lbown", "_rbown")
     return out if condition is None else out.filter(condition)
 
 
-def _in_reach(own: DataFrame, points: DataFrame, keys: list[str], axes: list[str], k: int, cell: float) -> DataFrame:
-    """The k nearest of ``points`` to each of ``own`` within the neighbouring grid cells."""
-    n = range(len(axes))
-    own = own.withColumns({f"_c{i}": F.floor(F.col(a) / cell).cast("long") for i, a in enumerate(axes)})
-    other = points.select(*keys, F.col("id").alias("other"), *[F.col(a).alias(f"_o{i}") for i, a in enumerate(axes)], *[F.floor(F.col(a) / cell).cast("long").alias(f"_c{i}") for i, a in enumerate(axes)])
-    for i in n:
-        other = other.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + d for d in (-1, 0, 1)])))
-    d2 = sum((F.col(a) - F.col(f"_o{i}")) ** 2 for i, a in enumerate(axes))
-    pairs = own.join(other, [*keys, *[f"_c{i}" for i in n]]).filter("id <> other").withColumn("distance", F.sqrt(d2))
-    rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("distance", "other"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "id", "other", "distance", "rank")
-
-
-def k_nearest(points: DataFrame, keys: list[str], id_: str, axes: list[str], k: int, cell: float, within: bool = False) -> DataFrame:
-    """The k nearest other points: keys, id, other, distance, rank. Neighbours come from the grid
-    cells around a point; a point whose k-th neighbour is farther than a cell, or missing, looks
-    again with cells of twice the size, until all are settled. ``within`` stops after the first
-    cells: neighbours in reach only."""
-    from .graph import checkpointed
-
-    own = points.select(*keys, F.col(id_).alias("id"), *axes)
-    if within:
-        return _in_reach(own, own, keys, axes, k, cell)
-    own = checkpointed(own)
-    sizes = checkpointed(own.groupBy(*keys).agg((F.count("*") - 1).alias("_others")))
-    open_, out = own, None
-    while True:
-        found = checkpointed(_in_reach(open_, own, keys, axes, k, cell))
-        last = found.groupBy(*keys, "id").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
-        done = last.join(sizes, keys).filter((F.col("_n") == F.least(F.lit(k), "_others")) & ((F.col("_far") <= cell) | (F.col("_n") == F.col("_others")))).select(*keys, "id")
-        done = done.unionByName(open_.join(sizes.filter("_others = 0"), keys, "left_semi").select(*keys, "id"))
-        part = found.join(done, [*keys, "id"], "left_semi")
-        out = part if out is None else out.unionByName(part)
-        open_ = checkpointed(open_.join(done, [*keys, "id"], "left_anti"))
-        if not open_.head(1):
-            return out
-        cell *= 2
-
-
 def anti_near(df: DataFrame, keys: list[str], order: str, reach: float, better: str, id_: str) -> DataFrame:
     """Rows that have no better row of the same keys within ``reach``: a range join and an anti-join."""
     lf = df.select(*keys, F.col(id_).alias("_id"), F.col(order).cast("double").alias("_x"), F.col(better).alias("_q"))
@@ -133,23 +125,32 @@ def point_in_polygon(points: DataFrame, rings: DataFrame, keys: list[str], x: st
 
 
 def greedy_pairs(candidates: DataFrame, keys: list[str], left: str, right: str, score: list[Column]) -> DataFrame:
-    """One-to-one assignment: best score first, each side used once, per key. Candidates have
-    passed a range join, so a group is one scene's or one family's; the claim order makes it a fold."""
-    named = candidates.select(*keys, left, right, *[s.alias(f"_s{i}") for i, s in enumerate(score)])
-    schema = candidates.select(*keys, left, right).schema
-    order = [*[f"_s{i}" for i in range(len(score))], left, right]
-
-    def run(rows):
-        rows = rows.sort_values(order)
-        used_l, used_r, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip(rows[left], rows[right])):
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                keep.append(i)
-        return rows.iloc[keep][[*keys, left, right]]
-
-    return named.groupBy(*keys).applyInPandas(run, schema)
+    """One-to-one assignment within the keys: best score first (smallest, then by ``left`` and
+    ``right``), each side used once.
+
+    In rounds: a candidate that is the best of both its sides is what the greedy order would come to
+    before any other of theirs, whatever lies between, so all such are taken at once and what they
+    used goes. Each round is two aggregates with map-side combine, no group is gathered; the order
+    is total, so every round takes one candidate a key at least, in practice a large part of them (a
+    chain in which each score beats the one before needs a round a link). Rows alike in key, sides
+    and score are one candidate; a null score comes last."""
+    from .graph import checkpointed
+
+    order = [f"_s{i}" for i in range(len(score))]
+    named = candidates.select(*keys, F.col(left).alias("_l"), F.col(right).alias("_r"), *[F.coalesce(s.cast("double"), F.lit(float("inf"))).alias(o) for s, o in zip(score, order)])
+    best = F.min(F.struct(*order, "_l", "_r")).alias("_b")
+    open_, taken = checkpointed(named), None
+    while True:
+        by_left = open_.groupBy(*keys, "_l").agg(best).select(*keys, "_b.*")
+        by_right = open_.groupBy(*keys, "_r").agg(best).select(*keys, "_b.*")
+        both = checkpointed(by_left.join(by_right, [*keys, *order, "_l", "_r"], "left_semi").select(*keys, "_l", "_r"))
+        if not both.head(1):
+            break
+        taken = both if taken is None else taken.unionByName(both)
+        rest = open_.join(both.select(*keys, "_l"), [*keys, "_l"], "left_anti").join(both.select(*keys, "_r"), [*keys, "_r"], "left_anti")
+        open_ = checkpointed(rest)
+    taken = both if taken is None else taken
+    return taken.select(*keys, F.col("_l").alias(left), F.col("_r").alias(right))
 
 
 def unmatched(df: DataFrame, pairs: DataFrame, keys: list[str], id_: str, side: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Normals of points without them: principal axes of neighbours, gathered by a grid join."""
+"""Normals of points without them: principal axes of neighbours, the nearest ones at any density."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .join import k_nearest
+from .knn import k_nearest
 
 
-def estimate(points: DataFrame, keys: list[str], k: int = 16, cell: float = 0.25, id_: str = "point_id") -> DataFrame:
+def estimate(points: DataFrame, keys: list[str], k: int = 16, id_: str = "point_id") -> DataFrame:
     """Unit normal of the k nearest neighbours' covariance: keys, id, nx, ny, nz. Covariances are
     aggregates over the neighbour pairs; the 3x3 decompositions run in Arrow batches. Points
-    with fewer than three neighbours in reach get +z."""
-    pairs = k_nearest(points.select(*keys, id_, "x", "y", "z"), keys, id_, ["x", "y", "z"], k, cell, within=True)
+    with fewer than three neighbours get +z."""
+    pairs = k_nearest(points.select(*keys, id_, "x", "y", "z"), keys, id_, ["x", "y", "z"], k)
     there = points.select(*keys, F.col(id_).alias("other"), "x", "y", "z")
     axes = ("x", "y", "z")
     cov = pairs.join(there, [*keys, "other"]).groupBy(*keys, "id").agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for i, a in enumerate(axes) for b in axes[i:]])

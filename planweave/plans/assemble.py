@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import cells, ordered
+from ..operators import cells, ordered, polygons
 from ..operators.graph import checkpointed
-from . import shapes, tidy
+from . import tidy
 
 S = ["scene_id"]
 WALL = ["ax", "ay", "bx", "by", "thickness", "height", "sides_seen", "line_id", "exterior"]
@@ -107,11 +107,7 @@ def tagged(openings: DataFrame) -> DataFrame:
 
 
 def area_of(rooms: DataFrame) -> DataFrame:
-    """Floor of each scene, shared parts once: scene_id, area_m2."""
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"scene_id": b["scene_id"], "area_m2": [shapes.area(shapes.union(*tidy.regions(r))) if len(r) else 0.0 for r in b["rooms"]]})
-
-    held = rooms.groupBy("scene_id").agg(F.collect_list(F.struct("polygon", "holes")).alias("rooms"))
-    return held.mapInPandas(run, "scene_id string, area_m2 double")
+    """Floor of each scene, shared parts once, at any angle: scene_id, area_m2."""
+    cut = polygons.edges(polygons.outlines(rooms, ["scene_id"]), ["scene_id"], "ring", 0, F.col("hole"))
+    found = polygons.areas(polygons.trapezoids(cut, ["scene_id"], 1.0), ["scene_id"], ["union"])
+    return rooms.select("scene_id").distinct().join(found, "scene_id", "left").select("scene_id", F.coalesce("union", F.lit(0.0)).alias("area_m2"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rings, site, text, vec, walls
 from ..operators import aggregate, align, cells, graph, join, ordered, select
+from ..operators import knn as nearby
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -201,7 +202,7 @@ SELECT id, other, rank FROM r WHERE rank <= 5""")
 def knn(spark, d):
     """Five nearest in the plane of the first two dimensions, within a label."""
     v = table(spark, d, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return join.k_nearest(v, ["label"], "vec_id", ["x", "y"], 5, 0.1).select("id", "other", F.col("rank").cast("long").alias("rank"))
+    return nearby.k_nearest(v, ["label"], "vec_id", ["x", "y"], 5).select("id", "other", F.col("rank").cast("long").alias("rank"))
 
 
 RINGS = [("square", [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]), ("wedge", [(0, 0), (0.3, 0.02), (0.05, 0.3)]), ("ell", [(-0.3, -0.3), (0.2, -0.3), (0.2, -0.1), (-0.1, -0.1), (-0.1, 0.2), (-0.3, 0.2)])]
@@ -576,7 +577,7 @@ def shared_floor(spark, d):
 
 
 def _registered() -> dict:
-    from . import demos_geometry, demos_plans  # noqa: F401  (their queries register themselves)
+    from . import demos_geometry, demos_plans, demos_shapes  # noqa: F401  (their queries register themselves)
 
     return REGISTRY
 

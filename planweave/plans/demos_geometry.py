@@ -438,7 +438,7 @@ def surface_normals(spark, d):
     """Normals of points on a slope from their neighbours, turned to a camera above."""
     k = F.col("p_partkey")
     p = table(spark, d, "part").select(F.lit("s").alias("scene_id"), k.alias("point_id"), (k % 50 * 0.1).alias("x"), (F.floor(k / 50) * 0.1).alias("y")).withColumn("z", F.col("x"))
-    n = normals.estimate(p, ["scene_id"], 8, 0.3)
+    n = normals.estimate(p, ["scene_id"], 8)
     seen = normals.orient(p.join(n, ["scene_id", "point_id"]).withColumns({"cx": F.lit(0.0), "cy": F.lit(0.0), "cz": F.lit(1000.0)}))
     five = lambda c: (F.round(c, 5) + 0.0).alias(c)
     return seen.select(F.col("point_id").alias("p_partkey"), five("nx"), five("ny"), five("nz"))

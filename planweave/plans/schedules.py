@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rings, text
 from ..functions.walls import WallColumns
-from ..operators import ordered, select
-from . import shapes, tidy
+from ..operators import ordered, polygons, select
 
 W = WallColumns()
 S = ["scene_id"]
@@ -23,21 +22,14 @@ def with_length(walls: DataFrame) -> DataFrame:
 
 
 def area_summary(rooms: DataFrame, walls: DataFrame) -> DataFrame:
-    """Useful, wall and gross area (common parts once) and wall length of each scene."""
-    r = rooms.groupBy("scene_id").agg(F.collect_list(F.struct("polygon", "holes")).alias("rooms"))
-    w = walls.groupBy("scene_id").agg(F.collect_list(F.struct("ax", "ay", "bx", "by", "thickness")).alias("walls"), F.sum(W.length).alias("wall_length_m"))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for scene, rms, wls, length in b[["scene_id", "rooms", "walls", "wall_length_m"]].itertuples(index=False):
-                floor = shapes.union(*tidy.regions(rms)) if rms is not None and len(rms) else shapes.EMPTY
-                body = tidy.bodies([dict(zip(("ax", "ay", "bx", "by", "thickness"), (x[c] for c in ("ax", "ay", "bx", "by", "thickness")))) for x in (wls if wls is not None else [])])
-                both = shapes.union(floor, body) if len(floor) + len(body) else shapes.EMPTY
-                out.append((scene, shapes.area(floor), shapes.area(body), shapes.area(both), 0.0 if pd.isna(length) else float(length)))
-            yield pd.DataFrame(out, columns=["scene_id", "useful_m2", "walls_m2", "gross_m2", "wall_length_m"])
-
-    return r.join(w, S, "full").mapInPandas(run, "scene_id string, useful_m2 double, walls_m2 double, gross_m2 double, wall_length_m double")
+    """Useful, wall and gross area (common parts once, at any angle) and wall length of each scene."""
+    floor = polygons.edges(polygons.outlines(rooms, S), S, "ring", 0, F.col("hole"))
+    body = polygons.edges(walls.select(*S, W.body.alias("ring")), S, "ring", 1)
+    found = polygons.areas(polygons.trapezoids(floor.unionByName(body), S, 1.0), S, ["left", "right", "union"])
+    length = walls.groupBy(*S).agg(F.sum(W.length).alias("wall_length_m"))
+    every = rooms.select(*S).unionByName(walls.select(*S)).distinct()
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    return every.join(found, S, "left").join(length, S, "left").select(*S, zero("left", "useful_m2"), zero("right", "walls_m2"), zero("union", "gross_m2"), zero("wall_length_m", "wall_length_m"))
 
 
 def area_schedule(rooms: DataFrame, walls: DataFrame, units: str = "m") -> DataFrame:

@@ -13,9 +13,9 @@ import pytest
 import jobs
 from jobs import capture_frames, document_register
 from jobs.common import defaults, settings
-from tests.test_oracles import rows
+from test_oracles import rows
 
-ROOT = Path(__file__).resolve().parents[2]
+ROOT = Path(__file__).resolve().parents[1]
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 

@@ -149,7 +149,7 @@ def test_shares(spark):
 def test_plane_normals(spark):
     rng = np.random.default_rng(0)
     p = spark.createDataFrame([("s", i, float(x), float(y), 0.0) for i, (x, y) in enumerate(rng.uniform(0, 2, (500, 2)))], "scene_id string, point_id long, x double, y double, z double")
-    n = normals.estimate(p, ["scene_id"], 10, 0.5).toPandas()
+    n = normals.estimate(p, ["scene_id"], 10).toPandas()
     assert len(n) == 500 and (n["nz"].abs() > 0.99).all()
 
 
