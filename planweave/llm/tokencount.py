@@ -30,6 +30,8 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, r
     A special token's string inside a text is text, so ``end`` occurs only as separator."""
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
+    if (most := max(end, shared_encoder(vocabulary, special_is_text=True).library.get_vocab_size() - 1)) > np.iinfo(DTYPE).max:
+        raise ValueError(f"ids up to {most} don't fit the files' {8 * np.dtype(DTYPE).itemsize} bits")
     folder = scratch(spark, "flat")
     make_dir(spark, folder)
     small_batches(spark)
