@@ -19,7 +19,7 @@ full, so the components are those of the whole relation.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -152,9 +152,12 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     ends = [first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab"]
     near = links(first.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
 
-    same = Window.partitionBy("shingle")
-    begins = of.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumns({"centre": F.min(F.struct("node", "n", "pos")).over(same), "last": F.max("node").over(same)})
-    begins = materialize(begins.filter("centre.node < last").select("shingle", "node", "n", "pos", "centre"), "prefixes")
+    # A shingle's rows never meet in one task: what is asked of all of them is an aggregate, and the join
+    # that gives it back has one row a shingle on its other side, so a hot one is split.
+    each = materialize(of.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")), "shingles")
+    met = each.groupBy("shingle").agg(F.min(F.struct("node", "n", "pos")).alias("centre"), F.max("node").alias("last")).filter("centre.node < last").drop("last")
+    begins = materialize(each.join(met, "shingle").select("shingle", "node", "n", "pos", "centre"), "prefixes")
+    release(each)
     near_first = _early(F.col("pos"), F.col("n"), F.col("centre.pos"), F.col("centre.n"))
     stars = begins.filter(near_first).select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
     linked = _verified(docs, of, alike.unionByName(near).select(*ordered).unionByName(stars), words)
@@ -162,13 +165,19 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     # What is still apart: shingles that meet in several components.
     labels = materialize(connected_components(linked), "labels")
     placed = begins.select("shingle", "node", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = placed.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).filter("low < high").drop("low", "high")
-    placed = materialize(placed.join(of.select("node", "n", *SKETCH), "node"), "placed")
-    release(begins)
+    placed = materialize(placed, "labelled")
+    several = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+    kept = materialize(placed.join(several, "shingle", "left_semi").join(of.select("node", "n", *SKETCH), "node"), "placed")
+    release(begins, placed)
+    # Sets of similarity 4/5 have sizes of the same or of neighbouring powers of 5/4, so rows of a shingle
+    # meet by size, too.
+    sized = kept.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9))
+    beside = sized.withColumn("size", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])))
     early = _early(F.col("x.pos"), F.col("x.n"), F.col("y.pos"), F.col("y.n"))
-    apart = placed.alias("x").join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & early & _close("x", "y"))
+    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.size") == F.col("y.size"))
+    apart = beside.alias("x").join(sized.alias("y"), meets & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & early & _close("x", "y"))
     rest = _verified(docs, of, apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), words)
-    release(placed, of, first)
+    release(kept, of, first)
     labels = connected_components(linked.unionByName(rest))
     return rows.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
 
