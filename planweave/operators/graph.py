@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -131,12 +132,105 @@ def bfs_levels(edges: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame
     return seen
 
 
+def _flooded(free: np.ndarray, at: np.ndarray, value: np.ndarray, step: int) -> np.ndarray:
+    """Smallest value that reaches each free cell of a padded tile, ``step`` more a move, from given cells."""
+    wide = free.shape[1]
+    best = np.where(free, np.iinfo(np.int64).max, np.int64(-1)).ravel()
+    np.minimum.at(best, at, value)
+    front = np.unique(at)
+    while len(front):
+        reached = []
+        for move in (1, -1, wide, -wide):
+            to, came = front + move, best[front] + step
+            closer = came < best[to]
+            np.minimum.at(best, to[closer], came[closer])
+            reached.append(to[closer])
+        front = np.unique(np.concatenate(reached))
+    return best
+
+
+def flood(cells: DataFrame, keys: list[str], seeds: DataFrame, tile: int = TILE) -> DataFrame:
+    """Steps of each cell from the nearest seed by 4-neighbour moves, and whose it is: keys, ix, iy,
+    steps, owner; of equally near seeds the smaller owner. ``seeds(keys, ix, iy, owner long)`` lie in
+    cells; cells that no seed reaches have no row.
+
+    A tile is flooded in a task, from the seeds in it and from what is known at its border; what gets
+    better there goes to the tiles beside it, and only tiles that got better news flood again. Rounds
+    grow with the tiles that a path crosses, not with its steps, and between rounds only borders are
+    written."""
+    place = lambda c: F.floor(F.col(c) / tile).cast("long")
+    wide = tile + 2
+    local = (F.pmod(F.col("iy"), F.lit(tile)) + 1) * wide + F.pmod(F.col("ix"), F.lit(tile)) + 1
+    by = [*keys, "tx", "ty"]
+    at = lambda df: df.withColumns({"ix": F.col("ix").cast("long"), "iy": F.col("iy").cast("long")}).withColumns({"tx": place("ix"), "ty": place("iy"), "c": local.cast("int")})
+    tiles = checkpointed(at(cells.select(*keys, "ix", "iy")).groupBy(*by).agg(F.collect_set("c").alias("cells")))
+    entry = F.struct("c", F.lit(0).cast("long").alias("d"), F.col("owner").cast("long").alias("o"))
+    first = checkpointed(at(seeds.select(*keys, "ix", "iy", "owner")).groupBy(*by, "c").agg(F.min("owner").alias("owner")).groupBy(*by).agg(F.collect_list(entry).alias("news")))
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.select(*by).schema)
+    entries = "array<struct<c:int,d:bigint,o:bigint>>"
+
+    def run(row, start):
+        """(border known before, values of the flooded tile, owners) of a tile, None without better news."""
+        held = {e["c"]: (e["d"], e["o"]) for e in (row.known if row.known is not None else [])}
+        free = np.zeros(wide * wide, bool)
+        free[np.asarray(row.cells)] = True
+        news = [(e["c"], e["d"], e["o"]) for e in row.news if free[e["c"]] and (e["d"], e["o"]) < held.get(e["c"], (np.inf, 0))]
+        if not news and not start:
+            return None
+        every = news + [(c, d, o) for c, (d, o) in held.items()] + ([(e["c"], e["d"], e["o"]) for e in row.seeds if free[e["c"]]] if row.seeds is not None else [])
+        if not every:
+            return held, np.full(wide * wide, np.iinfo(np.int64).max), np.zeros(1, np.int64)
+        owners = np.unique([o for _, _, o in every])
+        value = np.array([d * len(owners) + np.searchsorted(owners, o) for _, d, o in every], np.int64)
+        return held, _flooded(free.reshape(wide, wide), np.array([c for c, _, _ in every]), value, len(owners)), owners
+
+    inner = np.arange(wide * wide).reshape(wide, wide)
+    sides = [(inner[1:-1, 1], -1, 0, tile), (inner[1:-1, -2], 1, 0, -tile), (inner[1, 1:-1], 0, -1, tile * wide), (inner[-2, 1:-1], 0, 1, -tile * wide)]
+    rim = np.unique(np.concatenate([s[0] for s in sides]))
+
+    def spread(batches):
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                if (done := run(row, False)) is None:
+                    continue
+                held, best, owners = done
+                n, top = len(owners), np.iinfo(np.int64).max
+                value = lambda c: (int(best[c] // n), int(owners[best[c] % n]))  # noqa: B023, E731
+                known = {int(c): value(c) for c in rim if 0 <= best[c] < top}
+                better = {c for c, v in known.items() if v < held.get(c, (np.inf, 0))}
+                sent = [{"dx": dx, "dy": dy, "c": int(c) + shift + (dx if dx else dy * wide), "d": known[c][0] + 1, "o": known[c][1]} for side, dx, dy, shift in sides for c in side.tolist() if c in better]
+                out.append((*[getattr(row, k) for k in by], [{"c": c, "d": d, "o": o} for c, (d, o) in known.items()], sent))
+            yield pd.DataFrame(out, columns=[*by, "known", "sent"])
+
+    state = tiles.select(*by).limit(0).withColumn("known", F.lit(None).cast(entries))
+    news = first
+    while True:
+        asked = tiles.join(news, by).join(state, by, "left").join(first.withColumnRenamed("news", "seeds"), by, "left").select(*by, "cells", "known", "news", "seeds")
+        done = checkpointed(asked.mapInPandas(spread, f"{named}, known {entries}, sent array<struct<dx:int,dy:int,c:int,d:bigint,o:bigint>>"))
+        state = checkpointed(state.join(done, by, "left_anti").unionByName(done.select(*by, "known")))
+        sent = done.select(*by, F.explode("sent").alias("s"))
+        moved = sent.select(*keys, (F.col("tx") + F.col("s.dx")).alias("tx"), (F.col("ty") + F.col("s.dy")).alias("ty"), F.struct("s.c", "s.d", "s.o").alias("e"))
+        news = checkpointed(moved.groupBy(*by).agg(F.collect_list("e").alias("news")))
+        if not news.head(1):
+            break
+
+    def settle(batches):
+        for b in batches:
+            for row in b.itertuples(index=False):
+                _, best, owners = run(row, True)
+                c = np.flatnonzero((best >= 0) & (best < np.iinfo(np.int64).max))
+                fixed = {k: getattr(row, k) for k in keys}
+                yield pd.DataFrame({**fixed, "ix": row.tx * tile + c % wide - 1, "iy": row.ty * tile + c // wide - 1, "steps": best[c] // len(owners), "owner": owners[best[c] % len(owners)]})
+
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.select(*keys).schema] + ["ix long, iy long, steps long, owner long"])
+    whole = tiles.join(state, by, "left").join(first.withColumnRenamed("news", "seeds"), by, "left").filter("known is not null or seeds is not null")
+    none = F.array().cast(entries).alias("news")
+    return whole.select(*by, "cells", "known", none, "seeds").mapInPandas(settle, out)
+
+
 def grid_path(cells: DataFrame, keys: list[str], a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
     """Length of the shortest 4-neighbour path between two cells: keys, steps (no row if none)."""
-    here = cells.select(*keys, F.struct("ix", "iy").alias("a"))
-    step = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    there = cells.select(*keys, F.struct("ix", "iy").alias("b"))
-    edges = here.withColumn("s", F.explode(step)).withColumn("b", F.struct((F.col("a.ix") + F.col("s.dx")).alias("ix"), (F.col("a.iy") + F.col("s.dy")).alias("iy"))).join(there, [*keys, "b"]).select(*keys, "a", "b")
-    at = lambda p: (F.col("node.ix") == p[0]) & (F.col("node.iy") == p[1])
-    levels = bfs_levels(edges, here.withColumnRenamed("a", "node").filter(at(a)), keys)
-    return levels.filter(at(b)).select(*keys, F.col("level").alias("steps"))
+    at = lambda p: (F.col("ix") == p[0]) & (F.col("iy") == p[1])
+    reached = flood(cells, keys, cells.filter(at(a)).select(*keys, "ix", "iy", F.lit(0).alias("owner")))
+    return reached.filter(at(b)).select(*keys, "steps")

@@ -418,6 +418,20 @@ def face_raster(spark, d):
     return cells.runs(run, g, ["k"]).select("k", "ix", "iy")
 
 
+_FLOOR = "SELECT l_orderkey % 40 AS ix, l_partkey % 40 AS iy FROM lineitem GROUP BY 1, 2 HAVING count(*) % 4 <> 0"
+
+
+@query(f"""WITH RECURSIVE f AS ({_FLOOR}), r(ix, iy, o, d) AS (
+  SELECT ix, iy, ix * 40 + iy, 0 FROM f WHERE (ix * 7 + iy * 13) % 97 = 0
+  UNION SELECT f.ix, f.iy, r.o, r.d + 1 FROM r JOIN f ON abs(f.ix - r.ix) + abs(f.iy - r.iy) = 1 WHERE r.d < 60)
+SELECT ix, iy, min(d)::BIGINT AS steps, arg_min(o, d * 10000 + o)::BIGINT AS owner FROM r GROUP BY ix, iy""")
+def floor_territories(spark, d):
+    """Each free cell with the nearest of some cells by steps over free ones (in tiles of 16)."""
+    cell = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("ix"), (F.col("l_partkey") % 40).alias("iy")).agg(F.count("*").alias("n")).filter("n % 4 <> 0").select("ix", "iy")
+    seeds = cell.filter("(ix * 7 + iy * 13) % 97 = 0").withColumn("owner", F.col("ix") * 40 + F.col("iy"))
+    return graph.flood(cell, [], seeds, 16).filter("steps <= 60").select("ix", "iy", "steps", "owner")
+
+
 # -- graphs, neighbours, pairs ----------------------------------------------------------------------------
 
 

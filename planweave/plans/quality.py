@@ -1,7 +1,7 @@
 """Checks that a plan must pass before it is trusted: one row a finding.
 
-Every rule is a filter or aggregate over all scenes' tables that yields (scene_id, key,
-level, params); nothing is looped over scenes. ``params`` are texts for a message."""
+Every rule is an expression over one row a scene that yields (key, level, params); nothing is
+looped over scenes. ``params`` are texts for a message."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rings
+from ..operators.graph import checkpointed
 from . import shapes, tidy
 
 MIN_FRAMES_PER_M2 = 1.5
@@ -35,34 +36,51 @@ MESSAGES = {
 }
 
 
-def _finding(df: DataFrame, key: str, level: str, **params) -> DataFrame:
+def _finding(when, key: str, level: str, **params):
+    """The finding where it holds, else null."""
     pairs = [x for k, v in params.items() for x in (F.lit(k), v.cast("string"))]
-    return df.select("scene_id", F.lit(key).alias("key"), F.lit(level).alias("level"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("params"))
+    told = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.when(when, F.struct(F.lit(key).alias("key"), F.lit(level).alias("level"), told.alias("params")))
 
 
-def _named(df: DataFrame, name, order) -> DataFrame:
-    """The sorted names of a scene's rows as ``items``."""
-    return df.groupBy("scene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), name.alias("n")))), lambda x: x["n"]), ", ").alias("items"))
+def _items(rows, name, order=None):
+    """Names of the rows of an array in their order."""
+    named = F.transform(rows, lambda x: F.struct((x["id"] if order is None else order(x)).alias("o"), name(x).alias("n")))
+    return F.array_join(F.transform(F.array_sort(named), lambda x: x["n"]), ", ")
 
 
-def reliability(plans: DataFrame) -> DataFrame:
-    """Scenes whose reconstruction fell apart: bad links, stretches, kept share of a frame."""
-    scales = F.coalesce("chunk_scales", F.array().cast("array<double>"))
+def _scales():
+    return F.coalesce("chunk_scales", F.array().cast("array<double>"))
+
+
+def _unreliable() -> dict:
+    """Columns of a report's reconstruction: whether it fell apart, bad links, stretches, kept share."""
+    scales = _scales()
     off = lambda lo, hi: F.size(F.filter(scales, lambda s: (s < lo) | (s > hi)))
     spread = F.when((F.size(scales) > 0) & (F.array_min(scales) > 0), F.array_max(scales) / F.array_min(scales)).otherwise(1.0)
-    cover = F.coalesce("mask_fraction", F.lit(1.0))
-    rows = plans.filter("chunk_scales is not null or mask_fraction is not null").select("scene_id", off(0.5, 2.0).alias("bad"), off(0.7, 1.4).alias("loose"), spread.alias("spread"), cover.alias("cover"), (F.size(scales) + 1).alias("n"))
-    wrong = rows.filter("bad > 0 or spread > 2.5 or cover < 0.10")
-    return wrong.select("scene_id", F.when((F.col("bad") == 0) & (F.col("spread") > 2.5), F.col("loose")).otherwise(F.col("bad")).alias("bad"), "n", "cover")
+    cover, bad = F.coalesce("mask_fraction", F.lit(1.0)), off(0.5, 2.0)
+    told = F.col("chunk_scales").isNotNull() | F.col("mask_fraction").isNotNull()
+    return {"wrong": told & ((bad > 0) | (spread > 2.5) | (cover < 0.10)), "bad": F.when((bad == 0) & (spread > 2.5), off(0.7, 1.4)).otherwise(bad), "n": F.size(scales) + 1, "cover": cover}
 
 
-def chain_break(plans: DataFrame) -> DataFrame:
-    """Scenes whose running scale left a range of ten: times, links. A fold inside the row."""
-    scales = F.filter(F.coalesce("chunk_scales", F.array().cast("array<double>")), lambda s: s > 0)
+def _drift() -> dict:
+    """Columns of how far the running scale came: times, links. A fold inside the row."""
+    scales = F.filter(_scales(), lambda s: s > 0)
     start = F.struct(F.lit(1.0).alias("acc"), F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi"))
     step = lambda a, s: F.struct((a["acc"] * s).alias("acc"), F.least(a["lo"], a["acc"] * s).alias("lo"), F.greatest(a["hi"], a["acc"] * s).alias("hi"))
-    run = plans.select("scene_id", F.aggregate(scales, start, step, lambda a: a["hi"] / a["lo"]).alias("times"), F.size(scales).alias("links"))
-    return run.filter(F.col("times") > CHAIN_RANGE_MAX)
+    return {"times": F.aggregate(scales, start, step, lambda a: a["hi"] / a["lo"]), "links": F.size(scales)}
+
+
+def reliability(plans: DataFrame) -> DataFrame:
+    """Scenes whose reconstruction fell apart: bad links, stretches, kept share of a frame."""
+    c = _unreliable()
+    return plans.filter(c["wrong"]).select("scene_id", *[c[k].alias(k) for k in ("bad", "n", "cover")])
+
+
+def chain_break(plans: DataFrame) -> DataFrame:
+    """Scenes whose running scale left a range of ten: times, links."""
+    c = _drift()
+    return plans.select("scene_id", c["times"].alias("times"), c["links"].alias("links")).filter(F.col("times") > CHAIN_RANGE_MAX)
 
 
 def uncalibrated(plans: DataFrame) -> DataFrame:
@@ -76,12 +94,10 @@ def stamps(plans: DataFrame) -> DataFrame:
     return every.groupBy("scene_id").agg(F.min_by("stamp", "o").alias("stamp"))
 
 
-def enclosure(rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
+def enclosure(wide: DataFrame) -> DataFrame:
     """Overlap of each scene's rooms and the rooms walled all round with no way in: scene_id,
-    overlap, shut. One group a scene, over its plan."""
-    r = rooms.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "polygon", "holes"))).alias("rooms"))
-    w = walls.groupBy("scene_id").agg(F.collect_list(F.struct("id", "ax", "ay", "bx", "by", "thickness")).alias("walls"))
-    ways = openings.filter("kind in ('door', 'passage')").groupBy("scene_id").agg(F.collect_set("wall_id").alias("ways"))
+    overlap, shut. One group a scene, over its plan (``rooms``, ``walls``, ``openings`` as arrays)."""
+    ways = F.transform(F.filter("openings", lambda o: o["kind"].isin("door", "passage")), lambda o: o["wall_id"])
 
     def run(batches):
         for b in batches:
@@ -108,53 +124,64 @@ def enclosure(rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFr
                 out.append((scene, float(overlap), shut))
             yield pd.DataFrame(out, columns=["scene_id", "overlap", "shut"])
 
-    return r.join(w, "scene_id", "left").join(ways, "scene_id", "left").mapInPandas(run, "scene_id string, overlap double, shut array<string>")
+    held = wide.filter("size(rooms) > 0").select("scene_id", "rooms", "walls", ways.alias("ways"))
+    return held.mapInPandas(run, "scene_id string, overlap double, shut array<string>")
 
 
 def findings(plans: DataFrame, rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
     """Findings of every scene. ``plans`` has a row a scene: scene_id, ceiling_measured, source,
     scale_factor, views, footprint_m2, video_fps, sample_fps, video_frames, chunk_scales,
-    mask_fraction (all but the first may be null). A scene with nothing but good news gets ``ok``."""
-    out: list[DataFrame] = []
-    scenes = plans.select("scene_id")
-    out.append(_finding(_named(rooms.filter("not closed"), F.col("name"), F.col("id")), "open_room", "warn", items=F.col("items")))
-    out.append(_finding(scenes.join(rooms.select("scene_id").distinct(), "scene_id", "left_anti"), "no_rooms", "warn"))
-    box = enclosure(rooms, walls, openings)
-    out.append(_finding(box.filter("overlap > 1e-6"), "rooms_overlap", "warn", m2=F.format_string("%.2f", F.bround("overlap", 2))))
-    orphan = openings.join(walls.select("scene_id", F.col("id").alias("wall_id")), ["scene_id", "wall_id"], "left_anti")
-    tag = F.coalesce(F.nullif("tag", F.lit("")), "kind")
-    out.append(_finding(_named(orphan, tag, F.col("id")), "opening_orphan", "warn", items=F.col("items")))
-    out.append(_finding(box.filter(F.size("shut") > 0), "room_no_way_in", "warn", items=F.array_join("shut", ", ")))
-    bad = rooms.filter(rings.impossible(F.col("polygon"))).select("scene_id", "id", F.col("name").alias("what"))
-    flat = walls.filter((F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) <= 0) | (F.col("thickness") <= 0)).select("scene_id", (F.col("id") + 1_000_000).alias("id"), F.concat(F.lit("wall "), F.col("id").cast("string")).alias("what"))
-    out.append(_finding(_named(bad.unionByName(flat), F.col("what"), F.col("id")), "impossible_geometry", "warn", items=F.col("items")))
+    mask_fraction (all but the first may be null). A scene with nothing but good news gets ``ok``.
+
+    A plan's rooms, walls and openings come together in one row a scene, which every rule reads."""
+    held = lambda df, name, *columns: df.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("id", *columns))).alias(name))
+    wide = plans.withColumn("planned", F.lit(True)).join(held(rooms, "rooms", "name", "closed", "floor_seen", "polygon", "holes"), "scene_id", "full")
+    wide = wide.join(held(walls, "walls", "ax", "ay", "bx", "by", "thickness", "sides_seen"), "scene_id", "full")
+    wide = wide.join(held(openings, "openings", "wall_id", "kind", "tag", "height_measured"), "scene_id", "full")
+    none = lambda name: F.coalesce(name, F.array().cast(wide.schema[name].dataType)).alias(name)
+    wide = checkpointed(wide.select(*[none(c) if c in ("rooms", "walls", "openings") else c for c in wide.columns]))
+    wide = wide.join(enclosure(wide), "scene_id", "left")
+
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    planned, name = yes(F.col("planned")), lambda x: x["name"]
+    tag = lambda o: F.coalesce(F.nullif(o["tag"], F.lit("")), o["kind"])
+    open_ = F.filter("rooms", lambda r: yes(~r["closed"]))
+    wall_ids = F.transform("walls", lambda w: w["id"])
+    orphan = F.filter("openings", lambda o: ~yes(F.array_contains(wall_ids, o["wall_id"])))
+    bad = F.filter("rooms", lambda r: rings.impossible(r["polygon"]))
+    flat = F.filter("walls", lambda w: yes((F.hypot(w["bx"] - w["ax"], w["by"] - w["ay"]) <= 0) | (w["thickness"] <= 0)))
+    impossible = F.array_join(F.filter(F.array(F.nullif(_items(bad, name), F.lit("")), F.nullif(_items(flat, lambda w: F.concat(F.lit("wall "), w["id"].cast("string"))), F.lit(""))), lambda x: x.isNotNull()), ", ")
     rate = F.col("views") / F.col("footprint_m2")
-    sparse = plans.filter((F.col("views") > 0) & (F.col("footprint_m2") > 1.0) & (rate < MIN_FRAMES_PER_M2))
-    ours = (F.coalesce("video_fps", F.lit(0.0)) > 0) & (F.coalesce("sample_fps", F.lit(0.0)) > 0) & (F.col("video_fps") > 2 * F.col("sample_fps"))
-    ours = F.coalesce(ours, F.lit(False))
-    shown = F.format_string("%.1f", F.bround(rate, 1))
-    out.append(_finding(sparse.filter(ours), "sampled_too_sparsely", "warn", n=F.col("views"), total=F.coalesce("video_frames", F.lit(0)), rate=shown))
-    want = F.ceil(F.lit(MIN_FRAMES_PER_M2) * F.col("footprint_m2"))
-    out.append(_finding(sparse.filter(~ours), "too_few_frames", "warn", n=F.col("views"), m2=F.bround("footprint_m2").cast("int"), rate=shown, want=want))
-    thin = rooms.filter("floor_seen < 0.5")
-    pct = thin.groupBy("scene_id").agg(F.bround(100 * F.avg("floor_seen")).cast("int").alias("pct"))
-    out.append(_finding(_named(thin, F.col("name"), F.col("id")).join(pct, "scene_id"), "floor_seen", "warn", items=F.col("items"), pct=F.col("pct")))
-    sides = walls.groupBy("scene_id").agg(F.count_if(F.col("sides_seen") == 1).alias("n"), F.count("*").alias("m"))
-    out.append(_finding(sides.filter("n > 0"), "thickness", "info", n=F.col("n"), m=F.col("m")))
-    out.append(_finding(sides.filter("n = 0"), "thickness", "ok", n=F.col("n"), m=F.col("m")))
-    out.append(_finding(plans.filter("not ceiling_measured"), "ceiling", "warn"))
-    out.append(_finding(reliability(plans), "unreliable", "warn", bad=F.col("bad"), n=F.col("n"), cover=F.bround(100 * F.col("cover")).cast("int")))
-    out.append(_finding(chain_break(plans), "scale_chain", "warn", links=F.col("links"), times=F.format_string("%.0f", F.bround("times"))))
-    out.append(_finding(uncalibrated(plans), "scale", "warn"))
-    out.append(_finding(_named(openings.filter("kind = 'door' and not height_measured"), tag, F.col("id")), "door_height", "info", items=F.col("items")))
-    glazed = openings.filter("kind = 'window'").select("scene_id").distinct()
-    out.append(_finding(rooms.select("scene_id").distinct().join(glazed, "scene_id", "left_anti"), "no_windows", "info"))
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    worst = every.groupBy("scene_id").agg(F.bool_and(F.col("level") == "ok").alias("fine"))
-    fine = scenes.join(worst, "scene_id", "left").filter(F.coalesce("fine", F.lit(True)))
-    return every.unionByName(_finding(fine, "ok", "ok"))
+    sparse = yes((F.col("views") > 0) & (F.col("footprint_m2") > 1.0) & (rate < MIN_FRAMES_PER_M2))
+    ours = yes((F.coalesce("video_fps", F.lit(0.0)) > 0) & (F.coalesce("sample_fps", F.lit(0.0)) > 0) & (F.col("video_fps") > 2 * F.col("sample_fps")))
+    shown, want = F.format_string("%.1f", F.bround(rate, 1)), F.ceil(F.lit(MIN_FRAMES_PER_M2) * F.col("footprint_m2"))
+    thin = F.filter("rooms", lambda r: yes(r["floor_seen"] < 0.5))
+    pct = F.bround(100 * F.aggregate(thin, F.lit(0.0), lambda a, r: a + r["floor_seen"]) / F.size(thin)).cast("int")
+    assumed, all_ = F.size(F.filter("walls", lambda w: yes(w["sides_seen"] == 1))), F.size("walls")
+    lost, drift = _unreliable(), _drift()
+    guessed = F.filter("openings", lambda o: yes((o["kind"] == "door") & ~o["height_measured"]))
+    every = [
+        _finding(F.size(open_) > 0, "open_room", "warn", items=_items(open_, name)),
+        _finding(planned & (F.size("rooms") == 0), "no_rooms", "warn"),
+        _finding(yes(F.col("overlap") > 1e-6), "rooms_overlap", "warn", m2=F.format_string("%.2f", F.bround("overlap", 2))),
+        _finding(F.size(orphan) > 0, "opening_orphan", "warn", items=_items(orphan, tag)),
+        _finding(yes(F.size("shut") > 0), "room_no_way_in", "warn", items=F.array_join("shut", ", ")),
+        _finding((F.size(bad) > 0) | (F.size(flat) > 0), "impossible_geometry", "warn", items=impossible),
+        _finding(sparse & ours, "sampled_too_sparsely", "warn", n=F.col("views"), total=F.coalesce("video_frames", F.lit(0)), rate=shown),
+        _finding(sparse & ~ours, "too_few_frames", "warn", n=F.col("views"), m2=F.bround("footprint_m2").cast("int"), rate=shown, want=want),
+        _finding(F.size(thin) > 0, "floor_seen", "warn", items=_items(thin, name), pct=pct),
+        _finding(assumed > 0, "thickness", "info", n=assumed, m=all_),
+        _finding((all_ > 0) & (assumed == 0), "thickness", "ok", n=assumed, m=all_),
+        _finding(yes(~F.col("ceiling_measured")), "ceiling", "warn"),
+        _finding(yes(lost["wrong"]), "unreliable", "warn", bad=lost["bad"], n=lost["n"], cover=F.bround(100 * lost["cover"]).cast("int")),
+        _finding(yes(drift["times"] > CHAIN_RANGE_MAX), "scale_chain", "warn", links=drift["links"], times=F.format_string("%.0f", F.bround(drift["times"]))),
+        _finding(yes((F.col("source") == "network") & F.col("scale_factor").isNull()), "scale", "warn"),
+        _finding(F.size(guessed) > 0, "door_height", "info", items=_items(guessed, tag)),
+        _finding((F.size("rooms") > 0) & ~F.exists("openings", lambda o: yes(o["kind"] == "window")), "no_windows", "info"),
+    ]
+    told = wide.select("scene_id", "planned", F.array_compact(F.array(*every)).alias("told"))
+    fine = planned & F.forall("told", lambda f: f["level"] == "ok")
+    return told.select("scene_id", F.explode(F.concat("told", F.array_compact(F.array(_finding(fine, "ok", "ok"))))).alias("f")).select("scene_id", "f.*")
 
 
 def with_messages(found: DataFrame, lang: str = "en") -> DataFrame:

@@ -180,3 +180,39 @@ def test_running_total_in_blocks(spark):
 def test_ring_helpers_agree(spark):
     df = spark.createDataFrame([([(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)],)], f"ring {R}")
     assert df.select(rings.signed_area(F.col("ring"))).first()[0] == 2.0
+
+
+def test_flood_against_plain_search(spark):
+    """Nearest seed by steps, ties to the smaller owner, over tiles of 16 cells on both sides of zero."""
+    import heapq
+
+    from planweave.operators import graph
+
+    r = np.random.default_rng(3)
+    ys, xs = np.nonzero(r.random((60, 70)) < 0.68)
+    free = {(int(x) - 20, int(y) - 15) for x, y in zip(xs, ys)}
+    seeds = [(*p, o) for p, o in zip(sorted(free)[::400], [5, 3, 3, 9, 1, 7, 2, 8, 4, 6, 11, 12])]
+    best, heap = {}, [(0, o, x, y) for x, y, o in seeds]
+    heapq.heapify(heap)
+    while heap:
+        d, o, x, y = heapq.heappop(heap)
+        if (x, y) not in best:
+            best[x, y] = (d, o)
+            for p in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if p in free and p not in best:
+                    heapq.heappush(heap, (d + 1, o, *p))
+    cells = spark.createDataFrame([("k", *p) for p in free], "k string, ix long, iy long")
+    start = spark.createDataFrame([("k", *s) for s in seeds] + [("none", 0, 0, 1)], "k string, ix long, iy long, owner long")
+    assert {(c.ix, c.iy): (c.steps, c.owner) for c in graph.flood(cells, ["k"], start, 16).collect()} == best
+    assert not graph.flood(cells, ["k"], start.limit(0), 16).collect() and not graph.flood(cells.limit(0), ["k"], start, 16).collect()
+
+
+def test_a_path_of_ten_thousand_steps_takes_as_many_rounds_as_tiles(spark, monkeypatch):
+    from planweave.operators import graph
+
+    rounds, checkpointed = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or checkpointed(df))
+    rows = [(x, y) for y in range(201) for x in range(100) if y % 2 == 0 or x == (99 if y % 4 == 1 else 0)]
+    cells = spark.createDataFrame([("k", *p) for p in rows], "k string, ix long, iy long")
+    assert graph.grid_path(cells, ["k"], (0, 0), (99, 200)).first().steps == 10_199
+    assert len(rounds) < 40
