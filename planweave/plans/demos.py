@@ -577,7 +577,7 @@ def shared_floor(spark, d):
 
 
 def _registered() -> dict:
-    from . import demos_geometry, demos_plans, demos_shapes  # noqa: F401  (their queries register themselves)
+    from . import demos_geometry, demos_plans, demos_shapes, demos_sql  # noqa: F401  (their queries register themselves)
 
     return REGISTRY
 
