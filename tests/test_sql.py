@@ -36,10 +36,10 @@ def test_table_functions(spark):
     r = np.random.default_rng(6)
     series = {k: r.integers(0, 12, 40).astype(float) for k in "ab"}
     spark.createDataFrame([(k, i, float(v)) for k, s in series.items() for i, v in enumerate(s)], "k string, bin int, n double").createOrReplaceTempView("series_of_test")
-    got = {(x.k, x.rank): (x.bin, x.n) for x in spark.sql("SELECT * FROM pw_peaks(TABLE(series_of_test) PARTITION BY k ORDER BY bin, 4.0D, 2)").collect()}
+    got = {(x.k, x.rank): (x.bin, x.n) for x in spark.sql("SELECT * FROM pw_peaks(TABLE(series_of_test) PARTITION BY k ORDER BY (bin), 4.0D, 2)").collect()}
     assert got == {(k, rank): (i, s[i]) for k, s in series.items() for rank, i in enumerate(peak_indices(s, 4.0, 2))}
     spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 5.0), ("a", None), ("b", 0.0)], "k string, t double").createOrReplaceTempView("series_of_test")
-    runs = sorted(tuple(x) for x in spark.sql("SELECT * FROM pw_islands(TABLE(series_of_test) PARTITION BY k ORDER BY t, 1.5D)").collect())
+    runs = sorted(tuple(x) for x in spark.sql("SELECT * FROM pw_islands(TABLE(series_of_test) PARTITION BY k ORDER BY (t), 1.5D)").collect())
     assert runs == [("a", 1.0, 2.0, 2), ("a", 5.0, 5.0, 1), ("b", 0.0, 0.0, 1)]
     spark.catalog.dropTempView("series_of_test")
     with pytest.raises(Exception, match="pw_islands takes a table"):
