@@ -79,40 +79,113 @@ def _matrix(v) -> np.ndarray:
     return np.array([list(r) for r in v], float)
 
 
-def _shared_scale(new: pd.DataFrame, old: dict) -> float | None:
-    ratios = []
-    for _, v in new.iterrows():
-        o = old[v["view_id"]]
-        if (v["h"], v["w"]) != (o["h"], o["w"]):
-            continue
-        a, b = np.asarray(v["depth"], float), np.asarray(o["depth"], float)
-        m = np.asarray(v["mask"], bool) & np.asarray(o["mask"], bool) & (a > 0.05) & (b > 0.05)
-        if m.sum() >= 200:
-            ratios.append(float(np.median(b[m] / a[m])))
-    return float(np.median(ratios)) if ratios else None
+SIMILARITY = "scale double, r array<double>, t array<double>"
+BLOCK = 64  # links whose products one group works out
+
+
+def prefix_similarities(links: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``links(keys, order, scale, r, t)``, each carrying its frame into the one before it, -> what carries
+    each into the first: the products from the first link on, which don't commute. A block of 64 links is
+    multiplied in a group, the products of whole blocks are links of a chain 64 times shorter, and
+    each block is carried by what is before it, so no group holds a chain. ``order`` counts from 0
+    within the keys, without gaps."""
+    from .graph import checkpointed
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.select(*keys).schema)
+    named = f"{fields + ', ' if keys else ''}_k long, _block long, _ends boolean, {SIMILARITY}"
+
+    def multiply(rows):
+        rows = rows.sort_values("_k", ignore_index=True)
+        scale, r, t = 1.0, np.eye(3), np.zeros(3)
+        out = []
+        for s, own, shift in zip(rows["scale"], rows["r"], rows["t"]):
+            t = t + scale * r @ np.asarray(shift, float)
+            scale, r = scale * s, r @ np.asarray(own, float).reshape(3, 3)
+            out.append((scale, r.ravel().tolist(), t.tolist()))
+        got = pd.DataFrame(out, columns=["scale", "r", "t"])
+        return pd.concat([rows[[*keys, "_k", "_block"]].assign(_ends=rows["_k"] % BLOCK == BLOCK - 1), got], axis=1)
+
+    blocked = links.select(*keys, F.col(order).cast("long").alias("_k"), F.floor(F.col(order) / BLOCK).alias("_block"), "scale", "r", "t")
+    own = checkpointed(blocked.groupBy(*keys, "_block").applyInPandas(multiply, named))
+    whole = own.filter("_ends").select(*keys, F.col("_block").alias("_k"), "scale", "r", "t")
+    if not whole.head(1):
+        return own.select(*keys, F.col("_k").alias(order), "scale", "r", "t")
+    before = prefix_similarities(whole, keys, "_k").select(*keys, (F.col("_k") + 1).alias("_block"), F.col("scale").alias("_s"), F.col("r").alias("_r"), F.col("t").alias("_t"))
+    at = own.join(before, [*keys, "_block"], "left")
+    m, c = lambda i, j: F.get("r", F.lit(3 * i + j)), lambda i, j: F.get("_r", F.lit(3 * i + j))
+    turned = F.array(*[sum((c(i, k) * m(k, j) for k in range(1, 3)), c(i, 0) * m(0, j)) for i in range(3) for j in range(3)])
+    shifted = F.array(*[F.get("_t", F.lit(i)) + F.col("_s") * sum((c(i, k) * F.get("t", F.lit(k)) for k in range(1, 3)), c(i, 0) * F.get("t", F.lit(0))) for i in range(3)])
+    first = F.col("_s").isNull()
+    return at.select(
+        *keys, F.col("_k").alias(order), F.when(first, F.col("scale")).otherwise(F.col("_s") * F.col("scale")).alias("scale"),
+        F.when(first, F.col("r")).otherwise(turned).alias("r"), F.when(first, F.col("t")).otherwise(shifted).alias("t"),
+    )
+
+
+def chunk_links(chunks: DataFrame) -> DataFrame:
+    """Similarity that carries each chunk onto the one before it, from the views they share: scene_id,
+    chunk_id, place (its number in the walk, from 0), views (shared), scale, r, t. Scale by the median depth
+    ratio of the pictures (else by distances), rotation and shift by poses. Fewer than two shared views
+    give no similarity. Two pictures meet at a time; only their ratio and poses go on."""
+    numbers = chunks.select("scene_id", "chunk_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("scene_id").orderBy("chunk_id")) - 1)
+    held = chunks.join(numbers, ["scene_id", "chunk_id"]).select("scene_id", "chunk_id", "place", "view_id", "h", "w", "depth", "mask", "T")
+    earlier = held.select("scene_id", (F.col("place") + 1).alias("place"), "view_id", *[F.col(c).alias(f"old_{c}") for c in ("h", "w", "depth", "mask", "T")])
+
+    def ratios(batches):
+        for b in batches:
+            out = []
+            for v in b.itertuples(index=False):
+                ratio = None
+                if (v.h, v.w) == (v.old_h, v.old_w):
+                    new, old = np.asarray(v.depth, float), np.asarray(v.old_depth, float)
+                    both = np.asarray(v.mask, bool) & np.asarray(v.old_mask, bool) & (new > 0.05) & (old > 0.05)
+                    if both.sum() >= 200:
+                        ratio = float(np.median(old[both] / new[both]))
+                out.append((v.scene_id, v.chunk_id, v.place, v.view_id, ratio, _matrix(v.T).ravel().tolist(), _matrix(v.old_T).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["scene_id", "chunk_id", "place", "view_id", "ratio", "new", "old"]).astype({"ratio": float})
+
+    types = dict(chunks.dtypes)
+    shared = held.join(earlier, ["scene_id", "place", "view_id"]).mapInPandas(ratios, f"scene_id {types['scene_id']}, chunk_id {types['chunk_id']}, place int, view_id {types['view_id']}, ratio double, new array<double>, old array<double>")
+
+    def solve(rows):
+        rows = rows.sort_values("view_id")
+        scale, r, t = None, np.eye(3), np.zeros(3)
+        if len(rows) >= 2:
+            known = rows["ratio"].dropna()
+            poses = lambda c: [np.asarray(x, float).reshape(4, 4) for x in rows[c]]
+            scale, r, t = pose_similarity(poses("new"), poses("old"), float(known.median()) if len(known) else None)
+        return pd.DataFrame([(rows["scene_id"].iloc[0], rows["chunk_id"].iloc[0], len(rows), scale, r.ravel().tolist(), t.tolist())], columns=["scene_id", "chunk_id", "views", "scale", "r", "t"]).astype({"scale": float})
+
+    found = shared.groupBy("scene_id", "chunk_id").applyInPandas(solve, f"scene_id {types['scene_id']}, chunk_id {types['chunk_id']}, views int, {SIMILARITY}")
+    scale = F.when(~F.isnan("scale"), F.col("scale"))
+    return numbers.join(found.withColumn("scale", scale), ["scene_id", "chunk_id"], "left")
 
 
 def chain_chunks(chunks: DataFrame) -> DataFrame:
-    """``chunks(scene_id, chunk_id, view...)`` of one walk -> its views in one frame: a fold over
-    the chunks of a scene, each carried by the views it shares with those before it (scale by
-    shared depths, rotation and translation by poses). A row a view, the first solution kept;
-    ``chunk_scale`` is the factor its chunk took."""
+    """``chunks(scene_id, chunk_id, view...)`` of walks -> their views in one frame each: every chunk is
+    carried onto the one before it by the views they share, and through it into the first of its
+    stretch; one that shares fewer than two views begins a new stretch in its own frame. A row a
+    view, that of its first chunk; ``chunk_scale`` is the factor its chunk took."""
     schema = chunks.drop("chunk_id").schema.add("chunk_id", "integer").add("chunk_scale", "double")
+    links = chunk_links(chunks)
+    stretch = F.sum(F.col("scale").isNull().cast("int")).over(Window.partitionBy("scene_id").orderBy("place"))
+    one = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
+    begun = links.withColumn("stretch", stretch)
+    begun = begun.withColumns({"r": F.when(F.col("scale").isNull(), one).otherwise(F.col("r")), "t": F.when(F.col("scale").isNull(), F.array(*[F.lit(0.0)] * 3)).otherwise(F.col("t")), "scale": F.coalesce("scale", F.lit(1.0))})
+    begun = begun.withColumn("at", F.col("place") - F.min("place").over(Window.partitionBy("scene_id", "stretch")))
+    frames = prefix_similarities(begun, ["scene_id", "stretch"], "at")
+    placed = begun.select("scene_id", "stretch", "at", "chunk_id").join(frames, ["scene_id", "stretch", "at"]).select("scene_id", "chunk_id", F.col("scale").alias("_scale"), F.col("r").alias("_r"), F.col("t").alias("_t"))
+    first = chunks.groupBy("scene_id", "view_id").agg(F.min("chunk_id").alias("chunk_id"))
+
+    def carry(batches):
+        for b in batches:
+            scale = b["_scale"].to_numpy(float)
+            poses = [moved(_matrix(t), s, np.asarray(r, float).reshape(3, 3), np.asarray(x, float)).tolist() for t, s, r, x in zip(b["T"], scale, b["_r"], b["_t"])]
+            out = b.assign(T=poses, K=[_matrix(k).tolist() for k in b["K"]], depth=[(np.asarray(d, float) * s).tolist() for d, s in zip(b["depth"], scale)], mask=[list(m) for m in b["mask"]], chunk_scale=scale)
+            yield out[[f.name for f in schema]]
 
-    def run(rows):
-        solved: dict[int, dict] = {}
-        for chunk, part in rows.sort_values(["chunk_id", "view_id"]).groupby("chunk_id"):
-            shared = part[part["view_id"].isin(list(solved))]
-            scale, r, t = 1.0, np.eye(3), np.zeros(3)
-            if len(shared) >= 2:
-                by_depth = _shared_scale(shared, solved)
-                scale, r, t = pose_similarity([_matrix(x) for x in shared["T"]], [_matrix(solved[v]["T"]) for v in shared["view_id"]], by_depth)
-            for _, v in part.iterrows():
-                if v["view_id"] not in solved:
-                    solved[v["view_id"]] = {**v.to_dict(), "T": moved(_matrix(v["T"]), scale, r, t).tolist(), "K": _matrix(v["K"]).tolist(), "depth": (np.asarray(v["depth"], float) * scale).tolist(), "mask": list(v["mask"]), "chunk_id": int(chunk), "chunk_scale": scale}
-        return pd.DataFrame(list(solved.values()))[[f.name for f in schema]]
-
-    return chunks.groupBy("scene_id").applyInPandas(run, schema)
+    kept = chunks.join(first, ["scene_id", "view_id", "chunk_id"], "left_semi").dropDuplicates(["scene_id", "view_id"])
+    return kept.join(placed, ["scene_id", "chunk_id"]).mapInPandas(carry, schema)
 
 
 def chain_offsets(links: DataFrame, keys: list[str], order: str, link: str) -> DataFrame:

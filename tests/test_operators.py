@@ -256,3 +256,66 @@ def test_floor_rooms_and_doorways(spark):
     assert len(out) == 12 * 12 * 2 + 4 and out[(0, 0)] != out[(25, 11)] and (4, 4) in out and (40, 40) not in out
     pair = metrics.doorways(rooms, ["scene_id"]).collect()
     assert len(pair) == 1 and pair[0].edges == 2
+
+
+def similarity(r):
+    q, _ = np.linalg.qr(r.normal(size=(3, 3)))
+    return float(r.uniform(0.9, 1.1)), q * np.sign(np.linalg.det(q)), r.normal(size=3)
+
+
+def test_products_of_a_long_chain(spark):
+    """A thousand links and the links of short chains, by blocks and by a plain fold."""
+    r = np.random.default_rng(11)
+    rows, want = [], {}
+    for chain, n in (("long", 1000), ("one", 1), ("block", 64), ("more", 65)):
+        scale, turn, shift = 1.0, np.eye(3), np.zeros(3)
+        for k in range(n):
+            s, q, t = similarity(r)
+            rows.append((chain, k, s, q.ravel().tolist(), t.tolist()))
+            shift = shift + scale * turn @ t
+            scale, turn = scale * s, turn @ q
+            want[chain, k] = (scale, turn.ravel(), shift)
+    links = spark.createDataFrame(rows, f"chain string, place int, {align.SIMILARITY}").repartition(5)
+    got = {(x.chain, x.place): x for x in align.prefix_similarities(links, ["chain"], "place").collect()}
+    assert got.keys() == want.keys()
+    for key, (scale, turn, shift) in want.items():
+        np.testing.assert_allclose(got[key].scale, scale, rtol=1e-9)
+        np.testing.assert_allclose(got[key].r, turn, atol=1e-9)
+        np.testing.assert_allclose(got[key].t, shift, rtol=1e-7, atol=1e-7)
+
+
+def chained_by_fold(rows):
+    """(T, scale) of each view: chunk after chunk, each onto what is solved so far."""
+    solved = {}
+    for c in sorted({x[8] for x in rows}):
+        part = sorted((x for x in rows if x[8] == c), key=lambda x: x[1])
+        shared = [x for x in part if x[1] in solved]
+        scale, turn, shift = 1.0, np.eye(3), np.zeros(3)
+        if len(shared) >= 2:
+            ratio = float(np.median([np.median(np.array(solved[x[1]][2]) / np.array(x[4])) for x in shared]))
+            scale, turn, shift = align.pose_similarity([np.array(x[7]) for x in shared], [solved[x[1]][0] for x in shared], ratio)
+        for x in part:
+            solved.setdefault(x[1], (align.moved(np.array(x[7]), scale, turn, shift), scale, (np.array(x[4]) * scale).tolist()))
+    return solved
+
+
+def test_chunks_chain_as_a_fold_does(spark):
+    """Sixty noisy chunks, one of which shares too little and begins anew."""
+    r = np.random.default_rng(12)
+    rows, at = [], 0
+    for c in range(60):
+        if c == 40:
+            at += 3  # shares one view only
+        for i in range(at, at + 6):
+            d, k, pose = room_view(np.array([0.5 + 0.01 * i, 1.0, 1.2]), 0.2 + 0.02 * i, 12, 20)
+            s = 1 + 0.02 * (c % 5)
+            pose = pose.copy()
+            pose[:3, 3] = pose[:3, 3] / s + r.normal(0, 1e-3, 3)
+            rows.append(("s", i, 12, 20, (d / s).ravel().tolist(), [True] * d.size, k.tolist(), pose.tolist(), c))
+        at += 3 if c != 39 else 2
+    out = align.chain_chunks(spark.createDataFrame(rows, align.VIEW + ", chunk_id int").repartition(4)).collect()
+    want = chained_by_fold(rows)
+    assert {x.view_id for x in out} == want.keys()
+    for x in out:
+        np.testing.assert_allclose(np.array(x["T"]), want[x.view_id][0], atol=1e-8)
+        assert x.chunk_scale == pytest.approx(want[x.view_id][1]) and np.allclose(x.depth, want[x.view_id][2])
