@@ -83,8 +83,7 @@ def take(batch: DataFrame, number: int, output: str, config: dict) -> int:
 def run(spark: SparkSession, source: str, output: str, config: dict) -> None:
     """Take what is new in ``source``; returns when all of it is in the output."""
     schema = spark.read.parquet(source).schema if _any(spark, source) else COLUMNS
-    pattern = f"{source.rstrip('/')[:-1]}[{source.rstrip('/')[-1]}]"  # a pattern may be one file, a plain path must be a folder
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_a_batch"]).parquet(pattern)
+    stream = windows.files(spark, source, schema, config["files_a_batch"])
     counts: dict[int, int] = {}
     query = (
         stream.writeStream.foreachBatch(lambda batch, number: counts.update({number: take(batch, number, output, config)}))

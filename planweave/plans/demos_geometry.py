@@ -192,6 +192,19 @@ def stream_best_frames(spark, d):
     return best.select("user_id", F.unix_seconds("start").alias("start"), "event_id", F.round("value", 6).alias("value"))
 
 
+@query("""SELECT user_id, epoch_us(start) // 1000000 AS start, event_id, round(value, 6) AS value FROM (
+  SELECT user_id, date_trunc('hour', ts) AS start, event_id, value, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY value DESC, event_id) AS r FROM events)
+WHERE r = 1 AND start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")
+def appended_best_frames(spark, d):
+    """The same as a stream in append mode: windows that the watermark has passed, read back from what the stream wrote."""
+    out = graph.shared_folder(spark, "best-frames")
+    stream = frames.files(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
+    best = frames.best_frames(stream, ["user_id"], "ts", "value", "event_id", "1 hour", "30 minutes")
+    frames.write(best, f"{out}/frames", f"{out}/checkpoint").awaitTermination()
+    read = spark.read.schema(best.schema).parquet(f"{out}/frames")
+    return read.select("user_id", F.unix_seconds("start").alias("start"), "event_id", F.round("value", 6).alias("value"))
+
+
 @query("""WITH h AS (SELECT user_id, session FROM (SELECT user_id, t, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM (
  SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 3600000000 THEN 1 ELSE 0 END AS b FROM events)))
 SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, session, count(*) AS n FROM h GROUP BY 1, 2) GROUP BY 1, 2""")

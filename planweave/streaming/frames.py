@@ -1,14 +1,24 @@
-"""The one stream operator: the best frame of every window of a running capture.
+"""Streams of a running capture: the best frame of every window, sessions.
 
 Batch and stream share the aggregate; the stream adds an event-time window, a watermark for
 late frames and, in append mode, one row a window once it has passed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def files(spark: SparkSession, path: str, schema, per_batch: int | None = None) -> DataFrame:
+    """Stream of the Parquet files at ``path``, a folder that grows by files or one file, at most
+    ``per_batch`` of them a batch."""
+    path = path.rstrip("/")
+    reader = spark.readStream.schema(schema)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may be one file, a plain path must be a folder
+
+
 def best_frames(frames: DataFrame, keys: list[str], ts: str = "ts", score: str = "sharpness", id_: str = "frame_idx", window: str = "1 second", lateness: str | None = "10 seconds", least: float | None = None) -> DataFrame:
     """keys, window start, id, score of the sharpest frame of each window (ties: the first id).
     State is one struct a key and window; the watermark bounds how many windows stay open."""
