@@ -113,15 +113,16 @@ def gravity(points: DataFrame, cameras: DataFrame, o: Options) -> DataFrame:
     else:
         ups = cameras.select("scene_id", vec.camera_up(F.col("T")).alias("u")).groupBy("scene_id").agg(*[F.avg(F.col("u")[i]).alias(f"u{i}") for i in range(3)])
         hint = points.select("scene_id").distinct().join(ups, "scene_id", "left").select("scene_id", vec.normalize(F.when(F.col("u0").isNotNull(), F.array("u0", "u1", "u2")).otherwise(vec.vector(0, 0, 1))).alias("hint"))
-    up = aggregate.cone_mean_normal(points.join(hint, S), S, F.col("hint"))
+    up = checkpointed(aggregate.cone_mean_normal(points.join(hint, S), S, F.col("hint")))  # a row a scene, asked for four times below
     h = F.col("x") * F.col("ux") + F.col("y") * F.col("uy") + F.col("z") * F.col("uz")
     nh = F.col("nx") * F.col("ux") + F.col("ny") * F.col("uy") + F.col("nz") * F.col("uz")
     heights = points.join(up, S).select("scene_id", h.alias("h"), nh.alias("nh"))
     kind = F.when(F.col("nh") > 0.9, "up").when(F.col("nh") < -0.9, "down")
     flat = heights.withColumn("kind", kind).filter("kind is not null")
-    ends = flat.groupBy("scene_id", "kind").agg(F.percentile("h", F.lit(0.005)).alias("lo"), F.percentile("h", F.lit(0.995)).alias("hi"), F.count("*").alias("total"))
+    mm = lambda c: F.round(c, 3)  # noqa: E731  an exact percentile keeps every distinct value: few of them, to the millimetre
+    ends = flat.groupBy("scene_id", "kind").agg(F.percentile(mm("h"), F.array(F.lit(0.005), F.lit(0.995))).alias("p"), F.count("*").alias("total")).select("scene_id", "kind", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "total")
     hist = flat.join(ends.filter("total > 100"), ["scene_id", "kind"]).filter(F.col("h").between(F.col("lo") - 0.02, F.col("hi") + 0.04)).groupBy("scene_id", "kind", F.floor(F.col("h") / 0.02).cast("long").alias("bin")).agg(F.count("*").cast("double").alias("n"))
-    low = heights.groupBy("scene_id").agg(F.percentile("h", F.lit(0.01)).alias("p1"))
+    low = heights.groupBy("scene_id").agg(F.percentile(mm("h"), F.lit(0.01)).alias("p1"))
 
     def levels(rows):
         base = float(rows["p1"].iloc[0])
@@ -172,7 +173,7 @@ def wall_points(points: DataFrame, scenes: DataFrame, o: Options) -> tuple[DataF
     """(all wall points, scenes with band limits and family angles): unit normals in the plane, and
     which points stand on a cell that is covered high enough."""
     raw = points.filter("is_wall").withColumn("_l", F.hypot("nx", "ny")).withColumns({"nx": F.col("nx") / F.col("_l"), "ny": F.col("ny") / F.col("_l")}).drop("_l")
-    seen = raw.groupBy("scene_id").agg(F.percentile("z", F.lit(0.95)).alias("p95"), F.count("*").alias("wall_points"))
+    seen = raw.groupBy("scene_id").agg(F.percentile(F.round("z", 3), F.lit(0.95)).alias("p95"), F.count("*").alias("wall_points"))
     scenes = scenes.join(seen, S).withColumn("z_seen_top", F.least("z_top", "p95")).withColumn("bands", (F.col("z_seen_top") - o.wall_z_min) / o.z_band)
     scenes = scenes.withColumns({"min_bands": F.greatest(F.lit(2.0), F.col("bands") * o.min_coverage_frac), "cell_bands": F.greatest(F.lit(2.0), F.col("bands") * o.cell_coverage_frac)})
     if o.manhattan:
