@@ -52,9 +52,10 @@ def segment(hashes: np.ndarray, levels: np.ndarray, size: int | None = None) ->
     return np.packbits(held, bitorder="little").tobytes()
 
 
-def bucket_bits(size: int, most: int, least: int = 10) -> int:
-    """Bits of a hash that name its bucket, so that ``size`` gives about ``most`` a bucket."""
-    return max(least, int(size // most).bit_length())
+def bucket_bits(size: int, most: int, least: int = 10, largest: int = 20) -> int:
+    """Bits of a hash that name its bucket, so that ``size`` gives about ``most`` a bucket; beyond a
+    million buckets, whose table every worker holds, buckets grow instead."""
+    return min(largest, max(least, int(size // most).bit_length()))
 
 
 class Filters:
