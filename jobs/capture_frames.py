@@ -104,7 +104,7 @@ def result(spark: SparkSession, output: str) -> DataFrame:
     """A row for each kept frame and for each device's day without one."""
     frames = spark.read.schema(FRAMES).parquet(f"{output}/frames")
     clips = spark.read.schema(CLIPS).parquet(f"{output}/clips").drop("first", "last")
-    return clips.join(frames, KEYS, "left").select("user_id", F.col("day").cast("string").alias("day"), "event_id", "slot", "score", "usable_frames", "blurry_windows", "flat_windows", "sharpness_median", "sharpness_p10", "warnings")
+    return clips.join(frames, KEYS, "left").select("user_id", F.col("day").cast("string").alias("day"), "event_id", "slot", "score", "usable_frames", "blurry_windows", "flat_windows", *[F.round(c, 6).alias(c) for c in ("sharpness_median", "sharpness_p10")], "warnings")
 
 
 def sql(config: dict) -> str:
@@ -137,7 +137,7 @@ clips AS (
            CASE WHEN flat_windows > 0 THEN 'blank_seconds=' || CAST(round_even(flat_windows / {config['fps']}, 0) AS INT) END,
            CASE WHEN usable_frames < 12 THEN 'few_usable=' || usable_frames END) AS warnings
   FROM verdict JOIN scores USING (user_id, day))
-SELECT c.user_id, CAST(c.day AS VARCHAR) AS day, event_id, slot, value AS score, usable_frames, blurry_windows, flat_windows, sharpness_median, sharpness_p10, warnings
+SELECT c.user_id, CAST(c.day AS VARCHAR) AS day, event_id, slot, value AS score, usable_frames, blurry_windows, flat_windows, round(sharpness_median, 6) AS sharpness_median, round(sharpness_p10, 6) AS sharpness_p10, warnings
 FROM clips c LEFT JOIN kept k ON k.user_id = c.user_id AND k.day = c.day
 """
 

@@ -85,7 +85,7 @@ def _replace(df: DataFrame, path: str, what: str) -> None:
 
 
 def result(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.schema(REGISTER).parquet(f"{output}/register")
+    return spark.read.schema(REGISTER).parquet(f"{output}/register").withColumn("width", F.round("width", 6))
 
 
 def sql(config: dict) -> str:
@@ -106,7 +106,7 @@ m AS (
 l AS (SELECT *, CAST(ceil(width / {config['column_points']}::DOUBLE) AS BIGINT) + breaks AS lines, min(doc_id) OVER (PARTITION BY source, digest) AS first FROM m),
 s AS (SELECT *, CASE WHEN doc_id <> first THEN first END AS same_as, CASE WHEN doc_id <> first THEN 0 ELSE CAST(ceil(lines / {config['lines_a_sheet']}) AS BIGINT) END AS sheets FROM l),
 u AS (SELECT *, CAST(sum(sheets) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM s)
-SELECT doc_id, lang, title, width, lines, sheets, same_as, source,
+SELECT doc_id, lang, title, round(width, 6) AS width, lines, sheets, same_as, source,
        CASE WHEN sheets > 0 THEN '{config['prefix']}' || lpad(CAST(upto - sheets + 1 AS VARCHAR), greatest(2, length(CAST(upto - sheets + 1 AS VARCHAR)))::INT, '0') END AS first_sheet,
        CASE WHEN sheets > 0 THEN '{config['prefix']}' || lpad(CAST(upto AS VARCHAR), greatest(2, length(CAST(upto AS VARCHAR)))::INT, '0') END AS last_sheet
 FROM u

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,33 +69,61 @@ def fetch_overpass(spark: SparkSession, lat: float, lon: float, radius: float, u
         return parse_overpass(spark.createDataFrame([(r.read().decode(),)], "value string"))
 
 
-def wkb_rings(wkb: bytes) -> list[list[list[tuple[float, float]]]]:
-    """Polygons of a WKB polygon or multipolygon: each a list of rings, the outer one first."""
-    import struct
-
-    at = 0
+def wkb_rings(wkb: bytes) -> list[list[np.ndarray]]:
+    """Polygons of a WKB polygon or multipolygon: each a list of rings (a row a point), the outer one
+    first; coordinates beyond x and y are left out. Other geometries have none."""
+    order, at = "<", 0
 
-    def take(fmt):
+    def number() -> int:
         nonlocal at
-        out = struct.unpack_from(order + fmt, wkb, at)
-        at += struct.calcsize(order + fmt)
-        return out
+        at += 4
+        return int(np.frombuffer(wkb, f"{order}u4", 1, at - 4)[0])
 
-    def geometry():
-        nonlocal at, order
+    def geometry() -> list[list[np.ndarray]]:
+        nonlocal order, at
         order = "<" if wkb[at] == 1 else ">"
         at += 1
-        (kind,) = take("I")
-        if kind % 1000 == 3:
-            return [[[take("2d") for _ in range(take("I")[0])] for _ in range(take("I")[0])]]
+        kind = number()
+        if kind & 0x20000000:  # a reference system's number stands before the rest
+            number()
+        if kind & 0xF0000000:
+            wide = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
+        else:
+            wide = (2, 3, 3, 4)[kind // 1000 % 4]
+        kind = kind & 0x0FFFFFFF
         if kind % 1000 == 6:
-            return [p for _ in range(take("I")[0]) for p in geometry()]
-        return []
+            return [p for _ in range(number()) for p in geometry()]
+        if kind % 1000 != 3:
+            return []
+        rings_ = []
+        for _ in range(number()):
+            n = number()
+            rings_.append(np.frombuffer(wkb, f"{order}f8", n * wide, at).reshape(n, wide)[:, :2].astype(float))
+            at += 8 * n * wide
+        return [rings_] if rings_ else []
 
-    order = "<"
     return geometry()
 
 
+def _ring_area(r: np.ndarray) -> float:
+    """Area of a closed ring, taken from its first point for the digits."""
+    x, y = (r - r[0]).T
+    return abs(float(x[:-1] @ y[1:] - x[1:] @ y[:-1])) / 2
+
+
+def _largest(geometries: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Largest polygon of each WKB value without its closing points, a batch of values at a time."""
+    points = lambda r: [{"lon": x, "lat": y} for x, y in r[:-1].tolist()]
+    for batch in geometries:
+        footprints, holes = [], []
+        for wkb in batch:
+            parts = [p for p in (wkb_rings(bytes(wkb)) if wkb is not None else []) if len(p[0]) > 3]
+            best = max(parts, key=lambda p: _ring_area(p[0]), default=None)
+            footprints.append(None if best is None else points(best[0]))
+            holes.append(None if best is None else [points(r) for r in best[1:]])
+        yield pd.DataFrame({"footprint": footprints, "holes": holes})
+
+
 def read_overture(spark: SparkSession, path: str, lat: float, lon: float, radius: float) -> DataFrame:
     """Footprints of a map release in Parquet (id, geometry WKB, bbox, height, num_floors, names,
     roof_shape, class, subtype, sources). The box predicates reach the row groups' statistics;
@@ -99,20 +131,9 @@ def read_overture(spark: SparkSession, path: str, lat: float, lon: float, radius
     w, s, e, n = site.search_box(lat, lon, radius)
     rows = spark.read.parquet(path).filter((F.col("bbox.xmin") <= e) & (F.col("bbox.xmax") >= w) & (F.col("bbox.ymin") <= n) & (F.col("bbox.ymax") >= s))
 
-    @F.udf("struct<footprint:array<struct<lon:double,lat:double>>,holes:array<array<struct<lon:double,lat:double>>>>", useArrow=True)
-    def largest(wkb):
-        def area(r):
-            return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:])))
-
-        parts = wkb_rings(bytes(wkb)) if wkb is not None else []
-        if not parts:
-            return None
-        best = max(parts, key=lambda p: area(p[0]))
-        opened = [[{"lon": x, "lat": y} for x, y in r[:-1]] for r in best]
-        return {"footprint": opened[0], "holes": opened[1:]}
-
+    largest = F.pandas_udf(_largest, "footprint array<struct<lon:double,lat:double>>, holes array<array<struct<lon:double,lat:double>>>")
     sets = F.array_join(F.array_sort(F.array_distinct(F.transform("sources", lambda x: F.coalesce(x["dataset"], F.lit("?"))))), ", ")
-    shaped = rows.withColumn("_g", largest("geometry")).filter("_g is not null")
+    shaped = rows.withColumn("_g", largest("geometry")).filter("_g.footprint is not null")
     return shaped.select(
         F.col("id"), F.lit("overture").alias("source"), "_g.footprint", "_g.holes", F.col("height").cast("double").alias("height_m"), F.col("num_floors").cast("long").alias("levels"), "roof_shape", F.col("names.primary").alias("name"),
         F.create_map(F.lit("datasets"), sets, F.lit("class"), F.col("class"), F.lit("subtype"), F.col("subtype")).alias("tags"),

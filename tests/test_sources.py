@@ -107,6 +107,31 @@ def test_map_parquet(spark, tmp_path):
     assert "PushedFilters: [" in found._jdf.queryExecution().toString()
 
 
+def packed(parts, order="<", wide=2, extended=0):
+    """WKB of polygons: lists of rings of points."""
+    mark = {"<": 1, ">": 0}[order]
+    kind = lambda k: k | 0x80000000 if extended and wide == 3 else k + 1000 * (wide == 3)
+    point = lambda p: struct.pack(f"{order}{wide}d", *p, *[7.0] * (wide - 2))
+    one = lambda rings: struct.pack(f"{order}BII", mark, kind(3), len(rings)) + b"".join(struct.pack(f"{order}I", len(r)) + b"".join(map(point, r)) for r in rings)
+    return one(parts[0]) if len(parts) == 1 else struct.pack(f"{order}BII", mark, kind(6), len(parts)) + b"".join(map(one, parts))
+
+
+@pytest.mark.parametrize("order, wide, extended", [("<", 2, 0), (">", 2, 0), ("<", 3, 0), (">", 3, 1)])
+def test_polygons_in_binary(order, wide, extended):
+    small, large, hole = [(0, 0), (1, 0), (1, 1), (0, 0)], [(5, 5), (9, 5), (9, 9), (5, 9), (5, 5)], [(6, 6), (7, 6), (7, 7), (6, 6)]
+    parts = buildings.wkb_rings(packed([[small], [large, hole]], order, wide, extended))
+    assert [[r.tolist() for r in p] for p in parts] == [[[list(map(float, q)) for q in r] for r in p] for p in ([small], [large, hole])]
+    assert buildings.wkb_rings(struct.pack("<BI2d", 1, 1, 2.0, 3.0)) == []
+
+
+def test_largest_part_of_each_footprint(spark):
+    small, large, hole = [(0, 0), (1, 0), (1, 1), (0, 0)], [(5, 5), (9, 5), (9, 9), (5, 9), (5, 5)], [(6, 6), (7, 6), (7, 7), (6, 6)]
+    import pandas as pd
+
+    out = next(buildings._largest(iter([pd.Series([packed([[small], [large, hole]]), None, struct.pack("<BI2d", 1, 1, 2.0, 3.0), packed([[small]])])])))
+    assert [f and len(f) for f in out["footprint"]] == [4, None, None, 3] and out["holes"][0] == [[{"lon": 6.0, "lat": 6.0}, {"lon": 7.0, "lat": 6.0}, {"lon": 7.0, "lat": 7.0}]]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     base = spark.range(600).select(F.lit("c").alias("clip"), F.col("id").alias("frame_idx"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") / 10).alias("ts"), (F.col("id") * 37 % 101).cast("double").alias("sharpness"))
     base.orderBy("frame_idx").coalesce(1).write.parquet(str(tmp_path / "in"))
