@@ -16,7 +16,7 @@ def _asked(spark, d, text: str):
     return spark.sql(text, **{n: table(spark, d, n) for n in names if f"{{{n}}}" in text})
 
 
-@query("""SELECT p_partkey, printf('%.2f m', sqrt(p_size * p_size + 16)) AS diagonal, round(p_size * 4.0, 6) AS area, round(2 * (p_size + 4.0), 6) AS perimeter,
+@query("""SELECT p_partkey, printf('%.2f m', sqrt(p_size * p_size + 16)) AS diagonal, round(p_size * 4.0::DOUBLE, 6) AS area, round(2 * (p_size + 4.0::DOUBLE), 6) AS perimeter,
 p_retailprice % 50 < p_size AS holds, CAST(floor(p_retailprice / 0.5) AS BIGINT) AS cell FROM part""")
 def sql_rooms(spark, d):
     """Rooms measured in SQL text alone."""
