@@ -118,9 +118,10 @@ def centroid(r: Column) -> Column:
     return point(moment("x"), moment("y"))
 
 
-def label_point(r: Column) -> Column:
-    """A point inside: the centroid, or the middle of the longest chord half way up."""
-    c, box = centroid(r), bounds(r)
+def label_point(r: Column, c: Column | None = None, box: Column | None = None) -> Column:
+    """A point inside: the centroid, or the middle of the longest chord half way up. ``c`` and ``box`` are
+    the ring's centroid and bounds where a row has them, for as expressions they run once an edge."""
+    c, box = centroid(r) if c is None else c, bounds(r) if box is None else box
     y = (box["y0"] + box["y1"]) / 2 + (box["y1"] - box["y0"]) * 1e-7
     spans = F.transform(chords(r, y), lambda k: F.struct((k["x1"] - k["x0"]).alias("w"), ((k["x0"] + k["x1"]) / 2).alias("x")))
     return F.when(contains(r, c["x"], c["y"]), c).otherwise(point(F.array_max(spans)["x"], y))

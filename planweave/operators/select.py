@@ -77,9 +77,18 @@ def long_sides(sides: DataFrame, keys: list[str], length: str, least: float = 1.
     return ranked.filter((F.col(length) >= least) & ((F.col("_n") <= many) | (F.col("_r") <= many))).drop("_n", "_r")
 
 
-def largest(rows: DataFrame, keys: list[str], size: str, least: float = 0.0) -> DataFrame:
-    """Row of the largest part of each key, if it is large enough."""
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col(size)).alias("_b")).select("_b.*")
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Columns worked out once a row. The optimizer pulls the text of a column into all that use it, filters
+    and lambdas too, where it would run once for every use or element; it pulls none through an explode."""
+    held = rows.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return held.withColumns({n: F.col(f"_once.{n}") for n in columns}).drop("_once")
+
+
+def largest(rows: DataFrame, keys: list[str], size: str, least: float = 0.0, ties: list[str] | None = None) -> DataFrame:
+    """Row of the largest part of each key, if it is large enough. Of parts alike in size the one with the
+    smallest numbers ``ties``, or any."""
+    rank = F.when(F.col(size).isNotNull(), F.struct(F.col(size), *[-F.col(t) for t in ties])) if ties else F.col(size)
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), rank).alias("_b")).select("_b.*")
     return best.filter(F.col(size) >= least)
 
 

@@ -4,6 +4,7 @@ SQL that states the same numbers from the part's or customer's columns."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rings
@@ -22,7 +23,9 @@ HEIGHT = 2.5
 def scenes(spark, d):
     p = table(spark, d, "part")
     size = lambda n: (F.col("p_size") % n + 3).cast("double")
-    return p.select(F.col("p_partkey").cast("string").alias("scene_id"), F.col("p_partkey").alias("k"), size(7).alias("w"), size(5).alias("h"), (F.lit(0.8) + F.lit(0.1) * (F.col("p_partkey") % 3)).alias("dw"))
+    s = p.select(F.col("p_partkey").cast("string").alias("scene_id"), F.col("p_partkey").alias("k"), size(7).alias("w"), size(5).alias("h"), (F.lit(0.8) + F.lit(0.1) * (F.col("p_partkey") % 3)).alias("dw"))
+    # a plan is some kilobytes and its row in the file a few bytes: the rows are dealt out before they grow
+    return s.repartition(4 * spark.sparkContext.defaultParallelism, "scene_id")
 
 
 def plan(spark, d):
@@ -156,7 +159,7 @@ def plan_wall_tags(spark, d):
     """Tags beside the longest solid stretch of each wall, inside the room."""
     rooms, walls, openings = plan(spark, d)
     t = schedules.wall_tags(walls, openings, rooms)
-    return t.join(scenes(spark, d).filter("w > 3").select("scene_id"), "scene_id").select("scene_id", *long("wall_id"), "side", *[F.round(f"p.{c}", 6).alias(c) for c in "xy"])
+    return t.join(scenes(spark, d).filter("w > 3").select("scene_id").hint("merge"), "scene_id").select("scene_id", *long("wall_id"), "side", *[F.round(f"p.{c}", 6).alias(c) for c in "xy"])
 
 
 @query(f"""SELECT scene_id, -0.2::DOUBLE AS x0, -0.2::DOUBLE AS y0, round(w + 0.2, 6) AS x1, round(h + 0.2, 6) AS y1,
@@ -198,9 +201,9 @@ def plan_painted(spark, d):
     """Faces in painter's order: how many of each kind, and any that stands before a farther one."""
     rooms, walls, openings = plan(spark, d)
     p = schedules.painted(schedules.model_faces(walls, openings, rooms, ceiling=HEIGHT))
-    held = p.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("rank", "depth", "kind"))).alias("f"))
-    wrong = F.size(F.filter(F.zip_with("f", F.slice("f", 2, 1000), lambda a, b: b["depth"] > a["depth"] + 1e-9), lambda x: x))
-    kinds = held.select("scene_id", wrong.alias("bad"), F.explode("f").alias("x")).groupBy("scene_id", "x.kind").agg(F.count("*").alias("n"), F.max("bad").alias("bad"))
+    nearer = F.lag("depth").over(Window.partitionBy("scene_id").orderBy("rank"))
+    each = p.select("scene_id", "kind", (F.col("depth") > nearer + 1e-9).alias("wrong")).groupBy("scene_id", "kind").agg(F.count("*").alias("n"), F.count_if("wrong").alias("some"))
+    kinds = each.withColumn("bad", F.sum("some").over(Window.partitionBy("scene_id")))
     return kinds.select("scene_id", "kind", "n", F.nullif(F.col("bad"), F.lit(0)).cast("long").alias("bad"))
 
 
@@ -326,7 +329,8 @@ def lots_of(spark, d):
     corner = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
     ring = F.array(corner(F.lit(LON), F.lit(LAT)), corner(e, F.lit(LAT)), corner(e, n), corner(F.lit(LON), n))
     none = F.lit(None).cast("string")
-    return table(spark, d, "customer").select(F.concat(F.lit("way/"), k.cast("string")).alias("id"), F.lit("osm").alias("source"), ring.alias("footprint"), F.array().cast("array<array<struct<lon:double,lat:double>>>").alias("holes"), F.when(k % 3 == 0, 7.5).alias("height_m"), F.when(k % 3 == 1, k % 5 + 1).cast("long").alias("levels"), none.alias("roof_shape"), F.col("c_name").alias("name"), F.lit("x").alias("license"), F.lit("y").alias("attribution"))
+    c = table(spark, d, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    return c.select(F.concat(F.lit("way/"), k.cast("string")).alias("id"), F.lit("osm").alias("source"), ring.alias("footprint"), F.array().cast("array<array<struct<lon:double,lat:double>>>").alias("holes"), F.when(k % 3 == 0, 7.5).alias("height_m"), F.when(k % 3 == 1, k % 5 + 1).cast("long").alias("levels"), none.alias("roof_shape"), F.col("c_name").alias("name"), F.lit("x").alias("license"), F.lit("y").alias("attribution"))
 
 
 @query(f"""SELECT 'way/' || c_custkey AS id, round_even(height, 2) AS height_m, how AS height_source, 4::BIGINT AS vertices, round(a * b, 1) AS area, round(2 * (a + b), 1) AS outline, round(a * b * height, 0) AS volume FROM {C}""")

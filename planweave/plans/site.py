@@ -35,7 +35,7 @@ def drawing(found: DataFrame, lat0: float, lon0: float) -> DataFrame:
     base = found.select(F.col("id").alias("scene_id"), F.lit(0).alias("seq"), F.lit("polygon").alias("kind"), ring.alias("points"), none.alias("text"), F.lit("room").alias("layer"))
     v = survey.vertices(found, lat0, lon0)
     corner = v.select(F.col("id").alias("scene_id"), F.col("vertex").alias("seq"), F.lit("text").alias("kind"), F.array(rings.point(F.col("x"), F.col("y"))).alias("points"), F.concat(F.lit("V"), F.col("vertex").cast("string")).alias("text"), F.lit("label").alias("layer"))
-    side = survey.sides(v).filter("length_m >= 1").join(v.select("id", F.col("vertex").alias("from"), "x", "y"), ["id", "from"]).join(v.select("id", F.col("vertex").alias("to"), F.col("x").alias("x2"), F.col("y").alias("y2")), ["id", "to"])
+    side = survey.sides(v).filter("length_m >= 1").join(v.select("id", F.col("vertex").alias("from"), "x", "y").hint("merge"), ["id", "from"]).join(v.select("id", F.col("vertex").alias("to"), F.col("x").alias("x2"), F.col("y").alias("y2")).hint("merge"), ["id", "to"])
     length = side.select(F.col("id").alias("scene_id"), (F.col("from") + 10_000).alias("seq"), F.lit("text").alias("kind"), F.array(rings.point((F.col("x") + F.col("x2")) / 2, (F.col("y") + F.col("y2")) / 2)).alias("points"), F.format_string("%.2f m", "length_m").alias("text"), F.lit("label").alias("layer"))
     return base.unionByName(corner).unionByName(length)
 
