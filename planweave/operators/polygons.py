@@ -9,7 +9,9 @@ slab): a strip is a stretch of x as wide as asked, so that one scene of any size
 crossing is found by a box join of edges, never by all pairs.
 
 Coordinates are rounded to ``SNAP``; what lies closer is one. Rings are simple, without a closing
-point, in either direction; a hole is a ring that takes away from its own layer's cover."""
+point, in either direction; a hole is a ring that takes away from its own layer's cover.
+
+Joins ask for a merge: tables that are cut into edges and slabs outgrow what Spark knows of their sizes."""
 
 from __future__ import annotations
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import rings
 from .graph import checkpointed
 from .join import box_join
+from .select import once
 
 SNAP = 6  # decimals
 
@@ -33,8 +36,10 @@ def edges(shapes: DataFrame, keys: list[str], ring: str, layer: Column | int = 0
     edges bound no slab from below and go. Null rings, points and lines have no edges."""
     layer = layer if isinstance(layer, Column) else F.lit(layer)
     hole = hole if isinstance(hole, Column) else F.lit(hole)
-    snapped = F.transform(ring, lambda p: rings.point(_snapped(p["x"].cast("double")), _snapped(p["y"].cast("double"))))
-    turned = shapes.select(*keys, layer.cast("int").alias("layer"), hole.alias("_hole"), snapped.alias("_ring")).withColumn("_area", rings.signed_area(F.col("_ring")))
+    snap = lambda p: rings.point(_snapped(p["x"].cast("double")), _snapped(p["y"].cast("double")))
+    turned = shapes.select(*keys, layer.cast("int").alias("layer"), hole.alias("_hole"), F.col(ring).alias("_given"))
+    turned = once(turned, _ring=F.transform("_given", snap)).drop("_given")
+    turned = once(turned, _area=rings.signed_area(F.col("_ring")))
     each = turned.filter("_area <> 0").withColumn("_e", F.explode(rings.edges(F.col("_ring"))))
     a, b = F.col("_e.a"), F.col("_e.b")
     rightward = b["x"] > a["x"]
@@ -70,7 +75,7 @@ def trapezoids(cut: DataFrame, keys: list[str], tile: float, strip: float | None
     mine = numbered.select(*keys, "edge", "x0", "y0", "x1", "y1")
     theirs = mine.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("edge", "x0", "y0", "x1", "y1")])
     their_box = F.struct(F.col("_x0").alias("x0"), F.least("_y0", "_y1").alias("y0"), F.col("_x1").alias("x1"), F.greatest("_y0", "_y1").alias("y1"))
-    met = box_join(mine, theirs, keys, box, their_box, tile, F.col("edge") < F.col("_edge"))
+    met = box_join(mine, theirs.hint("merge"), keys, box, their_box, tile, F.col("edge") < F.col("_edge"))
     s, t = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")), (F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0"))
     x = _snapped((F.col("_y0") - F.col("y0") + s * F.col("x0") - t * F.col("_x0")) / (s - t))
     inner = (s != t) & (x > F.greatest("x0", "_x0")) & (x < F.least("x1", "_x1"))
@@ -90,8 +95,8 @@ def trapezoids(cut: DataFrame, keys: list[str], tile: float, strip: float | None
     slabs = checkpointed(stops.withColumns({"slab": F.row_number().over(order), "next_x": F.lead("x").over(order)}))
     begins = slabs.select(*by, F.col("x").alias("from_x"), F.col("slab").alias("_first"))
     stands = slabs.select(*by, F.col("x").alias("to_x"), F.col("slab").alias("_last"))
-    spans = spread.join(begins, [*by, "from_x"]).join(stands, [*by, "to_x"]).withColumn("slab", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))
-    placed = spans.join(slabs.filter("next_x is not null"), [*by, "slab"]).withColumns({"y_left": _snapped(_at(F.col("x"))), "y_right": _snapped(_at(F.col("next_x")))})
+    spans = spread.join(begins.hint("merge"), [*by, "from_x"]).join(stands.hint("merge"), [*by, "to_x"]).withColumn("slab", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))
+    placed = spans.join(slabs.filter("next_x is not null").hint("merge"), [*by, "slab"]).withColumns({"y_left": _snapped(_at(F.col("x"))), "y_right": _snapped(_at(F.col("next_x")))})
     # edges that coincide in a slab are one
     wa, wb = (F.sum(F.when(F.col("layer") == k, F.col("w")).otherwise(0)) for k in (0, 1))
     lines = placed.groupBy(*by, "slab", "x", "next_x", "y_left", "y_right").agg(wa.alias("_wa"), wb.alias("_wb"))
@@ -164,18 +169,18 @@ def assemble(pieces: DataFrame, keys: list[str]) -> DataFrame:
     ahead = named.select(*keys, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("next"), F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("_out"))
     back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
     turn = F.pmod(F.col("_back") - F.col("_out"), F.lit(2 * 3.141592653589793))
-    met = named.withColumn("_back", back).join(ahead, [*keys, "bx", "by"]).withColumn("_turn", F.when(turn < 1e-12, 7.0).otherwise(turn))
+    met = named.withColumn("_back", back).join(ahead.hint("merge"), [*keys, "bx", "by"]).withColumn("_turn", F.when(turn < 1e-12, 7.0).otherwise(turn))
     of = checkpointed(met.groupBy(*keys, "id").agg(F.min_by("next", "_turn").alias("jump")))
     # the smallest piece of each ring and how many steps it is ahead
     links, span = of.select(*keys, "id", "jump", F.when(F.col("jump") < F.col("id"), F.struct(F.col("jump").alias("low"), F.lit(1).alias("off"))).otherwise(F.struct(F.col("id").alias("low"), F.lit(0).alias("off"))).alias("best")), 1
     while True:
         ask = links.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("best").alias("_best"))
         nearer = F.when(F.col("_best.low") < F.col("best.low"), F.struct(F.col("_best.low").alias("low"), (F.col("_best.off") + span).alias("off"))).otherwise(F.col("best"))
-        after = checkpointed(links.join(ask, "jump").select(*keys, "id", F.col("_jump").alias("jump"), nearer.alias("best"), (F.col("_best.low") < F.col("best.low")).alias("moved")))
+        after = checkpointed(links.join(ask.hint("merge"), "jump").select(*keys, "id", F.col("_jump").alias("jump"), nearer.alias("best"), (F.col("_best.low") < F.col("best.low")).alias("moved")))
         links, span = after.drop("moved"), 2 * span
         if span > 2 and not after.filter("moved").head(1):
             break
-    points = links.join(named.select("id", "ax", "ay"), "id")
+    points = links.join(named.select("id", "ax", "ay").hint("merge"), "id")
     at = F.when(F.col("best.off") == 0, F.lit(-(1 << 31))).otherwise(-F.col("best.off"))
     gathered = points.groupBy(*keys, F.col("best.low").alias("ring_id")).agg(F.array_sort(F.collect_list(F.struct(at.alias("k"), F.col("ax").alias("x"), F.col("ay").alias("y")))).alias("_p"))
     # each step is written down: merged into one expression they would work out the ring hundreds of times

@@ -22,10 +22,15 @@ k AS (SELECT scene, x, y, bool_or(layer = 0) AS l, bool_or(layer = 1) AS r FROM
 SELECT scene, count(*) AS cells FROM k WHERE """
 
 
+def _parts(spark, d):
+    """Numbers of the parts, dealt out by scene before outlines and slabs are made of them."""
+    return table(spark, d, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, F.floor(F.col("p_partkey") / 8))
+
+
 def rooms(spark, d):
     """scene, layer, polygon, holes of every part."""
     k = F.col("p_partkey")
-    p = table(spark, d, "part").select(F.floor(k / 8).alias("scene"), (k % 2).cast("int").alias("layer"), (k % 3 == 0).alias("u"), (1 + (F.col("p_size") % 5) * 0.3).alias("s"), F.radians((k * 37 % 360).cast("double")).alias("t"), (k * 7 % 5 * 0.8).alias("cx"), (k * 11 % 7 * 0.6).alias("cy"))
+    p = _parts(spark, d).select(F.floor(k / 8).alias("scene"), (k % 2).cast("int").alias("layer"), (k % 3 == 0).alias("u"), (1 + (F.col("p_size") % 5) * 0.3).alias("s"), F.radians((k * 37 % 360).cast("double")).alias("t"), (k * 7 % 5 * 0.8).alias("cx"), (k * 11 % 7 * 0.6).alias("cy"))
     cos, sin = F.cos("t"), F.sin("t")
     at = lambda a, b, q: rings.point(F.col("cx") + q * (a * cos - b * sin), F.col("cy") + q * (a * sin + b * cos))
     shape = lambda corners, q: F.array(*[at(a, b, q) for a, b in corners])
@@ -70,7 +75,7 @@ def rooms_left(spark, d):
 def turned_room_iou(spark, d):
     """Common over covered area of each room, turned by its part's number, and itself moved a metre along its side."""
     k = F.col("p_partkey")
-    p = table(spark, d, "part").select(k.cast("string").alias("scene_id"), (F.col("p_size") % 7 + 3).alias("w"), (F.col("p_size") % 5 + 3).alias("h"), F.radians((k * 37 % 360).cast("double")).alias("t"))
+    p = _parts(spark, d).select(k.cast("string").alias("scene_id"), (F.col("p_size") % 7 + 3).alias("w"), (F.col("p_size") % 5 + 3).alias("h"), F.radians((k * 37 % 360).cast("double")).alias("t"))
 
     def turned(by):
         at = lambda a, b: rings.point((a + by) * F.cos("t") - b * F.sin("t"), (a + by) * F.sin("t") + b * F.cos("t"))

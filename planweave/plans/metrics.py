@@ -19,15 +19,15 @@ def room_iou(truth: DataFrame, found: DataFrame) -> DataFrame:
     keys = ["scene_id", "truth", "found"]
     t = truth.select("scene_id", F.col("id").alias("truth"), F.col("polygon").alias("_t"), F.col("holes").alias("_th"))
     f = found.select("scene_id", F.col("id").alias("found"), F.col("polygon").alias("_f"), F.col("holes").alias("_fh"))
-    near = checkpointed(join.box_join(t, f, S, rings.bounds(F.col("_t")), rings.bounds(F.col("_f")), 4.0))
+    near = checkpointed(join.box_join(t, f.hint("merge"), S, rings.bounds(F.col("_t")), rings.bounds(F.col("_f")), 4.0))
     both = polygons.iou(polygons.outlines(near, keys, "_t", "_th"), polygons.outlines(near, keys, "_f", "_fh"), keys)
     return both.filter("intersection > 0").select(*keys, "iou")
 
 
 def matched_rooms(truth: DataFrame, found: DataFrame) -> DataFrame:
     """One-to-one matches, the best first."""
-    pairs = room_iou(truth, found)
-    return join.greedy_pairs(pairs, S, "truth", "found", [-F.col("iou")]).join(pairs, ["scene_id", "truth", "found"])
+    pairs = checkpointed(room_iou(truth, found))  # asked twice
+    return join.greedy_pairs(pairs, S, "truth", "found", [-F.col("iou")]).join(pairs.hint("merge"), ["scene_id", "truth", "found"])
 
 
 def territories(truth_cells: DataFrame, found: DataFrame, grid: DataFrame, least: float = 0.20) -> DataFrame:
