@@ -37,11 +37,21 @@ def offset_search(left: DataFrame, right: DataFrame, keys: list[str], t: str, of
     return nearest(shifted.withColumnRenamed("offset", "clock_offset"), right.withColumn("clock_offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))), [*keys, "clock_offset"], "_shifted", t, tolerance, columns).drop("_shifted")
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[str], a: Column, b: Column, reach: float, condition: Column | None = None) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, on: list[str], tasks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt out to so many tasks by what they are joined on (None: as Spark sees fit). Spark judges by
+    the size of the sides, which says nothing of a join that makes thousands of pairs of each row: from
+    two small files all come out of one task."""
+    if tasks is None:
+        return left, right
+    return left.repartition(tasks, *on), right.repartition(tasks, *on).hint("merge")
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: list[str], a: Column, b: Column, reach: float, condition: Column | None = None, deal: int | None = None) -> DataFrame:
     """Rows of both sides with equal keys whose ``a`` (left) and ``b`` (right) differ by at most
-    ``reach``. Left rows fall in one bucket as wide as the reach, right rows in three."""
+    ``reach``. Left rows fall in one bucket as wide as the reach, right rows in three. ``deal``: see ``dealt``."""
     lf = left.withColumn("_bucket", F.floor(a / reach).cast("long")).withColumn("_a", a)
     rt = right.withColumn("_b", b).withColumn("_bucket", F.explode(F.array(*[(F.floor(b / reach) + d).cast("long") for d in (-1, 0, 1)])))
+    lf, rt = dealt(lf, rt, [*keys, "_bucket"], deal)
     joined = lf.join(rt, [*keys, "_bucket"]).filter(F.abs(F.col("_a") - F.col("_b")) <= reach).drop("_bucket", "_a", "_b")
     return joined if condition is None else joined.filter(condition)
 
@@ -74,11 +84,11 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], t: Column,
     return lf.join(rt, [*keys, "_level", "_bucket"]).filter((F.col("_t") >= F.col("_lo")) & (F.col("_t") <= F.col("_hi"))).drop("_t", "_lo", "_hi", "_level", "_bucket")
 
 
-def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_box: Column, right_box: Column, tile: float, condition: Column | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_box: Column, right_box: Column, tile: float, condition: Column | None = None, deal: int | None = None) -> DataFrame:
     """Pairs whose boxes (``struct<x0,y0,x1,y1>``) touch. A box lives on a grid whose tiles are as large
     as it is, a power of two of ``tile``, where it covers four at most, and also shows itself on every
     coarser grid that is in use; a pair meets on the coarser of its two grids, in the tile of the
-    corner where their common part begins, so it comes out once without a distinct."""
+    corner where their common part begins, so it comes out once without a distinct. ``deal``: see ``dealt``."""
     def sized(df, box, name):
         side = F.greatest(F.col(f"{name}.x1") - F.col(f"{name}.x0"), F.col(f"{name}.y1") - F.col(f"{name}.y0"))
         return df.withColumn(name, box).withColumn("_level", _level(side, tile)).filter(F.col("_level").isNotNull())
@@ -92,7 +102,9 @@ def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_box: Colum
         shown = df.withColumn("_grid", F.explode(F.filter(levels, lambda g: g >= F.col("_level")))).withColumn(f"{name}own", F.col("_grid") == F.col("_level")).drop("_level")
         return shown.withColumn("_tx", F.explode(span(F.col(f"{name}.x0"), F.col(f"{name}.x1")))).withColumn("_ty", F.explode(span(F.col(f"{name}.y0"), F.col(f"{name}.y1"))))
 
-    joined = tiles(lf, "_lb").join(tiles(rt, "_rb"), [*keys, "_grid", "_tx", "_ty"]).filter(F.col("_lbown") | F.col("_rbown"))
+    on = [*keys, "_grid", "_tx", "_ty"]
+    lt, rt = dealt(tiles(lf, "_lb"), tiles(rt, "_rb"), on, deal)
+    joined = lt.join(rt, on).filter(F.col("_lbown") | F.col("_rbown"))
     x, y = F.greatest("_lb.x0", "_rb.x0"), F.greatest("_lb.y0", "_rb.y0")
     meets = (x <= F.least("_lb.x1", "_rb.x1")) & (y <= F.least("_lb.y1", "_rb.y1"))
     owner = (F.floor(x / wide) == F.col("_tx")) & (F.floor(y / wide) == F.col("_ty"))
@@ -124,6 +136,11 @@ def point_in_polygon(points: DataFrame, rings: DataFrame, keys: list[str], x: st
     return box_join(points, rings, keys, dot, box, tile, contains(F.col(ring), F.col(x), F.col(y)))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Four tasks a core: parts of a table that a few rows have made."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def greedy_pairs(candidates: DataFrame, keys: list[str], left: str, right: str, score: list[Column]) -> DataFrame:
     """One-to-one assignment within the keys: best score first (smallest, then by ``left`` and
     ``right``), each side used once.
@@ -139,15 +156,16 @@ def greedy_pairs(candidates: DataFrame, keys: list[str], left: str, right: str,
     order = [f"_s{i}" for i in range(len(score))]
     named = candidates.select(*keys, F.col(left).alias("_l"), F.col(right).alias("_r"), *[F.coalesce(s.cast("double"), F.lit(float("inf"))).alias(o) for s, o in zip(score, order)])
     best = F.min(F.struct(*order, "_l", "_r")).alias("_b")
-    open_, taken = checkpointed(named), None
+    # many candidates come of few rows, so they may stand in one partition
+    open_, taken = checkpointed(named.repartition(_tasks(named), *keys, "_l")), None
     while True:
         by_left = open_.groupBy(*keys, "_l").agg(best).select(*keys, "_b.*")
         by_right = open_.groupBy(*keys, "_r").agg(best).select(*keys, "_b.*")
-        both = checkpointed(by_left.join(by_right, [*keys, *order, "_l", "_r"], "left_semi").select(*keys, "_l", "_r"))
+        both = checkpointed(by_left.join(by_right.hint("merge"), [*keys, *order, "_l", "_r"], "left_semi").select(*keys, "_l", "_r"))
         if not both.head(1):
             break
         taken = both if taken is None else taken.unionByName(both)
-        rest = open_.join(both.select(*keys, "_l"), [*keys, "_l"], "left_anti").join(both.select(*keys, "_r"), [*keys, "_r"], "left_anti")
+        rest = open_.join(both.select(*keys, "_l").hint("merge"), [*keys, "_l"], "left_anti").join(both.select(*keys, "_r").hint("merge"), [*keys, "_r"], "left_anti")
         open_ = checkpointed(rest)
     taken = both if taken is None else taken
     return taken.select(*keys, F.col("_l").alias(left), F.col("_r").alias(right))

@@ -192,7 +192,7 @@ def box_overlaps(spark, d):
     """Boxes that touch, through a grid of tiles: each pair once."""
     p = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("a"), F.struct((F.col("p_size") * 10.0).alias("x0"), F.col("p_retailprice").alias("y0"), (F.col("p_size") * 10.0 + 4).alias("x1"), (F.col("p_retailprice") + 3).alias("y1")).alias("box"))
     q = p.select("p_brand", F.col("a").alias("b"), F.col("box").alias("other"))
-    return join.box_join(p, q, ["p_brand"], F.col("box"), F.col("other"), 25.0, F.col("a") < F.col("b")).select("a", "b")
+    return join.box_join(p, q, ["p_brand"], F.col("box"), F.col("other"), 25.0, F.col("a") < F.col("b"), deal=4 * spark.sparkContext.defaultParallelism).select("a", "b")
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
