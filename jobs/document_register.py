@@ -38,7 +38,7 @@ REGISTER = "doc_id long, lang string, title string, width double, lines long, sh
 def measured(docs: DataFrame, config: dict) -> DataFrame:
     """Documents without their texts: width in points, lines and sheets if set on their own."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    width = text.text_width(body, config["font_size"])
+    width = text.document_width(body, config["font_size"])
     breaks = F.length(body) - F.length(F.translate(body, "\n", ""))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),

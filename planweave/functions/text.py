@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,6 +106,19 @@ def text_width(s: Column, size: Column | float, bold: bool = False) -> Column:
     return total * (size if isinstance(size, Column) else F.lit(float(size))) / 1000
 
 
+def document_width(s: Column, size: float, bold: bool = False) -> Column:
+    """``text_width`` of whole documents: one look at each byte instead of a pass of the text for every
+    width there is. Null for null."""
+    table = np.full(256, OTHER, np.int64)
+    table[32 : 32 + len(REGULAR)] = BOLD if bold else REGULAR
+    table[0x80:0xC0] = 0  # only the first byte of a character counts
+
+    def units(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else int(table @ np.bincount(np.frombuffer(t, np.uint8), minlength=256)) for t in texts], dtype="Int64")
+
+    return F.pandas_udf(units, "long")(s.cast("binary")) * F.lit(float(size)) / 1000
+
+
 def first_key(meta: Column, keys: list[str]) -> Column:
     """First non-empty value among the keys of a map."""
     return F.coalesce(*[F.nullif(F.try_element_at(meta, F.lit(k)), F.lit("")) for k in keys])

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from planweave.functions import text
 from planweave.operators import join, polygons, select
 from planweave.plans import demos, schedules
 
@@ -65,3 +66,18 @@ def test_once_is_one_text(spark):
     got = polygons.edges(shapes, ["id"], "ring")
     assert got.count() == 10  # the level sides
     assert plan_of(select.once(shapes, n=F.size("ring")).filter("n > 2")).split("== Physical Plan ==")[1].count("Generate explode") == 1
+
+
+def test_width_of_documents_is_that_of_labels(spark):
+    texts = ["", "Ävila — 3 m², “x”", "".join(map(chr, range(1, 300))), "a\nb\t~", "😀é" * 500, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    for bold in (False, True):
+        assert all(r.a == r.b for r in df.select(text.text_width(F.col("t"), 8.5, bold).alias("a"), text.document_width(F.col("t"), 8.5, bold).alias("b")).collect())
+
+
+def test_register_passes_a_text_once(spark):
+    from jobs.common import defaults
+    from jobs.document_register import measured
+
+    docs = spark.createDataFrame([(1, "abc", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert plan_of(measured(docs, defaults("document_register"))).split("== Physical Plan ==")[1].count("translate(") <= 2
