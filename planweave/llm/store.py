@@ -115,12 +115,13 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return wrapped
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Freed memory goes back to the system."""
     import ctypes
     import gc
 

@@ -21,12 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import file_system, make_dir, materialize, scratch, small_batches, spread, trimmed
+from .store import file_system, give_back, make_dir, materialize, scratch, small_batches, spread, trimmed
 from .tokens import default_vocabulary, shared_encoder, slices, terminated
 
 MAGIC = b"PWWMTX01"
 BLOCK = 1 << 16  # bytes of a plane
 END = 2
+TEXT = 2 << 20  # bytes of text encoded at once: what is made of them takes many times that
 POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -182,6 +183,12 @@ class WaveletMatrix:
         return ids_of(planes, self.n)
 
 
+def encoded(batches, encoder, end: int = END):
+    """(ids, counts, doc_ids) of record batches, a slice of texts at a time."""
+    for batch in slices(batches, most=TEXT):
+        yield *terminated(*encoder.encode(batch.column("text")), end), batch.column("doc_id").to_pylist()
+
+
 def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END, roll: int = 2 << 20, partitions: int | None = None) -> DataFrame:
     """Write token shards of ``docs(doc_id, text)`` in ascending doc_id order (nulls first, ties
     in the order of the input) and return the manifest ``(part, k, path, docs, tokens)``.
@@ -215,13 +222,14 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
                 out.write(encode_file(all_ids, names, sizes))
             row = [[part], [k], [f"{folder}/{name}"], [len(names)], [len(all_ids)]]
             ids, counts, names, held, k = [], [], [], 0, k + 1
+            del all_ids, sizes
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2]), pa.array(row[3], pa.int64()), pa.array(row[4], pa.int64())], names=["part", "k", "path", "docs", "tokens"])
 
-        for batch in slices(batches):
-            i, c = terminated(*encoder.encode(batch.column("text")), end)
+        for i, c, n in encoded(batches, encoder, end):
             ids.append(i)
             counts.append(c)
-            names += batch.column("doc_id").to_pylist()
+            names += n
             held += len(i)
             if held >= roll:
                 yield close()
