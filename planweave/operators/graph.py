@@ -31,6 +31,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A checkpoint as a Parquet table of the shared folder, a fraction of one of rows in size. What was
+    shuffled for it goes when it is written, the table itself with ``release`` or the application."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_folder(spark, "stored"), spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(table._stored)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder below the shared one; nothing else ever uses its name."""
     return f"{_shared(spark).rstrip('/')}/planweave/{name}-{uuid.uuid4().hex}"

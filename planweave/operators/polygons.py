@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rings
-from .graph import checkpointed
+from .graph import checkpointed, release, stored
 from .join import box_join
 from .select import once
 
 SNAP = 6  # decimals
+BLOCK = 16  # slabs that an edge meets at once
 
 
 def _snapped(c: Column) -> Column:
@@ -64,11 +65,12 @@ def _at(x: Column) -> Column:
 
 
 def trapezoids(cut: DataFrame, keys: list[str], tile: float, strip: float | None = None) -> DataFrame:
-    """Edges -> ``(keys, strip, slab, place, x0, x1, low0, low1, high0, high1, a, b)``: strips of every slab between
-    one edge and the next, with the cover of layers 0 and 1. The outermost, above all edges, has null
-    heights at the top. ``tile`` is the size of box that crossings are looked for in, ``strip`` the
+    """Edges -> ``(keys, strip, block, slab, edge, place, x0, x1, low0, low1, high0, high1, a, b)``: strips of every slab
+    between one edge and the next, with the cover of layers 0 and 1 and the edge below. The outermost, above all
+    edges, has null heights at the top. Edges meet the slabs by blocks of these, and all that follows within
+    a slab is done where they met: the strips, far more than either, are never shuffled. ``tile`` is the size of box that crossings are looked for in, ``strip`` the
     width of a stretch of x (None: one for each of the keys)."""
-    numbered = checkpointed(cut.withColumn("edge", F.monotonically_increasing_id()))
+    numbered = stored(cut.withColumn("edge", F.monotonically_increasing_id()))
     by = [*keys, "strip"]
     # where edges cross in their inside
     box = F.struct(F.col("x0").alias("x0"), F.least("y0", "y1").alias("y0"), F.col("x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
@@ -92,14 +94,18 @@ def trapezoids(cut: DataFrame, keys: list[str], tile: float, strip: float | None
     spread = spread.withColumns({"from_x": left, "to_x": right})
     stops = ends.select(*keys, of(F.col("x")).alias("strip"), "x").unionByName(spread.select(*by, F.explode(F.array("from_x", "to_x")).alias("x"))).distinct()
     order = Window.partitionBy(*by).orderBy("x")
-    slabs = checkpointed(stops.withColumns({"slab": F.row_number().over(order), "next_x": F.lead("x").over(order)}))
+    slabs = stored(stops.withColumns({"slab": F.row_number().over(order), "next_x": F.lead("x").over(order)}))
     begins = slabs.select(*by, F.col("x").alias("from_x"), F.col("slab").alias("_first"))
     stands = slabs.select(*by, F.col("x").alias("to_x"), F.col("slab").alias("_last"))
-    spans = spread.join(begins.hint("merge"), [*by, "from_x"]).join(stands.hint("merge"), [*by, "to_x"]).withColumn("slab", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))
-    placed = spans.join(slabs.filter("next_x is not null").hint("merge"), [*by, "slab"]).withColumns({"y_left": _snapped(_at(F.col("x"))), "y_right": _snapped(_at(F.col("next_x")))})
+    spans = spread.join(begins.hint("merge"), [*by, "from_x"]).join(stands.hint("merge"), [*by, "to_x"])
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    spans = spans.withColumn("block", F.explode(F.sequence(block("_first"), F.floor((F.col("_last") - 1) / BLOCK).cast("int"))))
+    met = spans.join(slabs.filter("next_x is not null").withColumn("block", block("slab")).hint("merge"), [*by, "block"]).filter("slab >= _first and slab < _last")
+    placed = met.withColumns({"y_left": _snapped(_at(F.col("x"))), "y_right": _snapped(_at(F.col("next_x")))})
+    by = [*by, "block"]
     # edges that coincide in a slab are one
     wa, wb = (F.sum(F.when(F.col("layer") == k, F.col("w")).otherwise(0)) for k in (0, 1))
-    lines = placed.groupBy(*by, "slab", "x", "next_x", "y_left", "y_right").agg(wa.alias("_wa"), wb.alias("_wb"))
+    lines = placed.groupBy(*by, "slab", "x", "next_x", "y_left", "y_right").agg(wa.alias("_wa"), wb.alias("_wb"), F.min("edge").alias("edge"))
     up = Window.partitionBy(*by, "slab").orderBy("_mid", "y_left", "y_right")
     so_far = up.rowsBetween(Window.unboundedPreceding, 0)
     # where edges cross in a rounded place, the upper one is no lower than the one below
@@ -109,7 +115,7 @@ def trapezoids(cut: DataFrame, keys: list[str], tile: float, strip: float | None
     up = Window.partitionBy(*by, "slab").orderBy("_mid", "y_left", "y_right")
     so_far = up.rowsBetween(Window.unboundedPreceding, 0)
     strips = lines.select(
-        *by, "slab", F.row_number().over(up).alias("place"), F.col("x").alias("x0"), F.col("next_x").alias("x1"), F.col("y_left").alias("low0"), F.col("y_right").alias("low1"),
+        *by, "slab", "edge", F.row_number().over(up).alias("place"), F.col("x").alias("x0"), F.col("next_x").alias("x1"), F.col("y_left").alias("low0"), F.col("y_right").alias("low1"),
         F.lead("y_left").over(up).alias("high0"), F.lead("y_right").over(up).alias("high1"), F.sum("_wa").over(so_far).alias("a"), F.sum("_wb").over(so_far).alias("b"),
     )
     return strips.filter("high0 is null or high0 > low0 or high1 > low1")  # nothing lies between edges that coincide
@@ -135,27 +141,39 @@ def iou(left: DataFrame, right: DataFrame, keys: list[str], tile: float = 1.0, s
     return both.withColumn("iou", F.when(F.col("union") > 0, F.col("intersection") / F.col("union")).otherwise(0.0))
 
 
+def _longer(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """Pieces ``(xa, ya)`` to ``(xb, yb)`` of one edge and direction as one where each goes on where the last ended."""
+    on = Window.partitionBy(*by, "edge", "dir").orderBy("xa")
+    goes_on = lambda xa, ya, xb, yb: F.coalesce((xa == xb) & (ya == yb), F.lit(False))
+    ends = pieces.withColumns({
+        "_first": ~goes_on(F.col("xa"), F.col("ya"), F.lag("xb").over(on), F.lag("yb").over(on)),
+        "_last": ~goes_on(F.lead("xa").over(on), F.lead("ya").over(on), F.col("xb"), F.col("yb")),
+    }).filter("_first or _last")
+    to = lambda c: F.when(F.col("_last"), F.col(c)).otherwise(F.lead(c).over(on))
+    return ends.withColumns({"_xb": to("xb"), "_yb": to("yb")}).filter("_first").drop("xb", "yb", "_first", "_last").withColumnsRenamed({"_xb": "xb", "_yb": "yb"})
+
+
 def outline(parts: DataFrame, keys: list[str], op: str) -> DataFrame:
-    """Directed pieces ``(keys, ax, ay, bx, by)`` of the outline of an operation, its inside to the left."""
+    """Directed pieces ``(keys, ax, ay, bx, by)`` of the outline of an operation, its inside to the left. A piece is
+    as long as its edge bounds the operation on the same side, whatever slabs it goes through."""
     inside = covered(op, F.col("a"), F.col("b"))
-    by = [*keys, "strip", "slab"]
+    by = [*keys, "strip", "block"]
+    up = Window.partitionBy(*by, "slab").orderBy("place")
     held = parts.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    up = Window.partitionBy(*by).orderBy("place")
     turned = held.withColumn("_was", F.coalesce(F.lag("_in").over(up), F.lit(False))).filter("_in <> _was")
-    p, q = F.struct(F.col("x0").alias("x"), F.col("low0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("low1").alias("y"))
-    slanted = turned.select(*keys, F.when(F.col("_in"), p).otherwise(q).alias("p"), F.when(F.col("_in"), q).otherwise(p).alias("q"))
-    # at a slab's side: what is inside on the left only goes up, on the right only goes down
-    ins = held.filter("_in")
-    sides = ins.select(*keys, F.col("x1").alias("x"), F.lit(1).alias("l"), F.lit(0).alias("r"), F.col("low1").alias("lo"), F.col("high1").alias("hi")).unionByName(
-        ins.select(*keys, F.col("x0").alias("x"), F.lit(0).alias("l"), F.lit(1).alias("r"), F.col("low0").alias("lo"), F.col("high0").alias("hi"))
-    ).filter("lo < hi")
-    marks = sides.select(*keys, "x", F.explode(F.array(F.struct(F.col("lo").alias("y"), F.col("l").alias("l"), F.col("r").alias("r")), F.struct(F.col("hi").alias("y"), (-F.col("l")).alias("l"), (-F.col("r")).alias("r")))).alias("m"))
-    marks = marks.groupBy(*keys, "x", F.col("m.y").alias("y")).agg(F.sum("m.l").alias("l"), F.sum("m.r").alias("r"))
+    way = F.when(F.col("_in"), 1).otherwise(-1)
+    pieces = turned.select(*by, "edge", way.alias("dir"), F.col("x0").alias("xa"), F.col("low0").alias("ya"), F.col("x1").alias("xb"), F.col("low1").alias("yb"))
+    long = stored(_longer(_longer(pieces, by).drop("strip", "block"), keys))
+    p, q = F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y"))
+    out = F.col("dir") > 0
+    slanted = long.select(*keys, F.when(out, p).otherwise(q).alias("p"), F.when(out, q).otherwise(p).alias("q"))
+    # upright where more is inside on the left than on the right (up) or less (down): what goes on counts on both sides
+    ends = F.explode(F.array(F.struct(p.alias("at"), (-F.col("dir")).alias("d")), F.struct(q.alias("at"), F.col("dir").alias("d"))))
+    marks = long.select(*keys, ends.alias("m")).groupBy(*keys, F.col("m.at.x").alias("x"), F.col("m.at.y").alias("y")).agg(F.sum("m.d").alias("d")).filter("d <> 0")
     along = Window.partitionBy(*keys, "x").orderBy("y")
-    run = along.rowsBetween(Window.unboundedPreceding, 0)
-    stood = marks.select(*keys, "x", "y", F.lead("y").over(along).alias("to"), (F.sum("l").over(run) > 0).alias("inl"), (F.sum("r").over(run) > 0).alias("inr")).filter("inl <> inr and to is not null")
+    stood = marks.withColumns({"to": F.lead("y").over(along), "d": F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))}).filter("d <> 0 and to is not null")
     p, q = F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), F.col("to").alias("y"))
-    upright = stood.select(*keys, F.when(F.col("inl"), p).otherwise(q).alias("p"), F.when(F.col("inl"), q).otherwise(p).alias("q"))
+    upright = stood.select(*keys, F.when(F.col("d") > 0, p).otherwise(q).alias("p"), F.when(F.col("d") > 0, q).otherwise(p).alias("q"))
     pieces = slanted.unionByName(upright)
     return pieces.select(*keys, F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
@@ -165,26 +183,29 @@ def assemble(pieces: DataFrame, keys: list[str]) -> DataFrame:
     counter-clockwise and have a positive area, holes a negative one. Where rings touch in a point, each
     keeps to itself. Places in a ring come from pointer doubling: rounds grow with the logarithm of
     the longest ring, and no ring is gathered before it is one."""
-    named = checkpointed(pieces.withColumn("id", F.monotonically_increasing_id()))
+    named = stored(pieces.withColumn("id", F.monotonically_increasing_id()))
     ahead = named.select(*keys, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("next"), F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("_out"))
     back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
     turn = F.pmod(F.col("_back") - F.col("_out"), F.lit(2 * 3.141592653589793))
     met = named.withColumn("_back", back).join(ahead.hint("merge"), [*keys, "bx", "by"]).withColumn("_turn", F.when(turn < 1e-12, 7.0).otherwise(turn))
-    of = checkpointed(met.groupBy(*keys, "id").agg(F.min_by("next", "_turn").alias("jump")))
+    of = stored(met.groupBy(*keys, "id").agg(F.min_by("next", "_turn").alias("jump")))
     # the smallest piece of each ring and how many steps it is ahead
     links, span = of.select(*keys, "id", "jump", F.when(F.col("jump") < F.col("id"), F.struct(F.col("jump").alias("low"), F.lit(1).alias("off"))).otherwise(F.struct(F.col("id").alias("low"), F.lit(0).alias("off"))).alias("best")), 1
+    last = of
     while True:
         ask = links.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("best").alias("_best"))
         nearer = F.when(F.col("_best.low") < F.col("best.low"), F.struct(F.col("_best.low").alias("low"), (F.col("_best.off") + span).alias("off"))).otherwise(F.col("best"))
-        after = checkpointed(links.join(ask.hint("merge"), "jump").select(*keys, "id", F.col("_jump").alias("jump"), nearer.alias("best"), (F.col("_best.low") < F.col("best.low")).alias("moved")))
-        links, span = after.drop("moved"), 2 * span
+        after = stored(links.join(ask.hint("merge"), "jump").select(*keys, "id", F.col("_jump").alias("jump"), nearer.alias("best"), (F.col("_best.low") < F.col("best.low")).alias("moved")))
+        release(last)
+        last, links, span = after, after.drop("moved"), 2 * span
         if span > 2 and not after.filter("moved").head(1):
             break
     points = links.join(named.select("id", "ax", "ay").hint("merge"), "id")
     at = F.when(F.col("best.off") == 0, F.lit(-(1 << 31))).otherwise(-F.col("best.off"))
     gathered = points.groupBy(*keys, F.col("best.low").alias("ring_id")).agg(F.array_sort(F.collect_list(F.struct(at.alias("k"), F.col("ax").alias("x"), F.col("ay").alias("y")))).alias("_p"))
     # each step is written down: merged into one expression they would work out the ring hundreds of times
-    out = checkpointed(gathered.select(*keys, "ring_id", F.transform("_p", lambda p: rings.point(p["x"], p["y"])).alias("ring")))
+    out = stored(gathered.select(*keys, "ring_id", F.transform("_p", lambda p: rings.point(p["x"], p["y"])).alias("ring")))
+    release(named, last)
     out = _straightened(checkpointed(out.withColumn("ring", rings.dedupe(F.col("ring"), 5 * 10**-SNAP))), 2 * 10**-SNAP)
     return out.withColumn("area", rings.signed_area(F.col("ring"))).filter(F.abs("area") > 10**-SNAP)
 
@@ -212,4 +233,4 @@ def combine(left: DataFrame, right: DataFrame | None, keys: list[str], op: str,
     cut = edges(left, keys, "ring", 0, F.col("hole"))
     if right is not None:
         cut = cut.unionByName(edges(right, keys, "ring", 1, F.col("hole")))
-    return assemble(outline(checkpointed(trapezoids(cut, keys, tile, strip)), keys, op), keys)
+    return assemble(outline(trapezoids(cut, keys, tile, strip), keys, op), keys)

@@ -216,3 +216,16 @@ def test_a_path_of_ten_thousand_steps_takes_as_many_rounds_as_tiles(spark, monke
     cells = spark.createDataFrame([("k", *p) for p in rows], "k string, ix long, iy long")
     assert graph.grid_path(cells, ["k"], (0, 0), (99, 200)).first().steps == 10_199
     assert len(rounds) < 40
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_outlines_have_no_piece_a_slab(spark, n):
+    """What lies inside cuts the plane into more slabs, not the outline into more pieces."""
+    big = [dict(x=x, y=y) for x, y in ((0.0, 0.0), (10.0, 1.0), (9.0, 11.0), (-1.0, 10.0))]
+    small = [[dict(x=x, y=y) for x, y in ((a, 5.0), (a + 0.05, 5.01), (a, 5.02))] for a in (1 + 0.17 * i for i in range(n))]
+    R = "array<struct<x:double,y:double>>"
+    side = lambda rings_: polygons.outlines(spark.createDataFrame([("s", r, []) for r in rings_], f"s string, polygon {R}, holes array<{R}>"), ["s"])
+    cut = polygons.edges(side([big]), ["s"], "ring", 0).unionByName(polygons.edges(side(small), ["s"], "ring", 1))
+    assert polygons.outline(polygons.trapezoids(cut, ["s"], 1.0), ["s"], "union").count() == 4
+    (ring,) = polygons.combine(side([big]), side(small), ["s"], "union").collect()
+    assert len(ring.ring) == 4 and ring.area == pytest.approx(101)
